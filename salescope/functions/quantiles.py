@@ -8,84 +8,77 @@ A second pass reads the values of those buckets alone and counts them per value.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Buckets per doubling of the value; one bucket spans 0.14 % of its values.
 BUCKETS_PER_DOUBLING = 512
-#: Shift that makes every bucket of a positive double positive (exponents from -1074).
-_SHIFT = 1100 * BUCKETS_PER_DOUBLING
 
+# Never falls when the value rises. The shift makes the bucket of every positive
+# double positive, as exponents start at -1074.
+_BUCKET = f"""
+    CASE WHEN value > 0 THEN floor(log2(value) * {BUCKETS_PER_DOUBLING}) + {1100 * BUCKETS_PER_DOUBLING}
+         WHEN value < 0 THEN -floor(log2(-value) * {BUCKETS_PER_DOUBLING}) - {1100 * BUCKETS_PER_DOUBLING}
+         ELSE 0 END AS bucket"""
 
-def _bucket(value: Column) -> Column:
-    """Bucket number that never falls when the value rises."""
-    size = F.floor(F.log2(F.abs(value)) * BUCKETS_PER_DOUBLING) + _SHIFT
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(0)
 
+def quantile_row(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """Quantiles with linear interpolation: one row, an array per column.
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
-    """Quantiles with linear interpolation: rows of (column, prob, value).
-
-    NULL is ignored; a column without values gives no rows.
+    The arrays follow the order of ``probs``. NULL is ignored; a column without
+    values gives an array of NULL.
     """
     values = (
         df.select([F.col(c).cast("double").alias(c) for c in columns])
-        .unpivot([], columns, "column", "value")
+        .unpivot([], columns, "name", "value")
         .where("value IS NOT NULL")
-        .withColumn("bucket", _bucket(F.col("value")))
+        .selectExpr("name", "value", _BUCKET)
     )
-    sizes = values.groupBy("column", "bucket").agg(F.count("*").alias("n"))
-    per_column = Window.partitionBy("column")
-    upto = F.sum("n").over(per_column.orderBy("bucket"))
-    total = F.sum("n").over(per_column)
-    # At most two rows per column and probability: the broadcast stays that small.
-    wanted = (
-        sizes.withColumns({"before": upto - F.col("n"), "upto": upto, "total": total})
-        .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumn("position", (F.col("total") - 1) * F.col("prob"))
-        .withColumns({"low": F.floor("position"), "high": F.ceil("position")})
-        .where("before <= high AND low < upto")
-        .select("column", "bucket", "before", "prob", "position", "low", "high")
+    sizes = values.groupBy("name", "bucket").agg(F.count("*").alias("n"))
+    ranks = sizes.selectExpr(
+        "*",
+        "sum(n) OVER (PARTITION BY name ORDER BY bucket) AS upto",
+        "sum(n) OVER (PARTITION BY name) AS total",
+    ).selectExpr("*", f"explode(array({', '.join(f'{p}D' for p in probs)})) AS prob")
+    ranks = ranks.selectExpr("*", "upto - n AS before", "(total - 1) * prob AS position")
+    # At most two rows per column and probability: the broadcasts stay that small.
+    wanted = ranks.where("before <= ceil(position) AND floor(position) < upto").selectExpr(
+        "name", "bucket", "before", "prob", "position"
     )
     counted = (
-        values.join(F.broadcast(wanted.select("column", "bucket").distinct()), ["column", "bucket"])
-        .groupBy("column", "bucket", "value")
+        values.join(F.broadcast(wanted.select("name", "bucket")), ["name", "bucket"], "left_semi")
+        .groupBy("name", "bucket", "value")
         .agg(F.count("*").alias("n"))
+        .selectExpr("*", "sum(n) OVER (PARTITION BY name, bucket ORDER BY value) AS seen")
+    )
+    # Each value covers the ranks from the rows before it up to the rows including it.
+    ranked = counted.join(F.broadcast(wanted), ["name", "bucket"]).selectExpr(
+        "name",
+        "prob",
+        "position - floor(position) AS part",
+        "CASE WHEN before + seen - n <= floor(position) AND floor(position) < before + seen"
+        " THEN value END AS low",
+        "CASE WHEN before + seen - n <= ceil(position) AND ceil(position) < before + seen"
+        " THEN value END AS high",
     )
-    in_bucket = Window.partitionBy("column", "bucket").orderBy("value")
-    ranked = counted.withColumn("seen", F.sum("n").over(in_bucket))
-    start = F.col("before") + F.col("seen") - F.col("n")
-    end = F.col("before") + F.col("seen")
-
-    def value_at(rank: str) -> Column:
-        return F.max(F.when((start <= F.col(rank)) & (F.col(rank) < end), F.col("value")))
 
-    return (
-        ranked.join(F.broadcast(wanted), ["column", "bucket"])
-        .groupBy("column", "prob", "position", "low")
-        .agg(value_at("low").alias("at_low"), value_at("high").alias("at_high"))
-        .select(
-            "column",
-            "prob",
-            (
-                F.col("at_low")
-                + (F.col("at_high") - F.col("at_low")) * (F.col("position") - F.col("low"))
-            ).alias("value"),
+    def quantile(name: str, prob: float) -> str:
+        low, high, part = (
+            f"max({field}) FILTER (WHERE name = '{name}' AND prob = {prob}D)"
+            for field in ("low", "high", "part")
         )
+        return f"{low} + ({high} - {low}) * {part}"
+
+    return ranked.selectExpr(
+        *[f"array({', '.join(quantile(c, p) for p in probs)}) AS {c}" for c in columns]
     )
 
 
-def quantile_row(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
-    """The same as one row with an array per column, in the order of ``probs``."""
-    found = exact_quantiles(df, columns, probs)
-    return found.agg(
-        *[
-            F.array(
-                *[
-                    F.max(F.when((F.col("column") == c) & (F.col("prob") == p), F.col("value")))
-                    for p in probs
-                ]
-            ).alias(c)
-            for c in columns
-        ]
-    )
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """The same as rows of (column, prob, value)."""
+    entries = [
+        f"struct('{c}' AS column, {p}D AS prob, {c}[{i}] AS value)"
+        for c in columns
+        for i, p in enumerate(probs)
+    ]
+    return quantile_row(df, columns, probs).selectExpr(f"inline(array({', '.join(entries)}))")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salescope.functions.quantiles import exact_quantiles
+from salescope.functions.quantiles import quantile_row
 from salescope.functions.values import nan_to_null, ratio
 from salescope.operators.kpi import grouped, top_selling_products, total
 from salescope.schema import SEQ
@@ -130,15 +130,9 @@ def describe(df: DataFrame) -> DataFrame:
             F.max("value").cast("double").alias("max"),
         )
     )
-    quartiles = (
-        exact_quantiles(values, names, QUARTILES)
-        .groupBy("column")
-        .agg(
-            *[
-                F.max(F.when(F.col("prob") == p, F.col("value"))).alias(f"q{p * 100:.0f}")
-                for p in QUARTILES
-            ]
-        )
+    row = quantile_row(values, names, QUARTILES)
+    quartiles = _long(
+        row, {c: {f"q{p * 100:.0f}": F.col(c)[i] for i, p in enumerate(QUARTILES)} for c in names}
     )
     # Both sides have one row per column.
     return moments.join(F.broadcast(quartiles), "column", "left").select(

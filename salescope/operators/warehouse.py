@@ -239,15 +239,6 @@ def load_sales(sales: DataFrame, warehouse: str, idempotent: bool = False) -> No
     _append(sparse_ids(new, "sale_id", _last_id(present, "sale_id")), warehouse, "sales")
 
 
-def load_all(sales: DataFrame, warehouse: str, idempotent: bool = False) -> dict[str, DataFrame]:
-    """Loads the four tables, keys before the rows that refer to them."""
-    load_customers(sales, warehouse)
-    load_products(sales, warehouse)
-    load_orders(sales, warehouse)
-    load_sales(sales, warehouse, idempotent)
-    return read_star(sales.sparkSession, warehouse)
-
-
 # --- constraints -----------------------------------------------------------
 
 # The rules that the star tables have to satisfy.
@@ -321,3 +312,34 @@ def validate_constraints(star: dict[str, DataFrame]) -> DataFrame:
         _orphans(table, key, star[table], target, star[target]) for table, key, target in REFERENCES
     ]
     return reduce(DataFrame.unionByName, results)
+
+
+def require_valid(star: dict[str, DataFrame]) -> None:
+    """Raises ValueError if a row breaks a NOT NULL or CHECK rule.
+
+    Keys need no check here: a load keeps one row per key and inserts the rows that
+    are referred to first.
+    """
+    results = reduce(DataFrame.unionByName, [_row_rules(t, star[t]) for t in NOT_NULL])
+    broken = results.where("violations > 0").collect()  # one row per rule at most
+    if broken:
+        raise ValueError(
+            "; ".join(f"{r.table}: {r.rule} broken by {r.violations} rows" for r in broken)
+        )
+
+
+def load_all(sales: DataFrame, warehouse: str, idempotent: bool = False) -> dict[str, DataFrame]:
+    """Checks the rows, then loads the four tables, keys before what refers to them."""
+    require_valid(
+        {
+            "customers": customer_rows(sales),
+            "products": product_rows(sales),
+            "orders": order_rows(sales),
+            "sales": insert_defaults(sales_rows(sales)),
+        }
+    )
+    load_customers(sales, warehouse)
+    load_products(sales, warehouse)
+    load_orders(sales, warehouse)
+    load_sales(sales, warehouse, idempotent)
+    return read_star(sales.sparkSession, warehouse)
