@@ -32,7 +32,7 @@ PERIODS = 6
 LINEAR = "Linear Regression"
 FOREST = "Random Forest"
 
-_CODES = {"Region": "_region_code", "Product_Category": "_category_code"}
+CODES = {"Region": "_region_code", "Product_Category": "_category_code"}
 
 
 # --- features --------------------------------------------------------------
@@ -92,7 +92,7 @@ def train_test_split(df: DataFrame, share: float = TEST_SHARE) -> DataFrame:
 
 def _vectors(coded: DataFrame) -> DataFrame:
     """Adds the feature vector of encoded rows; codes count as ordinary numbers in it."""
-    columns = {f"_{c}": F.col(_CODES.get(c, c)).cast("double") + F.lit(0.0) for c in FEATURES}
+    columns = {f"_{c}": F.col(CODES.get(c, c)).cast("double") + F.lit(0.0) for c in FEATURES}
     assembler = VectorAssembler(inputCols=list(columns), outputCol="features")
     return assembler.transform(coded.withColumns(columns)).drop(*columns)
 
@@ -170,7 +170,7 @@ class SalesForecaster:
     def train(cls, df: DataFrame) -> SalesForecaster:
         """Fits both models on four fifths of the segment months, rates them on the rest."""
         monthly = lag_features(segment_monthly(df))
-        encoder = label_encoder(_CODES).fit(monthly)
+        encoder = label_encoder(CODES).fit(monthly)
         # Few rows that the forest reads once per tree level: keep them at hand.
         rows = training_rows(monthly, encoder).persist()
         fitting, test = rows.where("NOT is_test"), rows.where("is_test")
@@ -215,7 +215,7 @@ class SalesForecaster:
     def predict_rows(self, df: DataFrame, model: Transformer | None = None) -> DataFrame:
         """Lag-feature rows with a ``prediction`` column."""
         rows = (model or self.best).transform(_vectors(self.encoder.transform(df)))
-        return rows.drop("features", *_CODES.values())
+        return rows.drop("features", *CODES.values())
 
     def forecast(
         self, seeds: DataFrame, periods: int = PERIODS, model: Transformer | None = None
@@ -226,7 +226,7 @@ class SalesForecaster:
         quantity fade by 5 %. All steps are one chain of projections over the seeds.
         """
         model = model or self.best
-        kept = [*SEGMENT, *_CODES.values(), "Last_Month"]
+        kept = [*SEGMENT, *CODES.values(), "Last_Month"]
         state = self.encoder.transform(seeds).selectExpr(
             *kept,
             "CAST(Previous_Revenue AS DOUBLE) AS Previous_Revenue",
