@@ -22,11 +22,10 @@ _BUCKET = f"""
          ELSE 0 END AS bucket"""
 
 
-def quantile_row(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
-    """Quantiles with linear interpolation: one row, an array per column.
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """Quantiles with linear interpolation, as rows of (column, prob, value).
 
-    The arrays follow the order of ``probs``. NULL is ignored; a column without
-    values gives an array of NULL.
+    NULL is ignored; a column without values gives no rows.
     """
     values = (
         df.select([F.col(c).cast("double").alias(c) for c in columns])
@@ -62,23 +61,19 @@ def quantile_row(df: DataFrame, columns: list[str], probs: list[float]) -> DataF
         " THEN value END AS high",
     )
 
-    def quantile(name: str, prob: float) -> str:
-        low, high, part = (
-            f"max({field}) FILTER (WHERE name = '{name}' AND prob = {prob}D)"
-            for field in ("low", "high", "part")
-        )
-        return f"{low} + ({high} - {low}) * {part}"
-
-    return ranked.selectExpr(
-        *[f"array({', '.join(quantile(c, p) for p in probs)}) AS {c}" for c in columns]
+    return (
+        ranked.groupBy("name", "prob")
+        .agg(*[F.max(c).alias(c) for c in ("low", "high", "part")])
+        .selectExpr("name AS column", "prob", "low + (high - low) * part AS value")
     )
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
-    """The same as rows of (column, prob, value)."""
-    entries = [
-        f"struct('{c}' AS column, {p}D AS prob, {c}[{i}] AS value)"
-        for c in columns
-        for i, p in enumerate(probs)
-    ]
-    return quantile_row(df, columns, probs).selectExpr(f"inline(array({', '.join(entries)}))")
+def quantile_row(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """The same as one row with an array per column, in the order of ``probs``."""
+    found = exact_quantiles(df, columns, probs)
+
+    def values(name: str) -> str:
+        parts = (f"max(value) FILTER (WHERE column = '{name}' AND prob = {p}D)" for p in probs)
+        return f"array({', '.join(parts)}) AS {name}"
+
+    return found.selectExpr(*map(values, columns))

@@ -74,9 +74,12 @@ def impute_median(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             kind = kind if name == "Discount" else CLEAN_MONEY
         else:
             kind = T.DoubleType()
-        return F.coalesce(F.col(name).cast(kind), medians.getField(name).cast(kind))
+        return F.coalesce(F.col(name).cast(kind), F.col("_medians").getField(name).cast(kind))
 
-    return df.withColumns({c: filled(c) for c in columns})
+    # Attached as a column first, so that the plan holds the subquery once.
+    return (
+        df.withColumn("_medians", medians).withColumns({c: filled(c) for c in columns}).drop("_medians")
+    )
 
 
 def fill_unknown(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ Each takes the filtered rows. Nothing is drawn here.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salescope.functions import formats
@@ -30,11 +30,10 @@ def revenue_by_region(df: DataFrame) -> DataFrame:
 
 def revenue_by_category(df: DataFrame) -> DataFrame:
     """Revenue per category and its share of the whole in percent."""
-    whole = F.sum("Revenue").over(Window.partitionBy())
-    return (
-        grouped(df, "Product_Category", Revenue=total("Revenue"))
-        .withColumn("Share_Pct", ratio(F.col("Revenue"), whole) * 100)
-        .orderBy(F.desc("Revenue"), "Product_Category")
+    categories = grouped(df, "Product_Category", Revenue=total("Revenue"))
+    whole = categories.select(F.sum("Revenue")).scalar()
+    return categories.withColumn("Share_Pct", ratio(F.col("Revenue"), whole) * 100).orderBy(
+        F.desc("Revenue"), "Product_Category"
     )
 
 
@@ -61,12 +60,12 @@ def customer_segmentation(df: DataFrame) -> DataFrame:
     """
     customers = grouped(df, "Customer_ID", Revenue=total("Revenue"))
     cuts = quantile_row(customers, ["Revenue"], profile.QUARTILES).scalar()
-    revenue = F.col("Revenue").cast("double")
     tier = F.lit(TIERS[-1])
-    for name, cut in reversed(list(zip(TIERS, range(len(profile.QUARTILES))))):
-        tier = F.when(revenue <= cuts[cut], name).otherwise(tier)
+    for i in reversed(range(len(profile.QUARTILES))):
+        tier = F.when(F.col("Revenue").cast("double") <= F.col("cuts")[i], TIERS[i]).otherwise(tier)
     return (
-        customers.groupBy(tier.alias("Segment"))
+        customers.withColumn("cuts", cuts)
+        .groupBy(tier.alias("Segment"))
         .agg(F.count("*").alias("Customers"), F.sum("Revenue").alias("Revenue"))
         .withColumn("Avg_Revenue", ratio(F.col("Revenue"), F.col("Customers")))
     )

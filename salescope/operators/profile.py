@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salescope.functions.quantiles import quantile_row
+from salescope.functions.quantiles import exact_quantiles
 from salescope.functions.values import nan_to_null, ratio
 from salescope.operators.kpi import grouped, top_selling_products, total
 from salescope.schema import SEQ
@@ -19,8 +19,9 @@ DENSITY_POINTS = 200
 CORRELATED = ["Quantity", "Unit_Price", "Discount", "Revenue", "Profit"]
 QUARTILES = [0.25, 0.5, 0.75]
 
-#: Exact common type for sums over columns of different types.
-_EXACT = "decimal(20,4)"
+
+#: Points that one row of the density computation contributes to.
+_BLOCK = 25
 
 
 def _visible(df: DataFrame) -> list[str]:
@@ -113,66 +114,64 @@ def describe(df: DataFrame) -> DataFrame:
     dates = [f.name for f in df.schema if isinstance(f.dataType, T.DateType)]
     numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
     names = dates + numbers
-    values = df.select(
-        [_epoch_days(c).cast(_EXACT).alias(c) for c in dates]
-        + [F.col(c).cast(_EXACT).alias(c) for c in numbers]
-    )
-    moments = (
-        values.unpivot([], names, "column", "value")
+    values = df.select([_epoch_days(c).alias(c) for c in dates] + numbers)
+    moments = values.agg(
+        *[
+            F.struct(
+                F.count(c).alias("count"),
+                ratio(F.sum(c), F.count(c)).alias("mean"),
+                (
+                    F.stddev_samp(F.col(c).cast("double")) if c in numbers else F.lit(None).cast("double")
+                ).alias("std"),
+                F.min(c).cast("double").alias("min"),
+                F.max(c).cast("double").alias("max"),
+            ).alias(c)
+            for c in names
+        ]
+    ).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), f"{c}.*") for c in names])))
+    quartiles = (
+        exact_quantiles(values, names, QUARTILES)
         .groupBy("column")
         .agg(
-            F.count("value").alias("count"),
-            ratio(F.sum("value"), F.count("value")).alias("mean"),
-            F.when(
-                ~F.col("column").isin(dates), F.stddev_samp(F.col("value").cast("double"))
-            ).alias("std"),
-            F.min("value").cast("double").alias("min"),
-            F.max("value").cast("double").alias("max"),
+            *[
+                F.max(F.when(F.col("prob") == p, F.col("value"))).alias(f"q{p * 100:.0f}")
+                for p in QUARTILES
+            ]
         )
     )
-    row = quantile_row(values, names, QUARTILES)
-    quartiles = _long(
-        row, {c: {f"q{p * 100:.0f}": F.col(c)[i] for i, p in enumerate(QUARTILES)} for c in names}
-    )
     # Both sides have one row per column.
     return moments.join(F.broadcast(quartiles), "column", "left").select(
         "column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"
     )
 
 
-def _range(df: DataFrame, column: str) -> Column:
-    """Smallest and largest value, as a scalar subquery.
-
-    The range around a single value is widened by a half on both sides.
-    """
-    value = F.col(column).cast("double")
-    margin = F.when(F.min(value) == F.max(value), 0.5).otherwise(0.0)
-    return df.select(
-        F.struct((F.min(value) - margin).alias("low"), (F.max(value) + margin).alias("high"))
-    ).scalar()
-
-
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal-width bins over the value range; the last bin includes the maximum.
 
-    Gives every bin with its edges, the empty ones too.
+    Gives every bin with its edges, the empty ones too. The range around a single
+    value is widened by a half on both sides.
     """
-    span = _range(df, column)
-    low, high = span.getField("low"), span.getField("high")
-    width = (high - low) / bins
-    value = F.col(column).cast("double")
-    position = F.floor((value - low) / width)
+    values = df.select(F.col(column).cast("double").alias("value")).where("value IS NOT NULL")
+    low, high = F.min("value"), F.max("value")
+    margin = F.when(low == high, 0.5).otherwise(0.0)
+    span = values.select(
+        F.struct(
+            (low - margin).alias("low"), ((high + margin - (low - margin)) / bins).alias("width")
+        )
+    ).scalar()
+    # The range is attached as a column, so that the plan holds the subquery once.
     counts = (
-        df.where(value.isNotNull())
-        .groupBy(F.least(position, F.lit(bins - 1)).alias("bin"))
+        values.withColumn("span", span)
+        .groupBy(F.expr(f"least(floor((value - span.low) / span.width), {bins - 1})").alias("bin"))
         .agg(F.count("*").alias("n"))
     )
-    every_bin = df.sparkSession.range(bins).select(F.col("id").alias("bin"))
-    return every_bin.join(F.broadcast(counts), "bin", "left").select(
+    every_bin = df.sparkSession.range(bins).select(F.col("id").alias("bin"), span.alias("span"))
+    # No more rows than bins on either side.
+    return every_bin.join(F.broadcast(counts), "bin", "left").selectExpr(
         "bin",
-        (low + F.col("bin") * width).alias("bin_start"),
-        (low + (F.col("bin") + 1) * width).alias("bin_end"),
-        F.coalesce("n", F.lit(0)).alias("count"),
+        "span.low + bin * span.width AS bin_start",
+        "span.low + (bin + 1) * span.width AS bin_end",
+        "coalesce(n, 0) AS count",
     )
 
 
@@ -183,29 +182,39 @@ def density(
 
     The bandwidth follows Scott's rule, the points run from the smallest to the
     largest value. Equal values are counted first, so the work is one kernel per
-    distinct value and point; each task adds up its share before the shuffle.
+    distinct value and point. A row adds to the points of one block at a time, and each
+    task adds up its share of all points before the shuffle.
     """
-    value = F.col(column).cast("double")
-    stats = df.select(
-        F.struct(
-            F.min(value).alias("low"),
-            F.max(value).alias("high"),
-            F.count(value).alias("n"),
-            F.stddev_samp(value).alias("std"),
-        )
+    values = df.select(F.col(column).cast("double").alias("value")).where("value IS NOT NULL")
+    stats = values.selectExpr(
+        f"""struct(min(value) AS low, (max(value) - min(value)) / {points - 1} AS step,
+            (max(value) - min(value)) / {bins} AS bin_width,
+            stddev_samp(value) * pow(count(value), -0.2D) AS bandwidth)"""
     ).scalar()
-    low, high, n = stats.getField("low"), stats.getField("high"), stats.getField("n")
-    bandwidth = stats.getField("std") * F.pow(n.cast("double"), F.lit(-0.2))
-    counts = df.where(value.isNotNull()).groupBy(value.alias("value")).agg(F.count("*").alias("w"))
-    at = low + F.col("point") * (high - low) / (points - 1)
-    distance = F.try_divide(at - F.col("value"), bandwidth)
+    block = min(_BLOCK, points)
+    kernels = ", ".join(
+        f"sum(w * exp(-0.5D * pow((s.low + (first + {offset}) * s.step - value) / s.bandwidth, 2)))"
+        for offset in range(block)
+    )
+    sums = (
+        values.groupBy("value")
+        .agg(F.count("*").alias("w"))
+        .withColumn("s", stats)
+        .where("s.bandwidth > 0")
+        .selectExpr("*", f"explode(sequence(0, {points - 1}, {block})) AS first")
+        .groupBy("first", "s")
+        .agg(F.expr(f"array({kernels})").alias("kernels"))
+    )
     # Scaling from density to counts: n rows times the width of a bin.
-    scale = F.try_divide((high - low) / bins, bandwidth * F.sqrt(F.lit(2) * F.pi()))
     return (
-        counts.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .groupBy("point")
-        .agg((F.sum(F.col("w") * F.exp(distance * distance * -0.5))).alias("kernels"))
-        .select("point", at.alias("x"), (F.col("kernels") * scale).alias("y"))
+        sums.selectExpr("first", "s", "posexplode(kernels) AS (offset, kernel)")
+        .selectExpr("first + offset AS point", "s", "kernel")
+        .where(F.col("point") < points)
+        .selectExpr(
+            "point",
+            "s.low + point * s.step AS x",
+            "kernel * s.bin_width / (s.bandwidth * sqrt(2 * pi())) AS y",
+        )
     )
 
 
