@@ -74,6 +74,6 @@ def quantile_row(df: DataFrame, columns: list[str], probs: list[float]) -> DataF
 
     def values(name: str) -> str:
         parts = (f"max(value) FILTER (WHERE column = '{name}' AND prob = {p}D)" for p in probs)
-        return f"array({', '.join(parts)}) AS {name}"
+        return f"array({', '.join(parts)}) AS `{name}`"
 
     return found.selectExpr(*map(values, columns))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salescope.functions.quantiles import exact_quantiles
-from salescope.functions.values import nan_to_null, ratio
+from salescope.functions.values import ratio
 from salescope.operators.kpi import grouped, top_selling_products, total
 from salescope.schema import SEQ
 
@@ -256,6 +256,16 @@ def customer_stats(df: DataFrame, n: int | None = None) -> DataFrame:
     return ranked if n is None else ranked.limit(n)
 
 
+def _correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation of the complete pairs; NULL if one side never varies.
+
+    ``corr`` itself stops with a division by zero in that case.
+    """
+    both = a.isNotNull() & b.isNotNull()
+    spreads = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.try_divide(F.covar_pop(a, b), spreads)
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] = CORRELATED) -> DataFrame:
     """Pearson correlation of every pair of columns, as (column, other, correlation).
 
@@ -264,7 +274,7 @@ def correlation_matrix(df: DataFrame, columns: list[str] = CORRELATED) -> DataFr
     pairs = list(combinations(columns, 2))
     numbers = {c: F.col(c).cast("double") for c in columns}
     row = df.agg(
-        *[nan_to_null(F.corr(numbers[a], numbers[b])).alias(f"{a}|{b}") for a, b in pairs],
+        *[_correlation(numbers[a], numbers[b]).alias(f"{a}|{b}") for a, b in pairs],
         # A column correlates with itself unless it never varies.
         *[F.when(F.min(c) < F.max(c), F.lit(1.0)).alias(f"{c}|{c}") for c in columns],
     )
