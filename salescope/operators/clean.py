@@ -122,7 +122,7 @@ def coerce_dates(df: DataFrame, column: str = "Order_Date", fmt: str = DATE_FORM
         if isinstance(df.schema[column].dataType, T.StringType)
         else F.to_date(column)
     )
-    return df.withColumn(column, parsed).dropna(subset=[column])
+    return df.withColumn(column, parsed).where(F.col(column).isNotNull())
 
 
 def date_parts(df: DataFrame, column: str = "Order_Date") -> DataFrame:

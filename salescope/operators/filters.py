@@ -90,4 +90,6 @@ def select_rename(df: DataFrame, names: dict[str, str] | Sequence[str]) -> DataF
 
 def drop_null_subset(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows that have a value in each of the columns."""
-    return df.dropna(subset=list(columns))
+    for column in columns:
+        df = df.where(F.col(column).isNotNull())
+    return df

@@ -24,9 +24,9 @@ def average_order(revenue: Column, orders: Column) -> Column:
 def grouped(df: DataFrame, key: str | list[str], **aggregates: Column) -> DataFrame:
     """Aggregates per key, partial on the map side, without the NULL group."""
     keys = [key] if isinstance(key, str) else key
-    return df.dropna(subset=keys).groupBy(*keys).agg(
-        *[column.alias(name) for name, column in aggregates.items()]
-    )
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())  # unlike dropna this reaches the scan
+    return df.groupBy(*keys).agg(*[column.alias(name) for name, column in aggregates.items()])
 
 
 def total_revenue(df: DataFrame) -> DataFrame:

@@ -283,7 +283,7 @@ def _row_rules(table: str, df: DataFrame) -> DataFrame:
 
 def _duplicates(table: str, key: str, df: DataFrame) -> DataFrame:
     """Rows beyond the first of each key."""
-    per_key = df.dropna(subset=[key]).groupBy(key).agg(F.count("*").alias("n"))
+    per_key = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
     return per_key.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations")).select(
         F.lit(table).alias("table"), F.lit(f"unique {key}").alias("rule"), "violations"
     )
@@ -294,7 +294,7 @@ def _orphans(table: str, key: str, df: DataFrame, target: str, keys: DataFrame)
 
     Rows are counted per key before the join, so a frequent key is one row there.
     """
-    per_key = df.dropna(subset=[key]).groupBy(key).agg(F.count("*").alias("n"))
+    per_key = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
     return (
         per_key.join(keys.select(key), key, "left_anti")
         .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))

@@ -17,7 +17,8 @@ from salescope.functions import formats
 from salescope.operators import clean, dashboard, filters, forecast, kpi, profile, warehouse
 from salescope.operators.forecast import SalesForecaster
 from salescope.plans.fixtures import sales_clean, sales_lines, sales_raw, star
-from salescope.schema import SALES, SEQ
+from salescope.plans.pipeline import preprocess_pipeline
+from salescope.schema import CLEAN_COLUMNS, SALES, SEQ
 from salescope.sources.csv import load_sales_csv, save_sales_csv
 from salescope.sources.shared import fresh_path
 
@@ -71,15 +72,15 @@ def _order_dates(df: DataFrame) -> DataFrame:
 # --- files -----------------------------------------------------------------
 
 
-def _csv_copy(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFrame:
+def _csv_file(spark: SparkSession, sf_dir: str, in_order: bool = False) -> str:
     rows = sales_raw(spark, sf_dir)
     path = fresh_path(spark, "sales_csv")
     save_sales_csv(rows.orderBy(SEQ, "Order_ID") if in_order else rows, path)
-    return load_sales_csv(spark, path)
+    return path
 
 
 def load_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return result(_csv_copy(spark, sf_dir).drop(SEQ))
+    return result(load_sales_csv(spark, _csv_file(spark, sf_dir)).drop(SEQ))
 
 
 def save_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,12 +92,13 @@ def save_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From CSV files to the cleaned table; which copy is first follows the files."""
-    return result(clean.clean(_csv_copy(spark, sf_dir, in_order=True)).drop(SEQ))
+    cleaned, _ = preprocess_pipeline(spark, _csv_file(spark, sf_dir, in_order=True))
+    return result(cleaned.drop(SEQ).select(CLEAN_COLUMNS))
 
 
 def preprocess_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = clean.clean(_csv_copy(spark, sf_dir, in_order=True))
-    return result(kpi.calculate_kpis(cleaned)["kpi_scalars"])
+    _, kpis = preprocess_pipeline(spark, _csv_file(spark, sf_dir, in_order=True))
+    return result(kpis["kpi_scalars"])
 
 
 # --- cleaning --------------------------------------------------------------

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
-_published: dict[tuple[str, str, str], tuple[str, object]] = {}
+_published: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +36,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/salescope/{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def land(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Writes ``df`` to a new table in the shared folder and returns the table.
+
+    With ``partition_by`` the rows are rebalanced on that column first: AQE merges
+    small partitions into few files and splits a partition that holds far more
+    rows than the others, so no value is written by one task alone.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    if partition_by is None:
+        df.write.parquet(path)
+    else:
+        df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def publish(
     spark: SparkSession,
     name: str,
@@ -43,20 +59,8 @@ def publish(
     build: Callable[[], DataFrame],
     partition_by: str | None = None,
 ) -> DataFrame:
-    """Write ``build()`` once per application and ``source``; return the table.
-
-    With ``partition_by`` the rows are rebalanced on that column first: AQE merges
-    small partitions into few files and splits a partition that holds far more
-    rows than the others, so no value is written by one task alone.
-    """
+    """The landed ``build()``; written once per application and ``source``."""
     key = (spark.sparkContext.applicationId, name, source)
     if key not in _published:
-        df = build()
-        path = fresh_path(spark, name)
-        if partition_by is None:
-            df.write.parquet(path)
-        else:
-            df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
-        _published[key] = (path, df.schema)
-    path, schema = _published[key]
-    return spark.read.schema(schema).parquet(path)
+        _published[key] = land(build(), name, partition_by)
+    return _published[key]
