@@ -35,7 +35,7 @@ def line_profit(revenue: Column, cost_ratio: Column) -> Column:
 
 
 def _columns_of(df: DataFrame, *kinds: type[T.DataType]) -> list[str]:
-    return [f.name for f in df.schema if isinstance(f.dataType, kinds)]
+    return [f.name for f in df.schema if isinstance(f.dataType, kinds) and f.name != SEQ]
 
 
 def fill_discount(df: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from salescope.functions.values import ratio
 from salescope.operators.kpi import grouped, total
+from salescope.sources.shared import land
 
 # Model settings and forecast rules.
 SEGMENT = ["Region", "Product_Category"]
@@ -170,7 +171,8 @@ class SalesForecaster:
     @classmethod
     def train(cls, df: DataFrame) -> SalesForecaster:
         """Fits both models on four fifths of the segment months, rates them on the rest."""
-        monthly = lag_features(segment_monthly(df))
+        # Landed, so that the sales are aggregated once and not for every use below.
+        monthly = land(lag_features(segment_monthly(df)), "lag_features")
         encoder = label_encoder(CODES).fit(monthly)
         # Few rows that the forest reads once per tree level: keep them at hand.
         rows = training_rows(monthly, encoder).persist()

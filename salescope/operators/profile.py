@@ -111,8 +111,9 @@ def describe(df: DataFrame) -> DataFrame:
     deviation. The deviation is that of a sample; quartiles are exact, interpolated
     linearly and computed without collecting a column in one task.
     """
-    dates = [f.name for f in df.schema if isinstance(f.dataType, T.DateType)]
-    numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+    kinds = {f.name: f.dataType for f in df.schema if f.name != SEQ}
+    dates = [c for c, kind in kinds.items() if isinstance(kind, T.DateType)]
+    numbers = [c for c, kind in kinds.items() if isinstance(kind, T.NumericType)]
     names = dates + numbers
     values = df.select([_epoch_days(c).alias(c) for c in dates] + numbers)
     moments = values.agg(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from salescope.operators.clean import dedupe_keep_first
 from salescope.schema import RATIO, RAW_MONEY, SEQ, STAR_COLUMNS
+from salescope.sources.shared import land
 
 SUMMARY_VIEW = "vw_sales_summary"
 
@@ -215,7 +216,8 @@ def load_customers(sales: DataFrame, warehouse: str) -> None:
 def load_products(sales: DataFrame, warehouse: str) -> None:
     """Inserts the products whose name the table does not have yet, with new ids."""
     present = read_table(sales.sparkSession, warehouse, "products")
-    new = _absent(product_rows(sales), present, "product_name")
+    # Landed, because numbering reads the rows twice and must see the same ones.
+    new = land(_absent(product_rows(sales), present, "product_name"), "new_products")
     numbered = dense_ids(new, "product_id", ["product_name"], _last_id(present, "product_id"))
     _append(numbered, warehouse, "products")
 

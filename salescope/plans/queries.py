@@ -20,7 +20,7 @@ from salescope.plans.fixtures import sales_clean, sales_lines, sales_raw, star
 from salescope.plans.pipeline import preprocess_pipeline
 from salescope.schema import CLEAN_COLUMNS, SALES, SEQ
 from salescope.sources.csv import load_sales_csv, save_sales_csv
-from salescope.sources.shared import fresh_path
+from salescope.sources.shared import fresh_path, publish
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -139,6 +139,11 @@ def _lags(df: DataFrame) -> DataFrame:
     return forecast.lag_features(forecast.segment_monthly(df))
 
 
+def _landed_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lag features as a table, for queries that read them more than once."""
+    return publish(spark, "lag_features", sf_dir, lambda: _lags(sales_clean(spark, sf_dir)))
+
+
 def _naive(df: DataFrame) -> DataFrame:
     """Two predictions that need no model: last revenue, and last quantity times 900."""
     return _lags(df).withColumns(
@@ -152,7 +157,7 @@ def _naive_metrics(df: DataFrame) -> DataFrame:
 
 def linear_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coefficients of the least-squares fit on the training part."""
-    monthly = _lags(sales_clean(spark, sf_dir))
+    monthly = _landed_lags(spark, sf_dir)
     encoder = forecast.label_encoder(forecast.CODES).fit(monthly)
     rows = forecast.training_rows(monthly, encoder).where("NOT is_test")
     model = forecast.fit_linear(rows).stages[-1]
@@ -435,7 +440,7 @@ def registry() -> dict[str, Query]:
         # forecasting
         "segment_monthly": _on_clean(forecast.segment_monthly),
         "lag_features": _on_clean(_lags),
-        "label_encode": _on_clean(lambda df: forecast.label_encode(_lags(df))),
+        "label_encode": lambda s, d: result(forecast.label_encode(_landed_lags(s, d))),
         "train_test_split": _on_clean(
             lambda df: forecast.train_test_split(_lags(df)).select(
                 "YearMonth", "Region", "Product_Category", "is_test"

@@ -121,3 +121,8 @@ def test_line_amounts_are_exact_to_the_cent(spark):
         clean.line_profit(F.lit("100.05"), F.col("c")).alias("profit"),
     ).first()
     assert (row.revenue, row.profit) == (Decimal("50.97"), Decimal("30.02"))
+
+
+def test_the_position_is_no_value_to_fill(sales):
+    df = clean.handle_missing_values(sales({}, {"Quantity": None}))
+    assert dict(df.dtypes)["_seq"] == "bigint"
