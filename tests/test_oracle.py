@@ -25,3 +25,22 @@ def test_query_without_sql_gives_rows(spark, sf_dir, key):
 
 def test_entry_gives_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize(
+    "key",
+    ["sales_summary_view", "sales_summary_monthly", "validate_constraints", "load_orders", "describe"],
+)
+def test_result_is_the_same_when_tables_are_too_large_to_broadcast(spark, connection, sf_dir, key):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        assert differences(spark, connection, sf_dir, QUERIES[key], SQL[key]) == []
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
