@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salescope.llm import chat, mixing, quality, urls
+from salescope.llm import chat, decontaminate, mixing, quality, tokens, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *quality.MEASURES, "base_failed", "kept", *quality.RATES)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontaminate.digest(decontaminate.find_contamination(docs, benchmark))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -31,6 +36,10 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_ids(_table(spark, sf_dir, "documents"), tokens.public_tokenizer())
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -38,7 +47,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op5_decontamination": op5_decontamination,
     "op6_chat_formatting": op6_chat_formatting,
     "op8_url_filters": op8_url_filters,
+    "op9_token_shards": op9_token_shards,
     "op10_source_mixing": op10_source_mixing,
 }

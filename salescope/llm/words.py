@@ -122,3 +122,11 @@ def gram_hash(words: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         total += words[k : k + count] * _ORDER[k]
     return mix(total)
+
+
+def gram_hash_at(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The same for the runs that start at some words only."""
+    total = np.full(len(at), size, np.uint64)
+    for k in range(size):
+        total += words[at + k] * _ORDER[k]
+    return mix(total)
