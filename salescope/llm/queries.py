@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salescope.llm import chat, decontaminate, mixing, quality, tokens, urls
+from salescope.llm import chat, decontaminate, jaccard, mixing, quality, tokens, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jaccard.similar_documents(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.quality_rules(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", *quality.MEASURES, "base_failed", "kept", *quality.RATES)
@@ -46,6 +51,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
     "op5_decontamination": op5_decontamination,
     "op6_chat_formatting": op6_chat_formatting,
