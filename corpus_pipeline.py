@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salescope.llm import mixing, quality
+from salescope.llm import decontaminate, jaccard, mixing, quality, tokens
 from salescope.sources.shared import land
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,14 +17,32 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs)
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies."""
+    return jaccard.keep_one(docs)
+
+
+def free_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix; one that is taken twice is there twice."""
     return mixing.mixed(docs)
 
 
+def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token shards of the mix, in order of doc_id, and where each document is in them."""
+    return tokens.token_ids(docs, tokens.public_tokenizer())
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", good_quality),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", free_of_benchmark),
     ("source mixing", mixed_sources),
+    ("token shards", token_shards),
 ]
 
 #: The stages that tokenize and compare documents have no form in SQL.
@@ -37,5 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for position, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if position < len(STAGES) - 1:
-            docs = land(docs, name.replace(" ", "_"))
+            docs = land(docs, name.replace(" ", "_").lower())
     return docs
