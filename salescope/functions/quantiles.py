@@ -3,7 +3,9 @@
 ``percentile`` and ``median`` keep every distinct value of a column in the buffer
 of one final task. Here a first pass only counts rows per logarithmic bucket, a
 few thousand rows per column, which tells the buckets the wanted ranks fall in.
-A second pass reads the values of those buckets alone and counts them per value.
+Those buckets are split again, twice, between their own least and greatest value, so
+that a column of very close values is spread too. A last pass reads the values of the
+parts that are left and counts them per value.
 """
 
 from __future__ import annotations
@@ -13,45 +15,77 @@ from pyspark.sql import functions as F
 
 #: Buckets per doubling of the value; one bucket spans 0.14 % of its values.
 BUCKETS_PER_DOUBLING = 512
+#: Equal parts of a bucket, at each of the two splits.
+PARTS = 1 << 14
 
 # Never falls when the value rises. The shift makes the bucket of every positive
-# double positive, as exponents start at -1074.
+# double positive, as exponents start at -1074. Infinities lie beyond all others.
 _BUCKET = f"""
-    CASE WHEN value > 0 THEN floor(log2(value) * {BUCKETS_PER_DOUBLING}) + {1100 * BUCKETS_PER_DOUBLING}
+    CASE WHEN value = double('inf') THEN {1 << 22} WHEN value = double('-inf') THEN -{1 << 22}
+         WHEN value > 0 THEN floor(log2(value) * {BUCKETS_PER_DOUBLING}) + {1100 * BUCKETS_PER_DOUBLING}
          WHEN value < 0 THEN -floor(log2(-value) * {BUCKETS_PER_DOUBLING}) - {1100 * BUCKETS_PER_DOUBLING}
          ELSE 0 END AS bucket"""
 
 
+def _sizes(values: DataFrame) -> DataFrame:
+    """Rows, least and greatest value of each bucket, with the rows up to it in its parent."""
+    return (
+        values.groupBy("name", "parent", "bucket")
+        .agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        .selectExpr("*", "sum(n) OVER (PARTITION BY name, parent ORDER BY bucket) AS upto")
+    )
+
+
+def _reached(ranks: DataFrame) -> DataFrame:
+    """The buckets that the wanted ranks fall in, at most two for each."""
+    return ranks.selectExpr(
+        "name", "bucket", "low", "high", "prob", "position", "before + upto - n AS before", "before + upto AS _upto"
+    ).where("before <= ceil(position) AND floor(position) < _upto").drop("_upto")
+
+
+def _split(values: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Values of the wanted buckets with the part of it that each falls in."""
+    edges = wanted.select("name", F.col("bucket").alias("parent"), "low", "high").distinct()
+    part = (
+        f"CASE WHEN low < high THEN least({PARTS - 1}, floor((value - low) / (high - low) * {PARTS})) ELSE 0 END"
+    )
+    return values.withColumnRenamed("bucket", "parent").join(F.broadcast(edges), ["name", "parent"]).selectExpr(
+        "name", "value", "parent", f"parent * {PARTS} + {part} AS bucket"
+    )
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
     """Quantiles with linear interpolation, as rows of (column, prob, value).
 
-    NULL is ignored; a column without values gives no rows.
+    NULL and NaN are ignored; a column without values gives no rows.
     """
     values = (
         df.select([F.col(c).cast("double").alias(c) for c in columns])
         .unpivot([], columns, "name", "value")
-        .where("value IS NOT NULL")
-        .selectExpr("name", "value", _BUCKET)
+        .where("value IS NOT NULL AND NOT isnan(value)")
+        .selectExpr("name", "value", "0L AS parent", _BUCKET)
     )
-    sizes = values.groupBy("name", "bucket").agg(F.count("*").alias("n"))
-    ranks = sizes.selectExpr(
-        "*",
-        "sum(n) OVER (PARTITION BY name ORDER BY bucket) AS upto",
-        "sum(n) OVER (PARTITION BY name) AS total",
-    ).selectExpr("*", f"explode(array({', '.join(f'{p}D' for p in probs)})) AS prob")
-    ranks = ranks.selectExpr("*", "upto - n AS before", "(total - 1) * prob AS position")
     # At most two rows per column and probability: the broadcasts stay that small.
-    wanted = ranks.where("before <= ceil(position) AND floor(position) < upto").selectExpr(
-        "name", "bucket", "before", "prob", "position"
+    wanted = _reached(
+        _sizes(values)
+        .selectExpr("*", "sum(n) OVER (PARTITION BY name) AS total", "0L AS before")
+        .selectExpr("*", f"explode(array({', '.join(f'{p}D' for p in probs)})) AS prob")
+        .selectExpr("*", "(total - 1) * prob AS position")
     )
+    parts = values.drop("parent")
+    for _ in range(2):
+        parts = _split(parts, wanted)
+        ranks = wanted.selectExpr("name", "bucket AS parent", "prob", "position", "before")
+        wanted = _reached(_sizes(parts).join(F.broadcast(ranks), ["name", "parent"]))
+        parts = parts.drop("parent")
     counted = (
-        values.join(F.broadcast(wanted.select("name", "bucket")), ["name", "bucket"], "left_semi")
+        parts.join(F.broadcast(wanted.select("name", "bucket").distinct()), ["name", "bucket"], "left_semi")
         .groupBy("name", "bucket", "value")
         .agg(F.count("*").alias("n"))
         .selectExpr("*", "sum(n) OVER (PARTITION BY name, bucket ORDER BY value) AS seen")
     )
     # Each value covers the ranks from the rows before it up to the rows including it.
-    ranked = counted.join(F.broadcast(wanted), ["name", "bucket"]).selectExpr(
+    ranked = counted.join(F.broadcast(wanted.drop("low", "high")), ["name", "bucket"]).selectExpr(
         "name",
         "prob",
         "position - floor(position) AS part",
@@ -60,11 +94,11 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> Da
         "CASE WHEN before + seen - n <= ceil(position) AND ceil(position) < before + seen"
         " THEN value END AS high",
     )
-
+    between = "CASE WHEN low = high OR part = 0 THEN low ELSE low + (high - low) * part END AS value"
     return (
         ranked.groupBy("name", "prob")
         .agg(*[F.max(c).alias(c) for c in ("low", "high", "part")])
-        .selectExpr("name AS column", "prob", "low + (high - low) * part AS value")
+        .selectExpr("name AS column", "prob", between)
     )
 
 

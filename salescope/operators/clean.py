@@ -7,19 +7,33 @@ the revenue before medians are filled in.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salescope.functions.quantiles import quantile_row
 from salescope.functions.values import dec, nan_to_null
-from salescope.schema import CLEAN_MONEY, RATIO, RAW_MONEY, SEQ
+from salescope.schema import RATIO, RAW_MONEY, SEQ, clean_money
 
 # What replaces a missing entry.
 UNKNOWN = "Unknown"
 NO_DISCOUNT = 0
 ASSUMED_MARGIN = "0.30"
-DATE_FORMAT = "yyyy-MM-dd"
+#: Patterns that a date may have, the likeliest first; a time of day is dropped.
+DATE_FORMATS = (
+    "yyyy-MM-dd",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS][XXX]",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][XXX]",
+    "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd'T'HH:mm",
+    "yyyy/MM/dd",
+    "yyyy/MM/dd HH:mm:ss",
+    "MM/dd/yyyy",
+    "MM/dd/yyyy HH:mm:ss",
+    "yyyyMMdd",
+)
 
 
 def line_revenue(quantity: Column, unit_price: Column, discount: Column) -> Column:
@@ -51,8 +65,13 @@ def derive_profit(df: DataFrame) -> DataFrame:
     """A missing profit is 30 % of the revenue, unrounded."""
     if not {"Profit", "Revenue"} <= set(df.columns):
         return df
-    estimate = F.col("Revenue").cast(CLEAN_MONEY) * dec(ASSUMED_MARGIN, 3, 2)
-    return df.withColumn("Profit", F.coalesce(F.col("Profit").cast(CLEAN_MONEY), estimate.cast(CLEAN_MONEY)))
+    kinds = [df.schema[c].dataType for c in ("Profit", "Revenue")]
+    if not all(isinstance(k, T.DecimalType) for k in kinds):
+        estimate = F.col("Revenue").cast("double") * float(ASSUMED_MARGIN)
+        return df.withColumn("Profit", F.coalesce(F.col("Profit").cast("double"), estimate))
+    kind = max(map(clean_money, kinds), key=lambda k: (k.scale, k.precision))
+    estimate = F.col("Revenue").cast(kind) * dec(ASSUMED_MARGIN, 3, 2)
+    return df.withColumn("Profit", F.coalesce(F.col("Profit").cast(kind), estimate.cast(kind)))
 
 
 def impute_median(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -71,7 +90,7 @@ def impute_median(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     def filled(name: str) -> Column:
         kind = df.schema[name].dataType
         if isinstance(kind, T.DecimalType):
-            kind = kind if name == "Discount" else CLEAN_MONEY
+            kind = kind if name == "Discount" else clean_money(kind)
         else:
             kind = T.DoubleType()
         return F.coalesce(F.col(name).cast(kind), F.col("_medians").getField(name).cast(kind))
@@ -115,13 +134,19 @@ def dedupe_keep_first(
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def coerce_dates(df: DataFrame, column: str = "Order_Date", fmt: str = DATE_FORMAT) -> DataFrame:
-    """Text to DATE; rows without a valid date are dropped."""
-    parsed = (
-        F.try_to_date(F.col(column), fmt)
-        if isinstance(df.schema[column].dataType, T.StringType)
-        else F.to_date(column)
-    )
+def coerce_dates(
+    df: DataFrame, column: str = "Order_Date", fmt: str | Sequence[str] = DATE_FORMATS
+) -> DataFrame:
+    """Text to DATE by the first pattern that fits; rows without a valid date are dropped.
+
+    A pattern with an offset is read in the time zone of the session.
+    """
+    if isinstance(df.schema[column].dataType, T.StringType):
+        formats = [fmt] if isinstance(fmt, str) else fmt
+        text = F.trim(column)
+        parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats])
+    else:
+        parsed = F.to_date(column)
     return df.withColumn(column, parsed).where(F.col(column).isNotNull())
 
 
@@ -138,7 +163,9 @@ def date_parts(df: DataFrame, column: str = "Order_Date") -> DataFrame:
     )
 
 
-def convert_dates(df: DataFrame, column: str = "Order_Date", fmt: str = DATE_FORMAT) -> DataFrame:
+def convert_dates(
+    df: DataFrame, column: str = "Order_Date", fmt: str | Sequence[str] = DATE_FORMATS
+) -> DataFrame:
     return date_parts(coerce_dates(df, column, fmt), column)
 
 

@@ -7,8 +7,10 @@ times in a row to one row per segment.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
@@ -27,6 +29,7 @@ FEATURES = ["Month", "Region", "Product_Category", "Previous_Revenue", "Previous
 TREES = 100
 DEPTH = 10
 SEED = 42
+BINS = 256
 TEST_SHARE = 0.2
 SALES_DECAY = 0.95
 PERIODS = 6
@@ -118,7 +121,7 @@ def fit_forest(rows: DataFrame) -> PipelineModel:
         maxDepth=DEPTH,
         seed=SEED,
         featureSubsetStrategy="all",
-        maxBins=64,  # no worse on held-out rows than 256, in half the time
+        maxBins=BINS,
         maxMemoryInMB=1024,
         cacheNodeIds=True,
     )
@@ -277,6 +280,10 @@ def read_metrics(spark: SparkSession, path: str) -> dict:
         raise
 
 
+# What Spark says of a model folder that is missing in part or is no model.
+_UNREADABLE = r"PATH_NOT_FOUND|Input path does not exist|UNABLE_TO_INFER_SCHEMA|CANNOT_READ_FILE_FOOTER|is not a Parquet file|FileNotFoundException|UNRESOLVED_COLUMN|NoSuchElementException|RDD is empty|empty collection"
+
+
 def train_and_save(df: DataFrame, path: str) -> SalesForecaster:
     forecaster = SalesForecaster.train(df)
     forecaster.save(df.sparkSession, path)
@@ -284,10 +291,19 @@ def train_and_save(df: DataFrame, path: str) -> SalesForecaster:
 
 
 def load_or_train(df: DataFrame, path: str) -> SalesForecaster:
-    """The saved model if there is a readable one, else a new one, which is saved."""
+    """The saved model if there is a readable one, else a new one, which is saved.
+
+    A model counts as absent or unreadable if files of it are missing or are not what
+    :meth:`SalesForecaster.save` writes. Any other failure, such as storage that cannot be
+    reached, is raised, so that it never replaces a good model.
+    """
     try:
         return SalesForecaster.load(df.sparkSession, path)
-    except Exception:  # whatever is wrong with the saved model, a new one replaces it
+    except (FileNotFoundError, KeyError):
+        return train_and_save(df, path)
+    except (AnalysisException, Py4JJavaError) as error:
+        if not re.search(_UNREADABLE, str(error)):
+            raise
         return train_and_save(df, path)
 
 

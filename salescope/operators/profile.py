@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salescope.functions.quantiles import exact_quantiles
-from salescope.functions.values import ratio
+from salescope.functions.values import nan_to_null, ratio
 from salescope.operators.kpi import grouped, top_selling_products, total
 from salescope.schema import SEQ
 
@@ -28,6 +28,12 @@ def _visible(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != SEQ]
 
 
+def _with_nulls(df: DataFrame) -> DataFrame:
+    """NaN as NULL, as both are missing values in a profile."""
+    floats = [f.name for f in df.schema if isinstance(f.dataType, T.FloatType | T.DoubleType)]
+    return df.withColumns({c: nan_to_null(F.col(c)) for c in floats}) if floats else df
+
+
 def _long(row: DataFrame, fields: dict[str, dict[str, Column]], key: str = "column") -> DataFrame:
     """One wide row of aggregates as one row per entry of ``fields``."""
     entries = [
@@ -51,7 +57,7 @@ def column_info(df: DataFrame) -> DataFrame:
     """Name, type and number of values of each column."""
     names = _visible(df)
     kinds = dict(df.dtypes)
-    row = df.agg(*[F.count(c).alias(c) for c in names])
+    row = _with_nulls(df).agg(*[F.count(c).alias(c) for c in names])
     return _long(row, {c: {"dtype": F.lit(kinds[c]), "non_null": F.col(c)} for c in names})
 
 
@@ -62,7 +68,7 @@ def nunique_per_column(df: DataFrame) -> DataFrame:
     few columns there are.
     """
     names = _visible(df)
-    values = df.select([F.col(c).cast("string").alias(c) for c in names])
+    values = _with_nulls(df).select([F.col(c).cast("string").alias(c) for c in names])
     found = (
         values.unpivot([], names, "column", "value")
         .where("value IS NOT NULL")
@@ -79,7 +85,7 @@ def nunique_per_column(df: DataFrame) -> DataFrame:
 def missing_series(df: DataFrame) -> DataFrame:
     """Missing values per column, as a count and in percent with two decimals."""
     names = _visible(df)
-    row = df.agg(F.count("*").alias("_rows"), *[F.count(c).alias(c) for c in names])
+    row = _with_nulls(df).agg(F.count("*").alias("_rows"), *[F.count(c).alias(c) for c in names])
     missing = {c: F.col("_rows") - F.col(c) for c in names}
     return _long(
         row,
@@ -115,7 +121,7 @@ def describe(df: DataFrame) -> DataFrame:
     dates = [c for c, kind in kinds.items() if isinstance(kind, T.DateType)]
     numbers = [c for c, kind in kinds.items() if isinstance(kind, T.NumericType)]
     names = dates + numbers
-    values = df.select([_epoch_days(c).alias(c) for c in dates] + numbers)
+    values = _with_nulls(df).select([_epoch_days(c).alias(c) for c in dates] + numbers)
     moments = values.agg(
         *[
             F.struct(

@@ -22,7 +22,7 @@ SUMMARY_SQL = """
     SELECT region, product_category, trunc(order_date, 'MM') AS month,
            sum(revenue) AS total_revenue, sum(profit) AS total_profit,
            count(DISTINCT order_id) AS order_count
-    FROM sales JOIN orders USING (order_id) JOIN products USING (product_name)
+    FROM {sales} JOIN {orders} USING (order_id) JOIN {products} USING (product_name)
     GROUP BY region, product_category, trunc(order_date, 'MM')
     ORDER BY month, total_revenue DESC, region, product_category
 """
@@ -30,9 +30,11 @@ SUMMARY_SQL = """
 # --- queries over the star -------------------------------------------------
 
 
-def sales_summary_view(star: dict[str, DataFrame], name: str | None = SUMMARY_VIEW) -> DataFrame:
-    """Sales with their order, customer and product, as a view of 13 columns.
+def sales_summary_view(star: dict[str, DataFrame], name: str | None = None) -> DataFrame:
+    """Sales with their order, customer and product, 13 columns.
 
+    With ``name`` (:data:`SUMMARY_VIEW` is the usual one) they also become a session view
+    of that name, which replaces one that is there.
     Inner joins without hints. Spark broadcasts a side it finds small enough, and
     otherwise splits the skewed partitions of a sort-merge join at run time.
     """
@@ -79,10 +81,11 @@ def sales_summary_monthly(star: dict[str, DataFrame]) -> DataFrame:
 
 
 def read_sql(star: dict[str, DataFrame], query: str = SUMMARY_SQL) -> DataFrame:
-    """The result of SQL text in which the star tables go by their names."""
-    for table, df in star.items():
-        df.createOrReplaceTempView(table)
-    return star["sales"].sparkSession.sql(query)
+    """The result of SQL text in which the star tables go by their names, in braces.
+
+    The tables are handed over with the text, so no view of the session is replaced.
+    """
+    return star["sales"].sparkSession.sql(query, **star)
 
 
 # --- ids and defaults ------------------------------------------------------

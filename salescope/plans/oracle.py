@@ -454,7 +454,8 @@ def oracle() -> dict[str, str]:
     lag_table = segment_table + ", CAST(Previous_Revenue AS DOUBLE) AS Previous_Revenue, Previous_Sales"
     return {
         # files
-        "load_sales_csv": _raw(f"SELECT {_RAW_COLUMNS} FROM raw"),
+        "load_sales_csv": _raw(f"SELECT {_RAW_COLUMNS.replace('BIGINT', 'DOUBLE')} FROM raw"),
+        "csv_round_trip": _clean(f"SELECT {_SALES_COLUMNS} FROM clean"),
         "save_sales_csv": _clean(
             "SELECT Order_ID, CAST(Order_Date AS VARCHAR) AS Order_Date, Customer_ID, Customer_Name, "
             "Product_Category, Product_Name, Region, "
@@ -482,6 +483,7 @@ def oracle() -> dict[str, str]:
             QUALIFY row_number() OVER (PARTITION BY Order_ID ORDER BY {_SEQ}) = 1"""
         ),
         "coerce_dates": _raw("SELECT Order_ID, CAST(Order_Date AS VARCHAR) AS Order_Date FROM raw"),
+        "coerce_timestamps": _raw("SELECT Order_ID, CAST(Order_Date AS VARCHAR) AS Order_Date FROM raw"),
         "date_parts": _raw(
             "SELECT Order_ID, CAST(Order_Date AS VARCHAR) AS Order_Date, CAST(year(Order_Date) AS BIGINT) AS Year, "
             "CAST(month(Order_Date) AS BIGINT) AS Month, strftime(Order_Date, '%Y-%m') AS YearMonth, "

@@ -83,6 +83,14 @@ def load_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result(load_sales_csv(spark, _csv_file(spark, sf_dir)).drop(SEQ))
 
 
+def _timestamp_text(df: DataFrame) -> DataFrame:
+    """Order dates as text with a time of day, in three notations."""
+    day, nth = F.col("Order_Date").cast("timestamp"), F.abs(F.hash("Order_ID")) % 3
+    patterns = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd"]
+    text = F.coalesce(*[F.when(nth == k, F.date_format(day, p)) for k, p in enumerate(patterns)])
+    return df.withColumn("Order_Date", text)
+
+
 def save_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text that was written, read back without types."""
     path = fresh_path(spark, "saved_csv")
@@ -90,6 +98,13 @@ def save_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result(spark.read.option("header", True).csv(path))
 
 
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned table written to files and read again, with its types."""
+    path = fresh_path(spark, "saved_csv")
+    save_sales_csv(sales_clean(spark, sf_dir), path)
+    return result(load_sales_csv(spark, path).drop(SEQ))
+
+
 def preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From CSV files to the cleaned table; which copy is first follows the files."""
     cleaned, _ = preprocess_pipeline(spark, _csv_file(spark, sf_dir, in_order=True))
@@ -291,6 +306,7 @@ def registry() -> dict[str, Query]:
         # files
         "load_sales_csv": load_csv,
         "save_sales_csv": save_csv,
+        "csv_round_trip": csv_round_trip,
         "read_summary_sql": lambda s, d: result(warehouse.read_sql(star(s, d))),
         "model_save_load": reloaded_predictions,
         # cleaning
@@ -302,6 +318,9 @@ def registry() -> dict[str, Query]:
         "coerce_dates": _on_raw(
             lambda df: clean.coerce_dates(_order_dates(df)).select("Order_ID", "Order_Date")
         ),
+        "coerce_timestamps": _on_raw(
+            lambda df: clean.coerce_dates(_timestamp_text(df)).select("Order_ID", "Order_Date")
+        ),
         "date_parts": _on_raw(
             lambda df: clean.date_parts(df).select(
                 "Order_ID", "Order_Date", "Year", "Month", "YearMonth", "Quarter"

@@ -126,3 +126,18 @@ def test_line_amounts_are_exact_to_the_cent(spark):
 def test_the_position_is_no_value_to_fill(sales):
     df = clean.handle_missing_values(sales({}, {"Quantity": None}))
     assert dict(df.dtypes)["_seq"] == "bigint"
+
+
+def test_dates_in_several_notations_are_kept(sales):
+    texts = {
+        "2024-01-01": "2024-01-01",
+        "2024-01-01 00:00:00": "2024-01-01",
+        "2024-01-02T10:11:12.123": "2024-01-02",
+        "2024/01/05": "2024-01-05",
+        "01/31/2024": "2024-01-31",
+        "20240203": "2024-02-03",
+    }
+    bad = ["2024-13-01", "soon", "10:30", "2024"]
+    rows = sales(*[{"Order_ID": t, "Order_Date": t} for t in [*texts, *bad]])
+    assert {r.Order_ID: str(r.Order_Date) for r in clean.coerce_dates(rows).collect()} == texts
+    assert clean.coerce_dates(rows, fmt="yyyy/MM/dd").count() == 1

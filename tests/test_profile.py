@@ -124,3 +124,30 @@ def test_customer_means_are_per_row(sales):
     df = sales({"Revenue": "10.00"}, {"Revenue": "20.00"}, {"Order_ID": "B", "Revenue": "60.00"})
     row = profile.customer_stats(df).first()
     assert (float(row.Total_Revenue), row.Order_Count, row.Avg_Order_Value) == (90.0, 2, 30.0)
+
+
+def test_nan_is_missing_like_null(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (3.0,)], "x DOUBLE")
+    assert profile.missing_series(df).first().missing_count == 2
+    assert profile.column_info(df).first().non_null == 2
+    assert profile.nunique_per_column(df).first().n_unique == 2
+    row = profile.describe(df).first()
+    assert (row["count"], row.mean, row.q50, row.max) == (2, 2.0, 2.0, 3.0)
+
+
+def test_quantiles_of_infinities_and_of_close_values(spark):
+    from salescope.functions.quantiles import exact_quantiles
+
+    ends = spark.createDataFrame([(float("inf"),), (float("-inf"),), (1.0,), (float("nan"),)], "x DOUBLE")
+    assert exact_quantiles(ends, ["x"], [0.0, 0.5, 1.0]).orderBy("prob").collect()[1].value == 1.0
+    close = spark.range(100_001).selectExpr("1000D + id / 200000D AS x")  # one bucket holds all
+    assert exact_quantiles(close, ["x"], [0.5]).first().value == 1000.25
+
+
+def test_close_values_are_spread_over_windows(spark):
+    from salescope.functions import quantiles
+
+    close = spark.range(100_000).selectExpr("'x' AS name", "1000D + id / 200000D AS value", "0L AS bucket")
+    edges = spark.sql("SELECT 'x' AS name, 0L AS bucket, 1000D AS low, 1000.5D AS high")
+    largest = quantiles._split(close, edges).groupBy("bucket").count().agg({"count": "max"}).first()[0]
+    assert largest < 20
