@@ -17,24 +17,32 @@ def _star(edges: DataFrame, nearest: DataFrame) -> DataFrame:
     return edges.join(nearest, "a")
 
 
+def _is_done(state: DataFrame) -> bool:
+    """Whether every node but the roots has one edge, and that to a root."""
+    twice = state.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    inner = state.join(state.selectExpr("b AS a").distinct(), "a", "left_semi").select("a")
+    return twice.unionByName(inner).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root``, the least node of its component, for all nodes of ``edges``.
 
     ``edges`` has a and b of one orderable type; loops and repeats do no harm. In turns,
     every node hands its least neighbour to the larger and then to the smaller ones, until
-    nothing changes; that takes some rounds per doubling of the longest path. A node with
-    very many edges meets its least neighbour in a join, which may be split, and
+    all edges lead to roots; that takes some rounds per doubling of the longest path. A node
+    with very many edges meets its least neighbour in a join, which may be split, and
     never gathers its neighbours. Each round is written to the shared folder.
     """
-    state = land(edges.where("a <> b").select("a", "b").distinct(), "component_edges")
-    before = None
-    while True:
+    state = land(
+        edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), "component_edges"
+    )
+    while not _is_done(state):
         # Larger neighbours go to the least of a node and all its neighbours.
         ways = _both_ways(state)
         least = ways.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m")
         large = _star(ways, least).where("b > a").selectExpr("b AS a", "m AS b").distinct()
         # Smaller neighbours, and the node itself, go to the least of them.
-        down = land(large.selectExpr("greatest(a, b) AS a", "least(a, b) AS b"), "component_edges")
+        down = land(large, "component_edges")
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = (
             _star(down, least)
@@ -44,8 +52,4 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         state = land(small, "component_edges")
-        now = state.selectExpr("count(*)", "coalesce(sum(CAST(hash(a, b) AS DECIMAL(20))), 0)").first()
-        if now == before:
-            break
-        before = now
     return state.selectExpr("a AS node", "b AS root").unionByName(state.selectExpr("b AS node", "b AS root").distinct())

@@ -263,8 +263,9 @@ class _Bucket:
             if b - a > 1 and (group := of[a:b].tobytes()) not in done:
                 done.add(group)
                 self._tie(of[a:b], sizes, forest)
-        child = [k for k in range(len(self.signs)) if forest.parent[k] != k]
-        return [self.signs[k] for k in child], [self.signs[forest.root(k)] for k in child]
+        tied = [k for k in range(len(self.signs)) if forest.parent[k] != k]
+        tied += sorted({forest.root(k) for k in tied})
+        return [self.signs[k] for k in tied], _least_signs([self.signs[k] for k in tied], [forest.root(k) for k in tied])
 
     def _tie(self, members: np.ndarray, sizes: np.ndarray, forest: _Forest) -> None:
         widths = np.array([len(self.bits[m]) for m in members])
@@ -296,6 +297,14 @@ class _Bucket:
                 forest.tie(one, other)
 
 
+def _least_signs(signs: list[bytes], labels: list[int]) -> list[bytes]:
+    """The least signature under each one's label: the root of a tree of one level."""
+    least: dict[int, bytes] = {}
+    for sign, label in zip(signs, labels, strict=True):
+        least[label] = min(sign, least.get(label, sign))
+    return [least[label] for label in labels]
+
+
 class _Forest:
     def __init__(self, count: int):
         self.parent = list(range(count))
@@ -445,7 +454,7 @@ def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array([signs[k] for k in linked], pa.binary()),
                 pa.array(total[linked]),
-                pa.array([signs[k] for k in label[linked]], pa.binary()),
+                pa.array(_least_signs([signs[k] for k in linked], label[linked].tolist()), pa.binary()),
             ],
             names=["sig", "links", "root"],
         )
