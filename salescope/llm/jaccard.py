@@ -39,7 +39,7 @@ COMMON_IN_TASK = 8
 #: So many of the most common shingles are ordered by count, in 2 MB. All others come first.
 ORDERED = 1 << 17
 #: First shingles that one task is to compare.
-BUCKET_SHINGLES = 2_000_000
+BUCKET_SHINGLES = 3_000_000
 #: A common shingle's documents are split in blocks of about so many, and these paired.
 SPLIT = 4096
 #: Sets and shingles in one block of a cluster.
@@ -511,7 +511,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
             "least", "copies", "cluster", "block", "least(block, _other) AS low", "greatest(block, _other) AS high"
         )
     )
-    sets = texts.select("doc_id", "text").join(members, F.expr("doc_id <=> least"))
+    # The members grow with the corpus: no broadcast, however small they are.
+    sets = texts.select("doc_id", "text").join(members.hint("merge"), F.expr("doc_id <=> least"))
     grouped = (
         sets.select("cluster", "low", "high", "block", "copies", "text")
         .repartition("cluster", "low", "high")
