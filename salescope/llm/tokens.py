@@ -42,8 +42,8 @@ SHARD_IDS = 4_000_000
 END_ID = 0
 #: Documents in a bucket of the index, on average.
 BUCKET_KEYS = 4
-#: Distinct text parts that a worker remembers.
-REMEMBERED = 2_000_000
+#: Distinct text parts that a worker remembers, and those it encodes in one go.
+REMEMBERED, TOGETHER = 1_000_000, 1 << 14
 
 _CASED = np.random.Generator(np.random.PCG64(77_003)).integers(1, 1 << 63, 256, dtype=np.uint64)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -94,18 +94,21 @@ class Encoder:
         spaces = np.concatenate(([0], np.cumsum(data == 0x20)))
         plain = (data[starts] == 0x20) & (spaces[ends] - spaces[starts] == 1)
         out: list = [None] * len(starts)
-        chosen = np.flatnonzero(plain)
-        if len(chosen):
+        # The library keeps far more than ids per token, so few parts go in at a time.
+        every = np.flatnonzero(plain)
+        for low in range(0, len(every), TOGETHER):
+            chosen = every[low : low + TOGETHER]
             length = size[chosen]
             at = np.repeat(starts[chosen] - np.cumsum(length) + length, length) + np.arange(length.sum())
             ids = self._whole([data[at].tobytes().decode()])[0]
             edges = np.flatnonzero(self.starts_word[ids])
             for k, own in zip(chosen.tolist(), np.split(ids, edges[1:]), strict=True):
                 out[k] = own
-        other = np.flatnonzero(~plain)
-        texts = [data[starts[k] : ends[k]].tobytes().decode() for k in other]
-        for k, own in zip(other.tolist(), self._whole(texts), strict=True):
-            out[k] = own
+        every = np.flatnonzero(~plain)
+        for low in range(0, len(every), TOGETHER):
+            other = every[low : low + TOGETHER].tolist()
+            for k, own in zip(other, self._whole([data[starts[k] : ends[k]].tobytes().decode() for k in other]), strict=True):
+                out[k] = own
         return out
 
     def _remember(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
@@ -129,26 +132,34 @@ class Encoder:
         self.ids = ids[np.repeat(own - self.offsets[:-1], long) + np.arange(self.offsets[-1])]
         self.keys = keys[order]
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts, one after the other, and how many each has."""
-        if not self.by_parts:
-            whole = self._whole([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
-            return np.concatenate([np.empty(0, self.kind), *whole]), np.array([len(x) for x in whole], np.int64)
+    def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the parts of some texts start, and their fingerprints."""
         if len(data) == 0:
-            return np.empty(0, self.kind), np.zeros(len(offsets) - 1, np.int64)
-        space = (data <= 0x20) & ((data == 0x20) | ((data >= 0x09) & (data <= 0x0D)) | (data >= 0x1C))
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D)) | ((data >= 0x1C) & (data <= 0x1F))
         wide = data >= 0x80
         cut = np.zeros(len(data), bool)
-        cut[1:-1] = (
-            (data[1:-1] == 0x20) & ~space[:-2] & ~space[2:] & ~(wide[:-2] & wide[2:])
-        )
+        cut[1:-1] = (data[1:-1] == 0x20) & ~space[:-2] & ~space[2:] & ~(wide[:-2] & wide[2:])
         cut[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
         starts = np.flatnonzero(cut)
-        ends = np.concatenate((starts[1:], [len(data)]))
         up, _ = powers(len(data) + 1)
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_CASED[data] * up[: len(data)], out=total[1:])
-        keys, at, place = np.unique(span_hash(total, starts, ends), return_index=True, return_inverse=True)
+        return starts, span_hash(total, starts, np.concatenate((starts[1:], [len(data)])))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after the other, and how many each has."""
+        if not self.by_parts:
+            whole = self._whole([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+            return np.concatenate([np.empty(0, self.kind), *whole]), np.array([len(x) for x in whole], np.int64)
+        if len(data) == 0:
+            return np.empty(0, self.kind), np.zeros(len(offsets) - 1, np.int64)
+        found = [self._cut(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in pieces(offsets)]
+        base = [offsets[a] for a, _ in pieces(offsets)]
+        starts = np.concatenate([own + start for (own, _), start in zip(found, base, strict=True)])
+        ends = np.concatenate((starts[1:], [len(data)]))
+        prints = np.concatenate([own for _, own in found])
+        keys, at, place = np.unique(prints, return_index=True, return_inverse=True)
         self._remember(data, keys, starts[at], ends[at])
         known = np.searchsorted(self.keys, keys)[place]
         size = self.offsets[known + 1] - self.offsets[known]
