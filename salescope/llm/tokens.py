@@ -37,8 +37,8 @@ MAGIC = b"TOKSHRD1"
 HEADER = np.dtype(
     [("magic", "S8"), ("partition", "<u4"), ("shard", "<u4"), ("width", "<u4"), ("docs", "<u4"), ("ids", "<u8"), ("buckets", "<u4")]
 )
-#: A shard is closed by the document that reaches so many ids.
-SHARD_IDS = 4_000_000
+#: A shard is closed by the document that reaches so many ids, or is the last of so many.
+SHARD_IDS, SHARD_DOCS = 4_000_000, 1 << 16
 END_ID = 0
 #: Documents in a bucket of the index, on average.
 BUCKET_KEYS = 4
@@ -298,7 +298,7 @@ def _shards(shared, end_id: int, shard_ids: int):
                     keys.append(numbers[low + k])
                     ids.append(np.concatenate((found[upto[k] : upto[k + 1]], end)))
                     held += len(ids[-1])
-                    if held >= shard_ids:
+                    if held >= shard_ids or len(keys) >= SHARD_DOCS:
                         yield close()
         if keys:
             yield close()
