@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from salescope.operators.clean import dedupe_keep_first
-from salescope.schema import RATIO, RAW_MONEY, SEQ, STAR_COLUMNS
+from salescope.schema import RATIO, SEQ, STAR_COLUMNS
 from salescope.sources.shared import land
 
 SUMMARY_VIEW = "vw_sales_summary"
@@ -115,10 +115,23 @@ def dense_ids(df: DataFrame, name: str, keys: list[str], after: Column | int = 0
     )
 
 
-def sparse_ids(df: DataFrame, name: str, after: Column | int = 0) -> DataFrame:
-    """Adds unique ids above ``after`` that may have gaps, without any shuffle."""
+def numbered(df: DataFrame, name: str, after: Column | int = 0) -> DataFrame:
+    """Adds ids that run without gaps from ``after + 1``, in the order of partitions.
+
+    The rows are landed with their place in their partition, so that a retried task cannot
+    change it, and shifted by the rows of the partitions before. Rows are not shuffled, and
+    the window has one row per partition.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = land(df.withColumns({"_part": F.spark_partition_id(), "_place": place}), "numbered")
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    shifts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_shift"))
     start = F.lit(after) if isinstance(after, int) else after
-    return df.withColumn(name, start + F.monotonically_increasing_id() + 1)
+    return (
+        rows.join(F.broadcast(shifts), "_part")
+        .withColumn(name, start + F.col("_shift") + F.col("_place") + 1)
+        .drop("_part", "_place", "_shift")
+    )
 
 
 def insert_defaults(df: DataFrame) -> DataFrame:
@@ -169,16 +182,23 @@ def order_rows(sales: DataFrame) -> DataFrame:
     )
 
 
+#: Columns of the sales table with the types of the warehouse.
+SALES_TYPES = {
+    "quantity": "int",
+    "unit_price": "decimal(10,2)",
+    "discount": "decimal(5,4)",
+    "revenue": "decimal(12,2)",
+    "profit": "decimal(12,2)",
+}
+
+
 def sales_rows(sales: DataFrame) -> DataFrame:
-    """Every line with the types of the sales table."""
+    """Every line with the types of the sales table; an amount that does not fit is an error."""
+    names = dict(zip(SALES_TYPES, ("Quantity", "Unit_Price", "Discount", "Revenue", "Profit"), strict=True))
     return sales.select(
         F.col("Order_ID").alias("order_id"),
         F.col("Product_Name").alias("product_name"),
-        F.col("Quantity").cast("int").alias("quantity"),
-        F.col("Unit_Price").cast("decimal(10,2)").alias("unit_price"),
-        F.col("Discount").cast(RATIO).alias("discount"),
-        F.col("Revenue").cast(RAW_MONEY).alias("revenue"),
-        F.col("Profit").cast(RAW_MONEY).alias("profit"),
+        *[F.col(source).cast(SALES_TYPES[c]).alias(c) for c, source in names.items()],
     )
 
 
@@ -234,14 +254,13 @@ def load_orders(sales: DataFrame, warehouse: str) -> None:
 def load_sales(sales: DataFrame, warehouse: str, idempotent: bool = False) -> None:
     """Appends every line, so that loading twice doubles the table.
 
-    With ``idempotent`` the lines of orders that already have sales are left out. Ids
-    are unique but not dense, which spares the largest table a shuffle.
+    With ``idempotent`` the lines of orders that already have sales are left out.
     """
     present = read_table(sales.sparkSession, warehouse, "sales")
     new = sales_rows(sales)
     if idempotent and present is not None:
         new = new.join(present.select("order_id").distinct(), "order_id", "left_anti")
-    _append(sparse_ids(new, "sale_id", _last_id(present, "sale_id")), warehouse, "sales")
+    _append(numbered(new, "sale_id", _last_id(present, "sale_id")), warehouse, "sales")
 
 
 # --- constraints -----------------------------------------------------------
@@ -261,7 +280,12 @@ NOT_NULL = {
         "profit",
     ],
 }
-UNIQUE = {"customers": "customer_id", "products": "product_name", "orders": "order_id"}
+UNIQUE = {
+    "customers": ["customer_id"],
+    "products": ["product_name", "product_id"],
+    "orders": ["order_id"],
+    "sales": ["sale_id"],
+}
 REFERENCES = [
     ("orders", "customer_id", "customers"),
     ("sales", "order_id", "orders"),
@@ -272,81 +296,129 @@ CHECKS = {
     "unit_price >= 0": "unit_price >= 0",
     "discount in [0, 1]": "discount BETWEEN 0 AND 1",
 }
+LENGTHS = {
+    "customers": {"customer_id": 20, "customer_name": 100},
+    "products": {"product_name": 100, "product_category": 50},
+    "orders": {"order_id": 20, "customer_id": 20, "region": 50, "sales_channel": 50},
+    "sales": {"order_id": 20, "product_name": 100},
+}
+
+#: What a load takes each column of the star tables from.
+SOURCES = {
+    "customer_id": "Customer_ID",
+    "customer_name": "Customer_Name",
+    "product_name": "Product_Name",
+    "product_category": "Product_Category",
+    "order_id": "Order_ID",
+    "order_date": "Order_Date",
+    "region": "Region",
+    "sales_channel": "Sales_Channel",
+    "quantity": "Quantity",
+    "unit_price": "Unit_Price",
+    "discount": "Discount",
+    "revenue": "Revenue",
+    "profit": "Profit",
+}
 
 
-def _row_rules(table: str, df: DataFrame) -> DataFrame:
-    """Violations of the rules that look at one row, from one scan."""
-    broken = {f"not null {c}": F.col(c).isNull() for c in NOT_NULL[table]}
+def _tests(table: str, columns: dict[str, Column]) -> dict[str, Column]:
+    """For each rule that looks at one row of ``table``, whether a row breaks it."""
+    tests = {f"not null {c}": columns[c].isNull() for c in NOT_NULL[table]}
+    tests |= {f"length {c} <= {n}": F.char_length(columns[c]) > n for c, n in LENGTHS[table].items()}
     if table == "sales":
-        broken |= {f"check {name}": ~F.expr(rule) for name, rule in CHECKS.items()}
+        fitted = {c: columns[c].try_cast(kind) for c, kind in SALES_TYPES.items()}
+        tests |= {
+            f"type {c} {kind}": columns[c].isNotNull() & fitted[c].isNull() for c, kind in SALES_TYPES.items()
+        }
+        tests["check quantity > 0"] = fitted["quantity"] <= 0
+        tests["check unit_price >= 0"] = fitted["unit_price"] < 0
+        tests["check discount in [0, 1]"] = ~fitted["discount"].between(0, 1)
+    return tests
+
+
+def _counted(df: DataFrame, tests: dict[tuple[str, str], Column]) -> DataFrame:
+    """Violations of rules that look at one row, from one scan."""
     entries = [
         F.struct(F.lit(table).alias("table"), F.lit(rule).alias("rule"), F.count_if(test).alias("violations"))
-        for rule, test in broken.items()
+        for (table, rule), test in tests.items()
     ]
     return df.agg(F.array(*entries).alias("rules")).select(F.inline("rules"))
 
 
-def _duplicates(table: str, key: str, df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each key."""
-    per_key = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    return per_key.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations")).select(
-        F.lit(table).alias("table"), F.lit(f"unique {key}").alias("rule"), "violations"
+def _row_rules(table: str, df: DataFrame) -> DataFrame:
+    tests = _tests(table, {c: F.col(c) for c in NOT_NULL[table]})
+    return _counted(df, {(table, rule): test for rule, test in tests.items()})
+
+
+def _sum_of(counts: DataFrame, table: str, rule: str, column: Column) -> DataFrame:
+    return counts.agg(F.coalesce(F.sum(column), F.lit(0)).alias("violations")).select(
+        F.lit(table).alias("table"), F.lit(rule).alias("rule"), "violations"
     )
 
 
-def _orphans(table: str, key: str, df: DataFrame, target: str, keys: DataFrame) -> DataFrame:
+def _duplicates(table: str, key: str, counts: DataFrame) -> DataFrame:
+    """Rows beyond the first of each key, from rows per key or finer."""
+    per_key = counts.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("n").alias("n"))
+    return _sum_of(per_key, table, f"unique {key}", F.col("n") - 1)
+
+
+def _orphans(table: str, key: str, counts: DataFrame, target: str, keys: DataFrame) -> DataFrame:
     """Rows whose key is missing in the table it refers to.
 
     Rows are counted per key before the join, so a frequent key is one row there.
     """
-    per_key = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    return (
-        per_key.join(keys.select(key), key, "left_anti")
-        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))
-        .select(
-            F.lit(table).alias("table"), F.lit(f"references {target} {key}").alias("rule"), "violations"
-        )
-    )
+    per_key = counts.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("n").alias("n"))
+    missing = per_key.join(keys.select(key).distinct(), key, "left_anti")
+    return _sum_of(missing, table, f"references {target} {key}", F.col("n"))
 
 
 def validate_constraints(star: dict[str, DataFrame]) -> DataFrame:
-    """How many rows break each rule, as (table, rule, violations)."""
+    """How many rows break each rule, as (table, rule, violations).
+
+    A table is read once for the rules about single rows, and once for its keys: rows are
+    counted per combination of them, and all rules about keys share these counts. An id that
+    a load generates is checked where the table has it; that of the sales, which
+    identifies each row, in a read of its own.
+    """
+    keys = {t: [k for k in columns if k in star[t].columns] for t, columns in UNIQUE.items()}
+    shared = {
+        t: [*(k for k in keys[t] if k != "sale_id"), *(k for table, k, _ in REFERENCES if table == t)]
+        for t in star
+    }
+    counts = {t: star[t].groupBy(*shared[t]).agg(F.count("*").alias("n")) for t in star}
     results = [_row_rules(table, star[table]) for table in NOT_NULL]
-    results += [_duplicates(table, key, star[table]) for table, key in UNIQUE.items()]
+    for table, own in keys.items():
+        for key in own:
+            single = star[table].groupBy(key).agg(F.count("*").alias("n")) if key == "sale_id" else counts[table]
+            results.append(_duplicates(table, key, single))
     results += [
-        _orphans(table, key, star[table], target, star[target]) for table, key, target in REFERENCES
+        _orphans(table, key, counts[table], target, counts[target]) for table, key, target in REFERENCES
     ]
     return reduce(DataFrame.unionByName, results)
 
 
-def _broken(star: dict[str, DataFrame]) -> list:
-    """The NOT NULL and CHECK rules with violations; at most one row per rule."""
-    results = reduce(DataFrame.unionByName, [_row_rules(t, star[t]) for t in NOT_NULL])
-    return results.where("violations > 0").collect()
+def _broken(df: DataFrame, tables: list[str], columns: dict[str, Column]) -> list:
+    """Rules about single rows that rows of ``df`` break, from one scan; few rows at most."""
+    tests = {(t, rule): test for t in tables for rule, test in _tests(t, columns).items()}
+    return _counted(df, tests).where("violations > 0").collect()
 
 
 def require_valid(sales: DataFrame) -> None:
-    """Raises ValueError if a row to be inserted breaks a NOT NULL or CHECK rule.
+    """Raises ValueError if a row to be inserted breaks a rule about single rows.
 
     One scan of all rows finds nothing in most cases. Only if it finds something are
     the first rows per key looked up, to tell whether one of those is concerned. Keys
     need no check: a load keeps one row per key, and inserts what is referred to first.
     """
-    lines = insert_defaults(sales_rows(sales))
-    every_row = {
-        **{t: sales.select(STAR_COLUMNS[t]) for t in ("customers", "products", "orders")},
-        "sales": lines,
-    }
-    if not _broken(every_row):
+    columns = {c: F.col(source) for c, source in SOURCES.items()}
+    columns["discount"] = F.coalesce(columns["discount"], F.lit(0))  # as an insert does
+    tables = list(NOT_NULL)
+    if not (broken := _broken(sales, tables, columns)):
         return
-    broken = _broken(
-        {
-            "customers": customer_rows(sales),
-            "products": product_rows(sales),
-            "orders": order_rows(sales),
-            "sales": lines,
-        }
-    )
+    broken = [r for r in broken if r.table == "sales"]
+    firsts = {"customers": customer_rows, "products": product_rows, "orders": order_rows}
+    for table, rows in firsts.items():
+        broken += _broken(rows(sales), [table], {c: F.col(c) for c in NOT_NULL[table]})
     if broken:
         raise ValueError(
             "; ".join(f"{r.table}: {r.rule} broken by {r.violations} rows" for r in broken)

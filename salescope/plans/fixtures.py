@@ -3,7 +3,7 @@
 ``sales_raw`` is the flat table the cleaning operators start from, one row per
 line item and with a few values removed on purpose; ``sales_lines`` keeps one
 order id per order and misses nothing, which is what the star tables are loaded
-from. Both are published once per session, as is the cleaned table.
+from. They come from one join. Tables are published once per session, as is the cleaned one.
 """
 
 from __future__ import annotations
@@ -73,15 +73,22 @@ def _sales_columns(order_id: Column) -> list[Column]:
     ]
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined line items as sales columns, written once for both tables below."""
+    order_id = F.concat(F.lit("ORD-"), F.col("l_orderkey"))
+    columns = [*_sales_columns(order_id), "l_orderkey", "l_linenumber"]
+    return publish(spark, "sales_lines", sf_dir, lambda: _joined(spark, sf_dir).select(*columns))
+
+
 def sales_raw_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat sales with one id per (order, line number) and some missing values."""
-    order_id = F.concat(F.lit("ORD-"), F.col("l_orderkey"), F.lit("-"), F.col("l_linenumber"))
+    order_id = F.concat_ws("-", "Order_ID", "l_linenumber")
     slot = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 200
-    rows = _joined(spark, sf_dir).select(*_sales_columns(order_id), slot.alias("_slot"))
+    rows = _lines(spark, sf_dir).withColumns({"_slot": slot, "Order_ID": order_id})
     missing = {"Region": 50, "Quantity": 150, "Discount": 0, "Profit": 100}
     return rows.withColumns(
         {c: F.when(F.col("_slot") != at, F.col(c)) for c, at in missing.items()}
-    ).drop("_slot")
+    ).drop("_slot", "l_orderkey", "l_linenumber")
 
 
 def sales_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,13 +108,7 @@ def sales_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete flat sales in which the lines of an order share its id."""
-    order_id = F.concat(F.lit("ORD-"), F.col("l_orderkey"))
-    return publish(
-        spark,
-        "sales_lines",
-        sf_dir,
-        lambda: _joined(spark, sf_dir).select(*_sales_columns(order_id)),
-    )
+    return _lines(spark, sf_dir).drop("l_orderkey", "l_linenumber")
 
 
 def star(spark: SparkSession, sf_dir: str, ambiguous_names: bool = False) -> dict[str, DataFrame]:

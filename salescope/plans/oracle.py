@@ -273,54 +273,82 @@ _KINDS = dict.fromkeys(_ALL, "string") | {
     "Profit": "decimal(12,2)",
 }
 
-_BROKEN = """r_orders AS (SELECT * FROM raw WHERE Region IS NOT NULL),
-r_products AS (SELECT DISTINCT Product_Name FROM raw)"""
+def _spoilt(column: str, at: int) -> str:
+    return (
+        f"CASE l_linenumber WHEN {at} THEN NULL WHEN {at + 1} THEN repeat({column}, 30) ELSE {column} END"
+    )
+
+
+_BROKEN = f"""b_customers AS (
+    SELECT {_spoilt('Customer_ID', 5)} AS customer_id, {_spoilt('Customer_Name', 1)} AS customer_name FROM raw),
+b_products AS (
+    SELECT {_spoilt('Product_Name', 1)} AS product_name, {_spoilt('Product_Category', 3)} AS product_category,
+        l_linenumber AS product_id FROM raw),
+b_orders AS (
+    SELECT {_spoilt('Order_ID', 1)} AS order_id, CASE WHEN l_linenumber <> 3 THEN Order_Date END AS order_date,
+        {_spoilt('Customer_ID', 3)} AS customer_id, {_spoilt('Region', 5)} AS region,
+        {_spoilt('Sales_Channel', 4)} AS sales_channel FROM raw
+    UNION ALL
+    SELECT Order_ID, Order_Date, Customer_ID, Region, Sales_Channel FROM raw WHERE l_linenumber = 3),
+b_sales AS (
+    SELECT {_spoilt('Order_ID', 2)} AS order_id, {_spoilt('Product_Name', 5)} AS product_name,
+        CASE l_linenumber WHEN 1 THEN -Quantity WHEN 2 THEN Quantity::BIGINT * 1000000000 ELSE Quantity END AS quantity,
+        CASE l_linenumber WHEN 1 THEN -Unit_Price WHEN 2 THEN Unit_Price::DECIMAL(20,2) * 100000000
+            WHEN 3 THEN NULL ELSE Unit_Price END AS unit_price,
+        CASE l_linenumber WHEN 1 THEN 2 WHEN 2 THEN 12 ELSE Discount::DECIMAL(10,4) END AS discount,
+        CASE l_linenumber WHEN 5 THEN NULL WHEN 3 THEN Revenue::DECIMAL(25,2) * 1000000000 ELSE Revenue END AS revenue,
+        CASE l_linenumber WHEN 4 THEN Profit::DECIMAL(25,2) * 1000000000 ELSE Profit END AS profit,
+        l_linenumber AS sale_id FROM raw)"""
 
 
 def _violations() -> str:
-    def nulls(table: str, source: str, columns: dict[str, str]) -> list[str]:
-        return [
-            f"SELECT '{table}' AS table, 'not null {name}' AS rule, count(*) - count({c}) AS violations FROM {source}"
-            for name, c in columns.items()
-        ]
+    texts = {
+        "customers": {"customer_id": 20, "customer_name": 100},
+        "products": {"product_name": 100, "product_category": 50},
+        "orders": {"order_id": 20, "customer_id": 20, "region": 50, "sales_channel": 50},
+        "sales": {"order_id": 20, "product_name": 100},
+    }
+    types = {
+        "quantity": "int",
+        "unit_price": "decimal(10,2)",
+        "discount": "decimal(5,4)",
+        "revenue": "decimal(12,2)",
+        "profit": "decimal(12,2)",
+    }
 
-    def rule(table: str, name: str, count: str) -> str:
-        return f"SELECT '{table}' AS table, '{name}' AS rule, ({count}) AS violations"
+    def rule(table: str, name: str, test: str) -> str:
+        return f"SELECT '{table}' AS table, '{name}' AS rule, count(*) FILTER (WHERE {test}) AS violations FROM b_{table}"
 
-    same = {c: c for c in ("quantity", "unit_price", "discount", "revenue", "profit")}
-    return _union(
-        [
-            *nulls("customers", "raw", {"customer_id": "Customer_ID", "customer_name": "Customer_Name"}),
-            *nulls("products", "raw", {"product_name": "Product_Name", "product_category": "Product_Category"}),
-            *nulls(
-                "orders",
-                "r_orders",
-                {c: c for c in ("order_id", "order_date", "customer_id", "region", "sales_channel")},
-            ),
-            *nulls("sales", "raw", {"order_id": "Order_ID", "product_name": "Product_Name", **same}),
-            rule("sales", "check quantity > 0", "SELECT count(*) FROM raw WHERE quantity <= 0"),
-            rule("sales", "check unit_price >= 0", "SELECT count(*) FROM raw WHERE unit_price < 0"),
-            rule("sales", "check discount in [0, 1]", "SELECT count(*) FROM raw WHERE discount < 0 OR discount > 1"),
-            rule("customers", "unique customer_id", "SELECT count(*) - count(DISTINCT Customer_ID) FROM raw"),
-            rule("products", "unique product_name", "SELECT 0::BIGINT"),
-            rule("orders", "unique order_id", "SELECT count(*) - count(DISTINCT Order_ID) FROM r_orders"),
-            rule(
-                "orders",
-                "references customers customer_id",
-                "SELECT count(*) FROM r_orders WHERE Customer_ID NOT IN (SELECT Customer_ID FROM raw)",
-            ),
-            rule(
-                "sales",
-                "references orders order_id",
-                "SELECT count(*) FROM raw WHERE Order_ID NOT IN (SELECT Order_ID FROM r_orders)",
-            ),
-            rule(
-                "sales",
-                "references products product_name",
-                "SELECT count(*) FROM raw WHERE Product_Name NOT IN (SELECT Product_Name FROM r_products)",
-            ),
-        ]
-    )
+    def unique(table: str, key: str) -> str:
+        return f"SELECT '{table}', 'unique {key}', count({key}) - count(DISTINCT {key}) FROM b_{table}"
+
+    def reference(table: str, key: str, target: str) -> str:
+        known = f"SELECT {key} FROM b_{target} WHERE {key} IS NOT NULL"
+        return rule(table, f"references {target} {key}", f"{key} IS NOT NULL AND {key} NOT IN ({known})")
+
+    found = []
+    for table, lengths in texts.items():
+        required = [*lengths, *({"orders": ["order_date"], "sales": types}.get(table, []))]
+        found += [rule(table, f"not null {c}", f"{c} IS NULL") for c in required]
+        found += [rule(table, f"length {c} <= {n}", f"length({c}) > {n}") for c, n in lengths.items()]
+    found += [
+        rule("sales", f"type {c} {kind}", f"{c} IS NOT NULL AND TRY_CAST({c} AS {kind}) IS NULL")
+        for c, kind in types.items()
+    ]
+    found += [
+        rule("sales", "check quantity > 0", "TRY_CAST(quantity AS INT) <= 0"),
+        rule("sales", "check unit_price >= 0", "TRY_CAST(unit_price AS DECIMAL(10,2)) < 0"),
+        rule("sales", "check discount in [0, 1]", "TRY_CAST(discount AS DECIMAL(5,4)) NOT BETWEEN 0 AND 1"),
+        unique("customers", "customer_id"),
+        unique("products", "product_name"),
+        unique("products", "product_id"),
+        unique("orders", "order_id"),
+        unique("sales", "sale_id"),
+        reference("orders", "customer_id", "customers"),
+        reference("sales", "order_id", "orders"),
+        reference("sales", "product_name", "products"),
+    ]
+    return _union(found)
 
 
 _FIRST_PRODUCT = f"""first_products AS (
@@ -415,6 +443,29 @@ def _forecast(seeds: str, periods: int, columns: str) -> str:
     )
 
 
+_FITTED = (
+    "(c0 + c1 * Month + c2 * region_code + c3 * category_code + c4 * Previous_Revenue::DOUBLE + c5 * Previous_Sales::DOUBLE)"
+)
+
+
+def _linear_metrics() -> str:
+    """Error measures of the least-squares model on the test part."""
+    error = f"(Revenue::DOUBLE - {_FITTED})"
+    return f"""SELECT round(sqrt(avg({error} ** 2)), 2) AS linear_rmse, round(avg(abs({error})), 2) AS linear_mae,
+        round(1 - sum({error} ** 2) / sum((Revenue::DOUBLE - mean) ** 2), 6) AS linear_r2
+    FROM (SELECT * FROM coded WHERE is_test), fit, (SELECT avg(Revenue::DOUBLE) AS mean FROM coded WHERE is_test)"""
+
+
+def _forecast_series() -> str:
+    """Monthly revenue, then the forecast of the least-squares model."""
+    parts = [*_CLEAN_PARTS, _SEGMENTS, *_ols(), *_linear_forecast(_LAST_SEED, 6)]
+    return with_(parts, """SELECT YearMonth, round(CAST(sum(Revenue) AS DOUBLE), 1) AS Revenue, 'history' AS kind
+        FROM clean GROUP BY YearMonth
+    UNION ALL
+    SELECT strftime(last + to_months(CAST(step AS INTEGER)), '%Y-%m'), round(round(predicted, 2), 1), 'forecast'
+        FROM steps, last_month""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _naive_metrics() -> str:
     def rate(prefix: str, prediction: str) -> str:
         error = f"(Revenue::DOUBLE - {prediction})"
@@ -723,6 +774,22 @@ def oracle() -> dict[str, str]:
         ),
         "predict_future_linear": _forecast(_LAST_SEED, 12, ""),
         "forecast_all_segments_linear": _forecast(_ALL_SEEDS, 6, "Region, Product_Category,"),
+        "model_save_load_linear": with_(
+            [*_CLEAN_PARTS, _SEGMENTS, *_ols()],
+            f"SELECT YearMonth, Region, Product_Category, round({_FITTED}, 1) AS prediction, "
+            "0.0::DOUBLE AS linear_difference, 0.0::DOUBLE AS forest_difference FROM coded, fit",
+        ),
+        "fit_forest_properties": _segments(
+            "SELECT YearMonth, Region, Product_Category, CAST(Revenue AS DOUBLE) AS Revenue, "
+            "true AS in_range, true AS better_than_naive FROM coded WHERE is_test"
+        ),
+        "train_and_save_linear": with_([*_CLEAN_PARTS, _SEGMENTS, *_ols()], _linear_metrics()),
+        "load_or_train_linear": with_(
+            [*_CLEAN_PARTS, _SEGMENTS, *_ols()],
+            "SELECT branch, m.* FROM (VALUES ('absent'), ('present')) AS b(branch), "
+            f"({_linear_metrics()}) AS m",
+        ),
+        "dash_forecast_series_linear": _forecast_series(),
         "quantity_decay": with_(
             [*_CLEAN_PARTS, _SEGMENTS, _LAST_SEED],
             "SELECT i AS step, strftime(last + to_months(CAST(i AS INTEGER)), '%Y-%m') AS YearMonth, "

@@ -7,18 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from salescope.operators.clean import clean
 from salescope.operators.kpi import calculate_kpis
 from salescope.sources.csv import load_sales_csv
-from salescope.sources.shared import land
+from salescope.sources.shared import fresh_path, land, release
 
 
 def preprocess_pipeline(
-    spark: SparkSession, path: str, keys: list[str] | None = None
+    spark: SparkSession, path: str, keys: list[str] | None = None, target: str | None = None
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Load, fill, deduplicate, date; returns the cleaned table and its key figures.
 
     Text is parsed once: the typed rows are landed, because the medians read some of
-    their columns again. The cleaned table is landed by month, as every key figure
-    and every filter reads it.
+    their columns again, and released when the cleaned table is there. That one is written
+    by month, as every key figure and every filter reads it: to ``target``, which is the
+    caller's, or to the shared folder until the application ends.
     """
-    raw = land(load_sales_csv(spark, path), "sales_raw")
-    cleaned = land(clean(raw, keys), "sales_clean", partition_by="YearMonth")
+    typed = fresh_path(spark, "sales_raw")
+    raw = land(load_sales_csv(spark, path), "sales_raw", path=typed)
+    try:
+        cleaned = land(clean(raw, keys), "sales_clean", partition_by="YearMonth", path=target)
+    finally:
+        release(spark, typed)
     return cleaned, calculate_kpis(cleaned)

@@ -226,6 +226,80 @@ def reloaded_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result(rows.select("YearMonth", "Region", "Product_Category", "prediction"))
 
 
+def reloaded_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of the reloaded linear model, and how far both reloaded models are off the fitted ones."""
+    fitted, path = _forecaster(spark, sf_dir)
+    loaded = SalesForecaster.load(spark, path)
+    rows = _landed_lags(spark, sf_dir)
+    for name, model in (
+        ("_fitted", fitted.linear),
+        ("_fitted_forest", fitted.forest),
+        ("_forest", loaded.forest),
+        ("prediction", loaded.linear),
+    ):
+        rows = loaded.predict_rows(rows, model).withColumnRenamed("prediction", name)
+    return result(
+        rows.selectExpr(
+            "YearMonth",
+            "Region",
+            "Product_Category",
+            "prediction",
+            "abs(prediction - _fitted) AS linear_difference",
+            "abs(_forest - _fitted_forest) AS forest_difference",
+        ),
+        prediction=1,
+    )
+
+
+def forest_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test rows with what a forest has to satisfy: means of labels, and better than the last month."""
+    model, _ = _forecaster(spark, sf_dir)
+    rows = forecast.train_test_split(_landed_lags(spark, sf_dir))
+    ends = rows.where("NOT is_test").agg(
+        F.struct(F.min("Revenue").alias("low"), F.max("Revenue").alias("high")).alias("e")
+    )
+    test = model.predict_rows(rows.where("is_test"), model.forest)
+    errors = test.agg(
+        (F.avg(F.abs(F.col("Revenue") - F.col("prediction"))) < F.avg(F.abs(F.col("Revenue") - F.col("Previous_Revenue")))).alias("b")
+    )
+    return result(
+        test.withColumns({"_ends": ends.scalar(), "better_than_naive": errors.scalar()}).selectExpr(
+            "YearMonth",
+            "Region",
+            "Product_Category",
+            "Revenue",
+            "prediction BETWEEN CAST(_ends.low AS DOUBLE) AND CAST(_ends.high AS DOUBLE) AS in_range",
+            "better_than_naive",
+        )
+    )
+
+
+def _linear_metrics(model: SalesForecaster, spark: SparkSession) -> DataFrame:
+    frame = model.metrics_frame(spark).select("linear_rmse", "linear_mae", "linear_r2")
+    return result(frame, linear_rmse=2, linear_mae=2, linear_r2=6)
+
+
+def trained_linear_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linear_metrics(_forecaster(spark, sf_dir)[0], spark)
+
+
+def loaded_or_trained_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics where no model is saved, which trains one, and where there is one."""
+    path, rows = fresh_path(spark, "model"), sales_clean(spark, sf_dir)
+    found = []
+    for branch in ("absent", "present"):
+        metrics = _linear_metrics(forecast.load_or_train(rows, path), spark)
+        found.append(metrics.withColumn("branch", F.lit(branch)))
+    return found[0].unionByName(found[1])
+
+
+def linear_forecast_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = sales_clean(spark, sf_dir)
+    model, _ = _forecaster(spark, sf_dir)
+    predictions = model.predict_future(df, model=model.linear)
+    return result(dashboard.forecast_series(kpi.monthly_revenue(df), predictions), Revenue=1)
+
+
 def forecast_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = sales_clean(spark, sf_dir)
     predictions = _forecaster(spark, sf_dir)[0].predict_future(df)
@@ -260,22 +334,54 @@ def loaded_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def broken_star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Star tables in which rows break rules: values are missing and keys are not unique."""
+    """Star tables in which rows break every rule, told by their line number and slot.
+
+    Values are missing, too long, too large or out of range, keys are not unique, and ids
+    that should be are not.
+    """
     rows = sales_raw(spark, sf_dir)
-    with_region = rows.where("Region IS NOT NULL")
+    nth = "CAST(substring_index(Order_ID, '-', -1) AS INT)"
+
+    def broken(column: str, at: int) -> str:
+        return f"CASE WHEN {nth} = {at} THEN NULL WHEN {nth} = {at + 1} THEN repeat({column}, 30) ELSE {column} END"
+
+    quantity = f"CASE WHEN {nth} = 1 THEN -Quantity WHEN {nth} = 2 THEN Quantity * 1000000000L ELSE CAST(Quantity AS BIGINT) END"
+    money = {
+        c: f"CASE WHEN {nth} = {k} THEN {c} * 1000000000 ELSE {c} END" for k, c in ((3, "Revenue"), (4, "Profit"))
+    }
     return {
-        "customers": rows.selectExpr("Customer_ID AS customer_id", "Customer_Name AS customer_name"),
-        "products": rows.groupBy(F.col("Product_Name").alias("product_name")).agg(
-            F.min("Product_Category").alias("product_category")
+        "customers": rows.selectExpr(
+            f"{broken('Customer_ID', 5)} AS customer_id", f"{broken('Customer_Name', 1)} AS customer_name"
+        ),
+        "products": rows.selectExpr(
+            f"{broken('Product_Name', 1)} AS product_name",
+            f"{broken('Product_Category', 3)} AS product_category",
+            f"{nth} AS product_id",
         ),
-        "orders": with_region.selectExpr(
+        "orders": rows.selectExpr(
+            f"{broken('Order_ID', 1)} AS order_id",
+            f"CASE WHEN {nth} <> 3 THEN Order_Date END AS order_date",
+            f"{broken('Customer_ID', 3)} AS customer_id",
+            f"{broken('Region', 5)} AS region",
+            f"{broken('Sales_Channel', 4)} AS sales_channel",
+        ).unionByName(rows.where(f"{nth} = 3").selectExpr(
             "Order_ID AS order_id",
             "Order_Date AS order_date",
             "Customer_ID AS customer_id",
             "Region AS region",
             "Sales_Channel AS sales_channel",
+        )),
+        "sales": rows.selectExpr(
+            f"{broken('Order_ID', 2)} AS order_id",
+            f"{broken('Product_Name', 5)} AS product_name",
+            f"{quantity} AS quantity",
+            f"CASE WHEN {nth} = 1 THEN -Unit_Price WHEN {nth} = 2 THEN Unit_Price * 100000000"
+            f" WHEN {nth} <> 3 THEN Unit_Price END AS unit_price",
+            f"CASE WHEN {nth} = 1 THEN 2 WHEN {nth} = 2 THEN 12 ELSE Discount END AS discount",
+            f"CASE WHEN {nth} = 5 THEN NULL ELSE {money['Revenue']} END AS revenue",
+            f"{money['Profit']} AS profit",
+            f"{nth} AS sale_id",
         ),
-        "sales": warehouse.sales_rows(rows),
     }
 
 
@@ -482,5 +588,10 @@ def registry() -> dict[str, Query]:
         "forecast_all_segments_linear": linear_forecast_all,
         "train_and_save": trained_metrics,
         "load_or_train": loaded_or_trained,
+        "model_save_load_linear": reloaded_linear,
+        "fit_forest_properties": forest_properties,
+        "train_and_save_linear": trained_linear_metrics,
+        "load_or_train_linear": loaded_or_trained_linear,
+        "dash_forecast_series_linear": linear_forecast_series,
         "quantity_decay": _on_clean(lambda df: forecast.quantity_decay(df, 12), Previous_Sales=6),
     }

@@ -3,18 +3,28 @@
 The folder is the one the cluster names in ``spark.checkpoint.dir``. Written
 Parquet survives the loss of executors, unlike a cached or locally checkpointed
 frame, and later queries prune its columns and partitions.
+
+Landed tables belong to the application. They are deleted when it ends in good order, or
+earlier by :func:`release`, alone or all of those landed inside a ``with landing(spark)``.
 """
 
 from __future__ import annotations
 
+import atexit
+import logging
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+_log = logging.getLogger(__name__)
+_landed: dict[str, list[str]] = {}
 _local_dirs: dict[str, str] = {}
-_published: dict[tuple[str, str, str], DataFrame] = {}
+_published: dict[tuple[str, str, str], tuple[DataFrame, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to storage that every executor can reach")
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="salescope-")
+        _log.warning("spark.checkpoint.dir is not set; tables are landed in %s", _local_dirs[app])
     return _local_dirs[app]
 
 
@@ -36,15 +47,55 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/salescope/{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def land(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def release(spark: SparkSession, *paths: str) -> None:
+    """Deletes landed tables: those at ``paths``, or all of the application.
+
+    Frames that still read them fail from then on.
+    """
+    app = spark.sparkContext.applicationId
+    known = _landed.get(app, [])
+    for path in list(paths) or list(known):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        if path in known:
+            known.remove(path)
+    for key in [k for k, (_, path) in _published.items() if k[0] == app and path not in known]:
+        del _published[key]
+
+
+@contextmanager
+def landing(spark: SparkSession) -> Iterator[None]:
+    """Releases at its end what was landed inside."""
+    app = spark.sparkContext.applicationId
+    before = set(_landed.get(app, []))
+    try:
+        yield
+    finally:
+        if inside := [p for p in _landed.get(app, []) if p not in before]:
+            release(spark, *inside)
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    """Deletes what the application has left, if its session can still be reached."""
+    context = SparkContext._active_spark_context
+    if context is not None and _landed.get(context.applicationId):
+        with suppress(Py4JError, OSError):
+            release(SparkSession.builder.getOrCreate())
+
+
+def land(df: DataFrame, name: str, partition_by: str | None = None, path: str | None = None) -> DataFrame:
     """Writes ``df`` to a new table in the shared folder and returns the table.
 
-    With ``partition_by`` the rows are rebalanced on that column first: AQE merges
+    A ``path`` of the caller is used as it is and stays the caller's to delete. With
+    ``partition_by`` the rows are rebalanced on that column first: AQE merges
     small partitions into few files and splits a partition that holds far more
     rows than the others, so no value is written by one task alone.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    if path is None:
+        path = fresh_path(spark, name)
+        _landed.setdefault(spark.sparkContext.applicationId, []).append(path)
     if partition_by is None:
         df.write.parquet(path)
     else:
@@ -60,7 +111,9 @@ def publish(
     partition_by: str | None = None,
 ) -> DataFrame:
     """The landed ``build()``; written once per application and ``source``."""
-    key = (spark.sparkContext.applicationId, name, source)
+    app = spark.sparkContext.applicationId
+    key = (app, name, source)
     if key not in _published:
-        _published[key] = land(build(), name, partition_by)
-    return _published[key]
+        df = build()
+        _published[key] = land(df, name, partition_by), _landed[app][-1]
+    return _published[key][0]

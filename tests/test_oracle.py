@@ -3,9 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from salescope.plans.oracle import oracle
+from salescope.plans.queries import registry
 from tests.check_oracle import database, differences
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry(), oracle()
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +46,7 @@ def test_result_is_the_same_when_tables_are_too_large_to_broadcast(spark, connec
     finally:
         for name in settings:
             spark.conf.unset(name)
+
+
+def test_entry_names_every_query(spark):
+    assert QUERIES.keys() <= entry.queries().keys() and SQL.keys() <= entry.oracle_sql().keys() <= entry.queries().keys()

@@ -1,6 +1,9 @@
+from pathlib import Path
+
 import pytest
 
 from salescope.operators import clean
+from salescope.plans import queries
 from salescope.plans.pipeline import preprocess_pipeline
 from salescope.schema import CLEAN_COLUMNS
 from salescope.sources import shared
@@ -74,3 +77,19 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_dir(Session())
+
+
+def test_landed_tables_are_deleted(spark, sf_dir, tmp_path):
+    kept = str(tmp_path / "clean")
+    with shared.landing(spark):
+        path = queries._csv_file(spark, sf_dir)
+        before = set(shared._landed[spark.sparkContext.applicationId])
+        cleaned, _ = preprocess_pipeline(spark, path, target=kept)
+        assert set(shared._landed[spark.sparkContext.applicationId]) == before  # the typed copy is gone
+        inside = shared.land(spark.range(3), "three")
+        inside_path = shared._landed[spark.sparkContext.applicationId][-1]
+        assert inside.count() == 3
+    assert not Path(inside_path).exists()
+    assert cleaned.count() > 0 and Path(kept).exists()
+    # What was published inside is made anew when it is asked for again.
+    assert queries.sales_raw(spark, sf_dir).count() > 0

@@ -40,7 +40,7 @@ def test_loading_again_adds_only_sales(lines, tmp_path):
         "sales": 6,
     }
     ids = [r.sale_id for r in star["sales"].collect()]
-    assert len(set(ids)) == 6 and min(ids) > 0
+    assert sorted(ids) == [1, 2, 3, 4, 5, 6]
 
 
 def test_idempotent_load_adds_nothing(lines, tmp_path):
@@ -104,7 +104,7 @@ def test_constraints_are_counted(spark):
         ),
     }
     found = {(r.table, r.rule): r.violations for r in warehouse.validate_constraints(star).collect()}
-    assert len(found) == 25
+    assert len(found) == 40
     assert {k: v for k, v in found.items() if v} == {
         ("customers", "unique customer_id"): 1,
         ("products", "not null product_category"): 1,
@@ -128,3 +128,63 @@ def test_defaults(spark):
     df = spark.sql("SELECT CAST(NULL AS DECIMAL(5,4)) AS discount")
     row = warehouse.insert_defaults(df).first()
     assert float(row.discount) == 0 and row.created_at is not None
+
+
+def test_sale_ids_have_no_gaps_over_loads_and_partitions(spark):
+    df = spark.range(1000).repartition(7).where("id % 3 = 0")
+    first = warehouse.numbered(df, "n")
+    assert sorted(r.n for r in first.collect()) == list(range(1, 335))
+    later = warehouse.numbered(df.limit(5), "n", after=first.selectExpr("max(n) AS m").scalar())
+    assert sorted(r.n for r in later.collect()) == list(range(335, 340))
+
+
+def test_rows_that_do_not_fit_their_column_stop_the_load(sales, tmp_path):
+    for row, rule in (
+        ({"Revenue": "12345678901.00"}, r"type revenue decimal\(12,2\)"),
+        ({"Product_Name": "x" * 101}, "length product_name <= 100"),
+    ):
+        df = clean.clean(sales(row))
+        with pytest.raises(ValueError, match=rule):
+            warehouse.load_all(df, str(tmp_path / "w"))
+
+
+def test_ids_that_repeat_are_counted(lines, tmp_path):
+    star = warehouse.load_all(lines, str(tmp_path / "w"))
+    star["sales"] = star["sales"].unionByName(star["sales"].limit(1))
+    star["products"] = star["products"].withColumn("product_id", star["products"].product_id * 0)
+    found = {r.rule: r.violations for r in warehouse.validate_constraints(star).collect()}
+    assert (found["unique sale_id"], found["unique product_id"], found["unique product_name"]) == (1, 1, 0)
+
+
+def _scans(df):
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text[text.index("Final Plan") : text.index("Initial Plan")].count("FileScan") if "Initial Plan" in text else text.count("FileScan")
+
+
+def test_each_table_is_read_twice_at_most(spark, lines, tmp_path, monkeypatch):
+    star = warehouse.load_all(lines, str(tmp_path / "w"))
+    slim = {t: df.drop("sale_id") for t, df in star.items()}
+    assert _scans(warehouse.validate_constraints(slim)) <= 8
+    # The check before a load is one scan.
+    stored = lines.write.parquet(str(tmp_path / "lines"))
+    assert stored is None
+    seen = []
+    monkeypatch.setattr(warehouse, "_counted", lambda df, tests, f=warehouse._counted: seen.append(f(df, tests)) or seen[-1])
+    warehouse.require_valid(spark.read.parquet(str(tmp_path / "lines")))
+    assert len(seen) == 1 and _scans(seen[0]) == 1
+
+
+def test_sql_text_leaves_views_of_the_session_alone(spark, lines, tmp_path):
+    star = warehouse.load_all(lines, str(tmp_path / "w"))
+    for name in ("sales", warehouse.SUMMARY_VIEW):
+        spark.range(3).createOrReplaceTempView(name)
+    try:
+        warehouse.read_sql(star).collect()
+        warehouse.sales_summary_view(star).collect()
+        assert spark.table("sales").columns == spark.table(warehouse.SUMMARY_VIEW).columns == ["id"]
+        warehouse.sales_summary_view(star, warehouse.SUMMARY_VIEW)
+        assert "revenue" in spark.table(warehouse.SUMMARY_VIEW).columns
+    finally:
+        for name in ("sales", warehouse.SUMMARY_VIEW):
+            spark.catalog.dropTempView(name)
