@@ -36,8 +36,8 @@ def test_measures_match_brute_force(documents, hard_texts):
 def test_fences_follow_each_group(documents, prose):
     # In source t tables are usual, in source s they are junk.
     clean = [(i, prose(80, i), "en", "s") for i in range(250)]
-    tables = [(1000 + i, prose(80, 1000 + i).replace(" ", " | "), "en", "t") for i in range(250)]
-    odd = [(5000, prose(80, 5000).replace(" ", " | "), "en", "s"), (5001, prose(80, 5001).upper(), "en", None)]
+    tables = [(1000 + i, prose(80, 1000 + i).replace(" ", "| "), "en", "t") for i in range(250)]
+    odd = [(5000, prose(80, 5000).replace(" ", "| "), "en", "s"), (5001, prose(80, 5001).upper(), "en", None)]
     kept = {r.doc_id: r.kept for r in quality.quality_rules(documents([*clean, *tables, *odd])).collect()}
     assert all(kept[i] for i in range(250)) and all(kept[1000 + i] for i in range(250))
     assert not kept[5000] and not kept[5001]
