@@ -39,7 +39,9 @@ COMMON_IN_TASK = 8
 #: So many of the most common shingles are ordered by count, in 2 MB. All others come first.
 ORDERED = 1 << 17
 #: First shingles that one task is to compare.
-BUCKET_SHINGLES = 3_000_000
+BUCKET_SHINGLES = 2_000_000
+#: Partitions for each bucket, so that few buckets meet in one task.
+SPREAD = 4
 #: A common shingle's documents are split in blocks of about so many, and these paired.
 SPLIT = 4096
 #: Sets and shingles in one block of a cluster.
@@ -100,7 +102,7 @@ def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(signs[-1])
                 held.append(own)
         yield _profile_rows(0, batch.column("doc_id"), batch.column("text_hash"), sizes, signs, None)
-        if sum(map(len, held)) > 4_000_000:
+        if sum(map(len, held)) > 2_000_000:
             yield common()
     if held:
         yield common()
@@ -170,7 +172,7 @@ def _postings(shared, buckets: int):
                 sizes.append(len(own))
                 bits.append(parity_bits(own))
                 held += len(tokens)
-                if held > 4_000_000:
+                if held > 2_000_000:
                     yield _packed(signs, sizes, bits, keys, of, buckets)
                     signs, sizes, bits, keys, of, held = [], [], [], [], [], 0
             if signs:
@@ -246,6 +248,7 @@ class _Bucket:
         number: dict[bytes, int] = {}
         same = np.array([number.setdefault(s, k) for k, s in enumerate(self.signs)], np.int64)
         keys, of = np.concatenate(self.keys), same[np.concatenate(self.of)]
+        self.keys, self.of = [], []
         order = np.argsort(keys, kind="stable")
         keys, of = keys[order], of[order]
         equal = keys[1:] == keys[:-1]
@@ -488,7 +491,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     buckets = max(6, -(-total // (OF * BUCKET_SHINGLES)))
     postings = map_batches(texts.select("text"), _postings(shared, buckets), POSTINGS)
     ties = map_batches(
-        postings.repartition(buckets, "bucket").sortWithinPartitions("bucket"), candidates, EDGES
+        postings.repartition(SPREAD * buckets, "bucket").sortWithinPartitions("bucket"), candidates, EDGES
     )
     clusters = components(land(ties, "jaccard_candidates"))
 

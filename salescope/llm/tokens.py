@@ -291,7 +291,7 @@ def _shards(shared, end_id: int, shard_ids: int):
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
             numbers = batch.column("doc_id").to_pylist()
-            for low, high in pieces(offsets, 8 << 20):
+            for low, high in pieces(offsets, 4 << 20):
                 found, size = encoder.encode(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
                 upto = np.concatenate(([0], np.cumsum(size)))
                 for k in range(high - low):
