@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.llm import chat, decontaminate, jaccard, mixing, quality, suffixes, tokens, toxicity, urls
+from salescope.llm import chat, decontaminate, jaccard, lines, mixing, quality, suffixes, tokens, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_removed", "n_chunks", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     return decontaminate.digest(decontaminate.find_contamination(docs, benchmark))
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_line_chunks": op4_line_chunks,
     "op5_decontamination": op5_decontamination,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_toxicity": op7_toxicity,
