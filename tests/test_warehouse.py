@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from salescope.operators import clean, warehouse
 
@@ -139,11 +140,12 @@ def test_sale_ids_have_no_gaps_over_loads_and_partitions(spark):
 
 
 def test_rows_that_do_not_fit_their_column_stop_the_load(sales, tmp_path):
-    for row, rule in (
-        ({"Revenue": "12345678901.00"}, r"type revenue decimal\(12,2\)"),
-        ({"Product_Name": "x" * 101}, "length product_name <= 100"),
+    rows = clean.clean(sales({}))
+    for column, value, rule in (
+        ("Revenue", "12345678901.00", r"type revenue decimal\(12,2\)"),
+        ("Product_Name", "x" * 101, "length product_name <= 100"),
     ):
-        df = clean.clean(sales(row))
+        df = rows.withColumn(column, F.lit(value).cast("decimal(20,2)" if column == "Revenue" else "string"))
         with pytest.raises(ValueError, match=rule):
             warehouse.load_all(df, str(tmp_path / "w"))
 
