@@ -31,7 +31,7 @@ LEAST_LABELS = 20
 #: Standard deviations between two shares that count as a difference.
 DIFFERENCE = 3.0
 #: Pages that the parent's share counts as in a smoothed share.
-PRIOR_PAGES = 10.0
+PRIOR_PAGES = 20.0
 #: Templates whose smoothed share of good pages is lower are rejected.
 LEAST_PURITY = 0.5
 

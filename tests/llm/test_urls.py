@@ -51,13 +51,15 @@ def test_rules_match_brute_force(pages, labels):
 def test_bad_branch_is_a_template_of_its_own(pages, labels):
     rows = [(i, f"http://a.com/{('news', 'spam', 'blog')[i % 3]}/{i}/x{i}") for i in range(300)]
     rows += [(1000 + i, f"http://b.com/{i}") for i in range(3)]
+    rows += [(2000 + i, f"http://c.com/{'uv'[i % 2]}/{i}") for i in range(80)]
     quality = [(i, 0 if i % 3 == 1 else 1) for i in range(300)] + [(1000, 0), (1001, 0)]
+    quality += [(2000 + i, int(i % 5 > 0)) for i in range(80)]
     found = {r.page_id: r for r in urls.filter_urls(pages(rows), labels([*quality, (5, 1), (7, None)])).collect()}
     assert {found[i].verdict for i in range(0, 300, 3)} == {"allow"}
     assert {found[i].verdict for i in range(1, 300, 3)} == {"block"}
     assert found[1].template == "/spam/*/*"
     # Alike branches are one template, and two labels prove nothing.
-    assert found[0].template == found[2].template == "/*/*/*"
+    assert found[2000].template == found[2001].template == "/*/*"
     assert found[1002].verdict == "allow" and found[1002].purity > 0.5
 
 
