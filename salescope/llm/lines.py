@@ -22,7 +22,7 @@ from salescope.sources.shared import land
 #: A boundary follows one pair of lines in so many.
 CHUNK_LINES = 4
 
-_SAME = F.expr("doc_id <=> _doc AND text_hash = _text")
+_SAME = "doc_id <=> _doc AND text_hash = _text"
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     # The list grows with the corpus: no broadcast, however small it is.
     fetched = (
         _texts(docs)
-        .join(doubtful.hint("merge"), _SAME)
+        .join(doubtful.hint("merge"), F.expr(_SAME))
         .selectExpr("doc_id", "text_hash", r"split(text, '\n') AS _lines", "_asked")
         .selectExpr(
             "doc_id",
@@ -109,7 +109,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         .agg(F.collect_set(F.struct("s", "e")).alias("_gone"))
         .withColumnsRenamed({"doc_id": "_doc", "text_hash": "_text"})
     )
-    rows = _texts(docs).join(gone.hint("merge"), _SAME, "left").selectExpr(
+    rows = _texts(docs).join(gone.hint("merge"), F.expr(_SAME), "left").selectExpr(
         "doc_id",
         "text_hash",
         r"split(text, '\n') AS _lines",
