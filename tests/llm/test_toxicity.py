@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from salescope.llm import toxicity
 
@@ -30,7 +31,7 @@ def model(corpus):
 
 def test_held_out_documents_are_told_apart(corpus, model):
     docs, _, labels = corpus
-    rows = toxicity.score_toxicity(docs, model).select("doc_id", "score", toxicity.held_out(docs.doc_id)).collect()
+    rows = toxicity.score_toxicity(docs, model).select("doc_id", "score", toxicity.held_out(F.col("doc_id"))).collect()
     wrong = [r for r in rows if (r.score >= 0.5) != labels[r.doc_id]]
     held = {r.doc_id for r in rows if r[2]}
     assert held == {i for i in labels if zlib.crc32(str(i).encode()) % 5 == 0}
