@@ -1,10 +1,12 @@
 """Removal of repeated runs of lines, cut where their content says so.
 
-Each line has a hash, and a hash that rolls over two neighbouring lines ends a chunk where
-it falls in one class of four. Boundaries thus depend on two lines alone: a line put in
-or left out shifts no chunk but its own. Chunks of several lines whose fingerprint occurs
-more than once are fetched and grouped by their bytes, and all but the first of equal ones
-are removed.
+A chunk goes from one line with words to the next, so chunks overlap by a line and each
+run of lines is a chain of them. A run occurs earlier only if all its chunks do: each
+repeated run of two or more lines with words, however short and wherever it starts, is found
+whole. Chunks depend on their own lines alone: a line put in or left out shifts no other.
+Chunks whose fingerprint occurs more than once are fetched and grouped by their bytes, and
+all but the first of equal ones are removed. The first occurrence of a line is in no later
+copy of a chunk, so each line stays somewhere.
 
 Only built-in functions are used. Chunks travel as fingerprints; texts are joined by
 document, once for the chunks in doubt and once for what is left. A chunk that is very
@@ -19,9 +21,6 @@ from pyspark.sql import functions as F
 
 from salescope.sources.shared import land
 
-#: A boundary follows one pair of lines in so many.
-CHUNK_LINES = 4
-
 _SAME = "doc_id <=> _doc AND text_hash = _text"
 
 
@@ -31,26 +30,19 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """Chunks of at least two lines with words: doc_id, text_hash, s and e (first, last line), hash."""
+    """Neighbouring lines with words, and what is between: doc_id, text_hash, s and e (first, last line), hash."""
     hashed = _texts(docs).selectExpr(
         "doc_id",
         "text_hash",
         r"transform(split(text, '\n'), x -> struct(xxhash64(x) AS h, x RLIKE r'[^\x20\x09-\x0D]' AS w)) AS _lines",
     )
     hashed = hashed.selectExpr("doc_id", "text_hash", "_lines.h AS _h", "_lines.w AS _w")
-    ended = hashed.selectExpr(
-        "*",
-        "filter(sequence(0, size(_h) - 1), i -> i = size(_h) - 1"
-        f" OR pmod(xxhash64(get(_h, i - 1), _h[i]), {CHUNK_LINES}) = 0) AS _ends",
-    )
-    spans = ended.selectExpr(
-        "*", "transform(_ends, (x, k) -> struct(coalesce(get(_ends, k - 1) + 1, 0) AS s, x AS e)) AS _spans"
-    )
-    return spans.selectExpr(
+    worded = hashed.selectExpr("*", "filter(sequence(0, size(_h) - 1), i -> _w[i]) AS _at")
+    return worded.selectExpr(
         "doc_id",
         "text_hash",
-        "inline(transform(filter(_spans, x -> size(filter(slice(_w, x.s + 1, x.e - x.s + 1), w -> w)) > 1),"
-        " x -> struct(x.s AS s, x.e AS e, xxhash64(slice(_h, x.s + 1, x.e - x.s + 1)) AS hash)))",
+        "inline(transform(slice(_at, 2, size(_at)), (x, k) -> struct(_at[k] AS s, x AS e,"
+        " xxhash64(slice(_h, _at[k] + 1, x - _at[k] + 1)) AS hash)))",
     )
 
 
@@ -97,9 +89,10 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, text_hash, text (what is left), n_lines, n_removed, n_chunks.
 
-    ``docs`` has doc_id and text; other columns are ignored. Lines end at a line feed. Of
-    equal chunks of at least two lines with words the first stays: that of the smallest
-    doc_id (NULL first), then of the least text hash, then the earliest in the text. NULL
+    ``docs`` has doc_id and text; other columns are ignored. Lines end at a line feed. A run
+    that begins and ends with a line with words, and has two or more of them, is removed if
+    it occurs earlier: at a smaller doc_id (NULL first), then a lesser text hash, then
+    earlier in the text. ``n_chunks`` counts pairs of neighbouring lines of such runs. NULL
     text is one empty line. Rows that repeat are one document and give equal rows. An
     empty table gives no rows.
     """
@@ -113,7 +106,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         "doc_id",
         "text_hash",
         r"split(text, '\n') AS _lines",
-        "CASE WHEN _gone IS NULL THEN array() ELSE flatten(transform(_gone, g -> sequence(g.s, g.e))) END AS _out",
+        "CASE WHEN _gone IS NULL THEN array() ELSE array_distinct(flatten(transform(_gone, g -> sequence(g.s, g.e)))) END AS _out",
         "coalesce(size(_gone), 0) AS n_chunks",
     )
     kept = rows.selectExpr("*", "array_except(sequence(0, size(_lines) - 1), _out) AS _kept")

@@ -59,3 +59,29 @@ def test_repeated_rows_and_empty_table(documents, prose):
     removed = sorted((r.doc_id is not None, r.doc_id or 0, r.n_removed > 0) for r in rows)
     assert removed == [(False, 0, False), (True, 1, True), (True, 1, True), (True, 2, True)]
     assert lines.dedup_lines(documents([])).count() == 0
+
+
+def repeated_runs(texts):
+    """What is left without any run of lines, two or more of them with words, that occurs earlier."""
+    seen, out = set(), {}
+    for doc, text in sorted(texts.items()):
+        own, gone = text.split("\n"), set()
+        words = [i for i, x in enumerate(own) if x.strip()]
+        for e in words:  # by last line: what ends earlier is seen before
+            runs = [(s, "\n".join(own[s : e + 1])) for s in words if s < e]
+            gone.update(i for s, run in runs if run in seen for i in range(s, e + 1))
+            seen.update(run for _, run in runs)
+        out[doc] = "\n".join(x for i, x in enumerate(own) if i not in gone)
+    return out
+
+
+def test_every_repeated_run_is_removed(documents, prose):
+    passages = ["\n".join(prose(6, 50 * n + k) + "\n" * (k % 2) for k in range(n)) for n in range(2, 9)]
+    texts = {}
+    for i in range(28):
+        parts = [prose(7, 1000 + i), passages[i % 7], prose(7, 2000 + i), passages[(i + 1 + i // 7) % 7], prose(7, 3000 + i)]
+        texts[i] = "\n".join(parts[i % 2 :])
+    got = {doc: row[0] for doc, row in found(documents(list(texts.items()))).items()}
+    assert got == repeated_runs(texts)
+    kept = "\n".join(got.values()).split("\n")
+    assert all(kept.count(line) == 1 for passage in passages for line in passage.split("\n") if line)
