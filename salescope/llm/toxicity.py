@@ -3,7 +3,9 @@
 Noisy channel: a token that may hide a word (digits or symbols among its letters, letters
 repeated, letters set apart by spaces) is a lattice. Each character may stand for a
 letter, repeat the one before, or be filler; a character model of the corpus says how likely
-the letters are in a row. Viterbi search keeps the best readings, and these are scored like plain words.
+the letters are in a row. Viterbi passes from both ends give the best score through each state
+(the last two letters), and every weighted word that is in a reading close to the best one is
+found in the lattice; no reading is listed, and none is left out for their number.
 
 The character model counts trigrams over all documents. Words and their beginnings get
 weights from a bounded, balanced sample of labelled documents, without near copies; a
@@ -14,7 +16,8 @@ of that sample. Only the text is an input of a score.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +65,8 @@ FEATURES, LEAST_DOCUMENTS = 50_000, 6
 LEAST_WEIGHT = 2.0
 #: Lengths in bytes of the beginnings of words that count as features.
 BEGINNINGS = (4, 5, 6, 7)
-#: Readings that are kept at each step, and how much less likely than the best one may be.
-BEAM, WITHIN = 8, 6.0
+#: How much less likely than the best one a reading may be.
+WITHIN = 6.0
 #: Longer tokens are no words.
 LONGEST = 32
 #: Log probabilities of the channel: a letter as it is, replaced or repeated, filler, and
@@ -144,6 +147,36 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _spelled(shared):
+    """Spellings of the features with a weight: their places among the keys, bytes, if they are beginnings."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = shared.value
+        for batch in batches:
+            data, offsets = text_buffers(batch.column("text"))
+            found: dict[int, tuple[bytes, bool]] = {}
+            for low, high in pieces(offsets):
+                own, bounds = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+                starts, ends, _ = word_spans(own, bounds, BY_LETTERS)
+                features = _features(prefix_hash(own), starts, ends)
+                for length, (place, feature) in zip((0, *BEGINNINGS), features, strict=True):
+                    hit, key = look(feature)
+                    keys, at = np.unique(key, return_index=True)
+                    for k, word in zip(keys.tolist(), place[hit[at]].tolist(), strict=True):
+                        end = starts[word] + length if length else ends[word]
+                        found[k] = own[starts[word] : end].tobytes().lower(), length > 0
+            yield pa.record_batch(
+                [
+                    pa.array(list(found), pa.int64()),
+                    pa.array([f[0] for f in found.values()], pa.binary()),
+                    pa.array([f[1] for f in found.values()], pa.bool_()),
+                ],
+                names=["key", "spelling", "begins"],
+            )
+
+    return spell
+
+
 @dataclass
 class Model:
     """Log probabilities of trigrams, features with weights, and the curve of the score."""
@@ -152,6 +185,22 @@ class Model:
     look: Lookup
     weights: np.ndarray
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    #: Every prefix of a feature's spelling, with its weights as a word and as a beginning.
+    spelled: dict[bytes, tuple[float, float]] = field(default_factory=dict)
+
+    @cached_property
+    def table(self) -> list:
+        return self.chars.tolist()
+
+    def spell(self, rows: list) -> None:
+        """Takes in the spellings (key, spelling, begins) of the features."""
+        for row in rows:
+            spelling = bytes(row.spelling)
+            for end in range(len(spelling)):
+                self.spelled.setdefault(spelling[:end], (0.0, 0.0))
+            word, begins = self.spelled.get(spelling, (0.0, 0.0))
+            weight = float(self.weights[row.key])
+            self.spelled[spelling] = (word, max(begins, weight)) if row.begins else (max(word, weight), begins)
 
     def weigh(self, total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The strongest weight among each word's features, 0 where it has none."""
@@ -161,47 +210,74 @@ class Model:
             np.maximum.at(best, place[hit], self.weights[key])
         return best
 
-    def readings(self, token: str) -> list[str]:
-        """Likely readings of a token that may hide a word."""
-        beams = [(0.0, 0, 0, "")]
-        last = ""
-        for char in token.lower():
-            options = []
-            if char.isalpha():
-                options.append((char, AS_IS))
-                if char == last:
-                    options.append(("", REPEATED))
-            else:
-                options += [(letter, REPLACED) for letter in STANDS_FOR.get(char, "")]
-                options.append(("", ODD_FILLER if char in STANDS_FOR else FILLER))
-            last = char
-            step: dict[tuple, tuple] = {}
-            for score, a, b, text in beams:
-                for letter, cost in options:
-                    if letter:
-                        c = ord(letter) - 96 if "a" <= letter <= "z" else 27 + (ord(letter) & 31)
-                        new = (score + cost + self.chars[a, b, c], b, c, text + letter)
-                    else:
-                        new = (score + cost, a, b, text)
-                    if new[1:] not in step or step[new[1:]][0] < new[0]:
-                        step[new[1:]] = new
-            beams = sorted(step.values(), reverse=True)[:BEAM]
-        ended = sorted(((s + self.chars[a, b, 0], text) for s, a, b, text in beams if text), reverse=True)
-        return [text for s, text in ended if s >= ended[0][0] - WITHIN]
+    def reaches(self, steps: list, joined: bool) -> bool:
+        """If the letters of some path through the lattice, however unlikely, spell a feature."""
+        nodes = {b""}
+        for options in steps:
+            step = {b""} if joined else set()
+            for letter, _, _ in options:
+                step.update(grown for node in nodes if (grown := node + letter) in self.spelled)
+            if any(any(self.spelled[node]) for node in step - nodes):
+                return True
+            nodes = step
+            if not nodes:
+                return False
+        return False
+
+    def passes(self, steps: list) -> tuple[list[dict], list[dict]]:
+        """Best scores of each state (the last two letters) from the start and to the end."""
+        chars, ahead = self.table, [{(0, 0): 0.0}]
+        for options in steps:
+            step: dict[tuple, float] = {}
+            for (a, b), score in ahead[-1].items():
+                for letter, c, cost in options:
+                    state = (b, c) if letter else (a, b)
+                    new = score + cost + (chars[a][b][c] if letter else 0.0)
+                    if new > step.get(state, -np.inf):
+                        step[state] = new
+            ahead.append(step)
+        # No letter at all is no reading.
+        behind = [{(a, b): chars[a][b][0] if b else -np.inf for a, b in ahead[-1]}]
+        for options, states in zip(reversed(steps), reversed(ahead[:-1]), strict=True):
+            rest = behind[-1]
+            behind.append(
+                {
+                    (a, b): max(cost + (chars[a][b][c] + rest[b, c] if letter else rest[a, b]) for letter, c, cost in options)
+                    for a, b in states
+                }
+            )
+        return ahead, behind[::-1]
 
     def hidden(self, token: str, joined: bool) -> float:
-        """The strongest weight of a token's readings; anywhere in them if letters were joined."""
-        best = 0.0
-        for text in self.readings(token):
-            data = np.frombuffer(text.encode(), np.uint8)
-            starts, ends = np.zeros(1, np.int64), np.full(1, len(data))
+        """The strongest weight in any reading close to the best; anywhere in it if letters were joined."""
+        steps = lattice(token)
+        if not self.reaches(steps, joined):
+            return 0.0
+        chars, spelled = self.table, self.spelled
+        ahead, behind = self.passes(steps)
+        least, found = behind[0][0, 0] - WITHIN, 0.0
+        front = {(b"", 0, 0): 0.0}
+        for place, options in enumerate(steps):
             if joined:
-                starts = np.repeat(np.arange(len(data)), 10)
-                ends = starts + np.tile(np.arange(3, 13), len(data))
-                starts, ends = starts[ends <= len(data)], ends[ends <= len(data)]
-            if len(starts):
-                best = max(best, float(self.weigh(prefix_hash(data), starts, ends).max()))
-        return best
+                front.update({(b"", *state): score for state, score in ahead[place].items()})
+            step: dict[tuple, float] = {}
+            for (node, a, b), score in front.items():
+                for letter, c, cost in options:
+                    state = (b, c) if letter else (a, b)
+                    new = score + cost + (chars[a][b][c] if letter else 0.0)
+                    if new + behind[place + 1][state] < least:
+                        continue
+                    if letter:  # a beginning has something after it
+                        found = max(found, *(spelled.get(node + letter[:k], (0.0, 0.0))[1] for k in range(len(letter))), 0.0)
+                    key = (node + letter, *state)
+                    if key[0] in spelled and new > step.get(key, -np.inf):
+                        step[key] = new
+            front = step
+            if joined or place == len(steps) - 1:
+                found = max([found, *(spelled[node][0] for node, _, _ in front if not joined or len(node) > 2)])
+            elif not front:
+                break
+        return found
 
     def evidence(self, data: np.ndarray, offsets: np.ndarray, known: dict) -> tuple[np.ndarray, np.ndarray]:
         """Strongest and summed weights of each text."""
@@ -226,6 +302,27 @@ class Model:
         return 1 / (1 + np.exp(-(bias + by_most * most + by_total * np.log1p(total))))
 
 
+def lattice(token: str) -> list[list[tuple[bytes, int, float]]]:
+    """What each character may stand for: letters (none for filler), their symbols, log probabilities."""
+    steps, last = [], ""
+    for char in token.lower():
+        if char.isalpha():
+            options = [(char, AS_IS)]
+            if char == last:
+                options.append(("", REPEATED))
+        else:
+            options = [(letter, REPLACED) for letter in STANDS_FOR.get(char, "")]
+            options.append(("", ODD_FILLER if char in STANDS_FOR else FILLER))
+        last = char
+        steps.append(
+            [
+                (letter.encode(), (ord(letter) - 96 if "a" <= letter <= "z" else 27 + (ord(letter) & 31)) if letter else 0, cost)
+                for letter, cost in options
+            ]
+        )
+    return steps
+
+
 def disguised(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, str, bool]]:
     """Tokens that may hide a word, with their text; True for letters set apart by spaces."""
     starts, ends, first = word_spans(data, offsets, BY_SPACE)
@@ -351,6 +448,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     features = np.array([r.feature for r in rows], np.int64).view(np.uint64)
     weights = np.array([r.weight for r in rows], float)[np.argsort(features)]
     model = Model(character_model(docs), Lookup(features), weights)
+    if rows:
+        look = docs.sparkSession.sparkContext.broadcast(model.look)
+        spellings = map_batches(used.where(~deal).select("text"), _spelled(look), "key long, spelling binary, begins boolean")
+        model.spell(spellings.groupBy("key").agg(F.min("spelling").alias("spelling"), F.min("begins").alias("begins")).collect())
     shared = docs.sparkSession.sparkContext.broadcast(model)
     measured = map_batches(
         used.where(deal).select("toxic", "text"), _measured(shared, ["toxic"]), "toxic int, strongest double, summed double, score double"

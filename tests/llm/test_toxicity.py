@@ -68,3 +68,45 @@ def test_without_labels_and_empty_table(spark, documents):
     assert [r.score for r in toxicity.score_toxicity(documents(["a", None]), model).collect()] == [0.5, 0.5]
     assert toxicity.score_toxicity(documents([]), model).count() == 0
     assert np.isfinite(model.chars).all()
+
+
+def close_readings(model, token):
+    """All readings within reach of the best one, from every path through the lattice."""
+    paths = {("", 0, 0): 0.0}
+    last = ""
+    for char in token:
+        if char.isalpha():
+            options = [(char, toxicity.AS_IS)] + ([("", toxicity.REPEATED)] if char == last else [])
+        else:
+            options = [(x, toxicity.REPLACED) for x in toxicity.STANDS_FOR.get(char, "")]
+            options.append(("", toxicity.ODD_FILLER if options else toxicity.FILLER))
+            options += [("", toxicity.REPEATED)] if char == last and len(options) > 1 else []
+        last, step = char, {}
+        for (text, a, b), score in paths.items():
+            for letter, cost in options:
+                c = ord(letter) - 96 if letter else 0
+                key, new = ((text + letter, b, c), score + cost + model.chars[a, b, c]) if letter else ((text, a, b), score + cost)
+                step[key] = max(new, step.get(key, -1e9))
+        paths = step
+    ended = {text: score + model.chars[a, b, 0] for (text, a, b), score in paths.items() if text}
+    return [text for text, score in ended.items() if score >= max(ended.values()) - toxicity.WITHIN]
+
+
+@pytest.mark.parametrize("joined", [False, True])
+def test_every_close_reading_counts(model, joined):
+    spots, found = "0134", 0
+    tokens = ["ggrr00mmbb11ee", "55nn44rrkk", "vv11llee", "xgg110", "gr0mbb1eexyz", "s-nn@@rr-kuu5", "b11ll33", "vviilleepptt00"]
+    tokens += [w.translate(str.maketrans("oiea", spots)) for w in ("ggroommbblle", "ssnnaarkkuss", "vviilleepttoo", "beramien")]
+    for token in tokens:
+        best = 0.0
+        for text in close_readings(model, token):
+            data = np.frombuffer(text.encode(), np.uint8)
+            spans = [(0, len(data))]
+            if joined:
+                spans = [(s, e) for s in range(len(data)) for e in range(s + 3, len(data) + 1)]
+            if spans:
+                starts, ends = np.array(spans).T
+                best = max(best, model.weigh(toxicity.prefix_hash(data), starts, ends).max())
+        assert model.hidden(token, joined) == pytest.approx(best), token
+        found += best > 0
+    assert found > 5
