@@ -28,6 +28,7 @@ from salescope.llm.decontaminate import Lookup
 from salescope.llm.words import (
     BY_LETTERS,
     BY_SPACE,
+    SPACE_BYTES,
     gram_hash,
     pieces,
     prefix_hash,
@@ -67,8 +68,8 @@ LEAST_WEIGHT = 2.0
 BEGINNINGS = (4, 5, 6, 7)
 #: How much less likely than the best one a reading may be.
 WITHIN = 6.0
-#: Longer tokens are no words.
-LONGEST = 32
+#: Longer tokens are read anew each time, so that what is remembered is bounded.
+REMEMBERED = 64
 #: Log probabilities of the channel: a letter as it is, replaced or repeated, filler, and
 #: a character that could stand for a letter and is filler all the same.
 AS_IS, REPLACED, REPEATED, FILLER, ODD_FILLER = 0.0, -0.5, -0.7, -0.7, -6.0
@@ -79,6 +80,9 @@ _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
 _REPLACES = np.zeros(256, bool)
 _REPLACES[[ord(c) for c in STANDS_FOR if ord(c) < 128]] = True
+_WIDE = [c.encode() for c in STANDS_FOR if ord(c) >= 128]
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[0x41:0x5B] += 0x20
 #: Byte to symbol of the character model: 0 parts words, then letters, then all else.
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[0x41:0x5B] = _SYMBOL[0x61:0x7B] = np.arange(1, 27)
@@ -287,14 +291,23 @@ class Model:
         count = len(offsets) - 1
         most, total = np.zeros(count), np.bincount(of, weight, count)
         np.maximum.at(most, of, weight)
-        for text, token, joined in disguised(data, offsets):
-            if (token, joined) not in known:
-                if len(known) > 200_000:
-                    known.clear()
-                known[token, joined] = self.hidden(token, joined)
-            found = known[token, joined]
-            most[text] = max(most[text], found)
-            total[text] += found
+        # What a token's words weigh as they are counts once.
+        summed = np.concatenate(([0.0], np.cumsum(weight)))
+        for text, low, high, joined in disguised(data, offsets):
+            token = data[low:high].tobytes()
+            if joined:
+                token = token.translate(None, bytes(SPACE_BYTES))
+            found = known.get((token, joined))
+            if found is None:
+                found = self.hidden(token.decode(errors="replace"), joined)
+                if len(token) <= REMEMBERED:
+                    if len(known) > 200_000:
+                        known.clear()
+                    known[token, joined] = found
+            if found:
+                most[text] = max(most[text], found)
+                plain = summed[np.searchsorted(starts, high)] - summed[np.searchsorted(starts, low)]
+                total[text] += max(0.0, found - plain)
         return most, total
 
     def score(self, most: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -313,6 +326,8 @@ def lattice(token: str) -> list[list[tuple[bytes, int, float]]]:
         else:
             options = [(letter, REPLACED) for letter in STANDS_FOR.get(char, "")]
             options.append(("", ODD_FILLER if char in STANDS_FOR else FILLER))
+            if char == last and char in STANDS_FOR:
+                options.append(("", REPEATED))
         last = char
         steps.append(
             [
@@ -323,36 +338,59 @@ def lattice(token: str) -> list[list[tuple[bytes, int, float]]]:
     return steps
 
 
-def disguised(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, str, bool]]:
-    """Tokens that may hide a word, with their text; True for letters set apart by spaces."""
+def _signs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes that end a character that stands for a letter, and such that show a disguise."""
+    replaces = _REPLACES[data]
+    for wide in _WIDE:
+        same = np.ones(max(0, len(data) - len(wide) + 1), bool)
+        for k, byte in enumerate(wide):
+            same &= data[k : k + len(same)] == byte
+        replaces[len(wide) - 1 :] |= same
+    letter = _LETTER[data]
+    shows = replaces.copy()
+    # A character within a word that is no letter: something follows it that is one.
+    shows[:-1] |= ~letter[:-1] & letter[1:]
+    # A character twice in a row, however many bytes it has.
+    folded = _FOLDED[data]
+    folded[1:] += ((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0x9F)).astype(np.uint8) * np.uint8(0x20)
+    shows[1:] |= letter[1:] & (data[1:] < 0x80) & (folded[1:] == folded[:-1])
+    for width in (2, 3, 4):
+        equal = (folded[width:] == folded[:-width]) & (data[width:] >= 0x80)
+        count = max(0, len(data) - 2 * width + 1)
+        run = data[width : width + count] >= 0xC0
+        for k in range(width):
+            run &= equal[k : k + count]
+        shows[2 * width - 1 :] |= run
+    return replaces, shows
+
+
+def disguised(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, bool]]:
+    """Tokens that may hide a word: text, first byte and end; True for letters set apart by spaces.
+
+    Such are tokens of any length that hold a character that stands for a letter, one
+    twice in a row, or one that is no letter before one that is; and rows of single characters.
+    """
     starts, ends, first = word_spans(data, offsets, BY_SPACE)
     if len(starts) == 0:
         return
-    letter = _LETTER[data]
-    letters = np.concatenate(([0], np.cumsum(letter)))
-    # A character within a word that is no letter: something follows it that is one.
-    follows = np.concatenate((letter[1:], [False]))
-    inner = np.concatenate(([0], np.cumsum(~letter & follows)))
-    same = np.zeros(len(data), bool)
-    same[2:] = letter[2:] & (data[2:] == data[1:-1]) & (data[2:] == data[:-2])
-    thrice = np.concatenate(([0], np.cumsum(same)))
-    size = ends - starts
-    body = starts + 1
-    hides = (inner[ends - 1] - inner[starts] > 0) | (thrice[ends] - thrice[np.minimum(body, ends)] > 0)
-    hides &= (letters[ends] - letters[starts] >= 2) & (size <= LONGEST) & (size >= 3)
+    replaces, shows = _signs(data)
+    shown = np.concatenate(([0], np.cumsum(shows)))
+    # Characters that are or stand for letters, by their first byte or their only one.
+    leads = (data & 0xC0) != 0x80
+    characters = np.concatenate(([0], np.cumsum(leads)))
+    could = np.concatenate(([0], np.cumsum((_LETTER[data] & leads) | _REPLACES[data])))
+    hides = shown[ends] - shown[starts] > 0
+    hides &= could[ends] - could[starts] >= 2
     of = np.searchsorted(first, np.arange(len(starts)), "right") - 1
     for k in np.flatnonzero(hides).tolist():
-        yield int(of[k]), data[starts[k] : ends[k]].tobytes().decode(errors="replace"), False
-    one = (size == 1) & (letter[starts] | _REPLACES[data[starts]])
+        yield int(of[k]), int(starts[k]), int(ends[k]), False
+    one = (characters[ends] - characters[starts] == 1) & (_LETTER[data[starts]] | replaces[ends - 1])
     edge = np.flatnonzero(np.diff(np.concatenate(([0], one.view(np.int8), [0]))))
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
         for text in range(int(of[a]), int(of[b - 1]) + 1):
             low, high = max(a, int(first[text])), min(b, int(first[text + 1]))
-            # Long rows are read in overlapping stretches, so that no word is cut.
-            for start in range(low, max(low + 1, high - LONGEST // 2), LONGEST // 2):
-                stretch = data[starts[start : min(high, start + LONGEST)]]
-                if len(stretch) >= 3:
-                    yield text, stretch.tobytes().decode(errors="replace"), True
+            if high - low >= 3:
+                yield text, int(starts[low]), int(ends[high - 1]), True
 
 
 def _measured(shared, columns: list[str]):

@@ -110,3 +110,32 @@ def test_every_close_reading_counts(model, joined):
         assert model.hidden(token, joined) == pytest.approx(best), token
         found += best > 0
     assert found > 5
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "gr" + "o" * 60 + "mble", "5n4rku5", "v1l3p70", "911", "grombble", "gromblee", "sn4rkuuss", "gr000000mble",
+        "GROMbBLE", "$$$$$$nnarkus", "grombl€", "g r o m b l €", "sn@@@rkus", "V1LEPT0", "v" + "." * 40 + "ilepto",
+    ],
+)
+def test_every_disguise_reaches_the_search(model, text):
+    data = np.frombuffer(f"one {text}\ntwo".encode(), np.uint8)
+    most, _ = model.evidence(data, np.array([0, len(data)]), {})
+    assert (most[0] > 0) == (text != "911")
+
+
+def test_accented_letters_are_code_points():
+    def seen(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return [data[s:e].tobytes().decode() for _, s, e, _ in toxicity.disguised(data, np.array([0, len(data)]))]
+
+    assert seen("né née éé ÉÉ Éé x日日x") == ["née", "éé", "ÉÉ", "Éé", "x日日x"][1:]
+    assert seen("a é i ö u") == ["a é i ö u"]
+    assert seen("plain words, as they are. né") == []
+
+
+def test_plain_words_count_once(model):
+    data = np.frombuffer(b"gromble-snarkus", np.uint8)
+    once = np.frombuffer(b"gromble snarkus", np.uint8)
+    assert model.evidence(data, np.array([0, 15]), {})[1] == pytest.approx(model.evidence(once, np.array([0, 15]), {})[1])
