@@ -10,6 +10,8 @@ a template with a handful of labels is not rejected for chance.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,6 @@ RULES = (
 )
 BLOCK, ALLOW = "block", "allow"
 
-#: Depth of the tree; deeper segments belong to the template of this depth.
-DEPTH = 3
 #: Siblings with fewer labelled pages than this are merged: they prove nothing.
 LEAST_LABELS = 20
 #: Standard deviations between two shares that count as a difference.
@@ -61,21 +61,19 @@ def parsed(pages: DataFrame) -> DataFrame:
     )
 
 
-def _segment(depth: int) -> str:
-    """The segment at a depth, ``*`` if it varies by form, empty beyond the path's end."""
-    return (
-        f"CASE WHEN size(_segments) <= {depth} THEN '' WHEN get(_segments, {depth}) RLIKE r'{VARIABLE}' THEN '*'"
-        f" ELSE get(_segments, {depth}) END"
-    )
+def _shape() -> str:
+    """The path's segments, each ``*`` if it varies by form."""
+    return f"transform(_segments, s -> CASE WHEN s RLIKE r'{VARIABLE}' THEN '*' ELSE s END)"
 
 
 def _merged(rows: DataFrame, depth: int) -> DataFrame:
     """Replaces the segments of one depth by ``*`` where they are merged.
 
-    ``rows`` are counts per branch so far (``node``) and segments; a branch and its
-    children are compared through their counts alone.
+    ``rows`` are counts per branch so far (``node``) and shape; a branch and its
+    children are compared through their counts alone. Beyond a path's end the segment is empty.
     """
-    children = rows.groupBy("host", "node", f"s{depth}").agg(
+    rows = rows.withColumn("_seg", F.expr(f"coalesce(get(shape, {depth}), '')"))
+    children = rows.groupBy("host", "node", "_seg").agg(
         F.sum("labelled").alias("n"), F.sum("good").alias("g")
     )
     branch = rows.groupBy("host", "node").agg(F.sum("labelled").alias("bn"), F.sum("good").alias("bg"))
@@ -85,33 +83,54 @@ def _merged(rows: DataFrame, depth: int) -> DataFrame:
         .selectExpr(
             "host AS _host",
             "node AS _node",
-            f"s{depth} AS _s",
+            "_seg AS _s",
             # the rest of the branch is what the child is compared with
-            "CASE WHEN s{0} IN ('', '*') THEN s{0} WHEN n < {1} OR bn - n < {1} THEN '*'"
-            " WHEN abs(g / n - (bg - g) / (bn - n)) < {2} * sqrt(greatest(bg / bn * (1 - bg / bn), 1e-9D)"
-            " * (1D / n + 1D / (bn - n))) THEN '*' ELSE s{0} END AS _kept".format(depth, LEAST_LABELS, DIFFERENCE),
+            "CASE WHEN _seg IN ('', '*') THEN _seg WHEN n < {0} OR bn - n < {0} THEN '*'"
+            " WHEN abs(g / n - (bg - g) / (bn - n)) < {1} * sqrt(greatest(bg / bn * (1 - bg / bn), 1e-9D)"
+            " * (1D / n + 1D / (bn - n))) THEN '*' ELSE _seg END AS _kept".format(LEAST_LABELS, DIFFERENCE),
         )
     )
-    joined = rows.join(judged, F.expr(f"host = _host AND node = _node AND s{depth} = _s"))
+    joined = rows.join(judged, F.expr("host = _host AND node = _node AND _seg = _s"))
     return joined.withColumn("node", F.expr("CASE WHEN _kept = '' THEN node ELSE node || '/' || _kept END")).drop(
-        "_host", "_node", "_s", "_kept"
+        "_host", "_node", "_s", "_seg", "_kept"
     )
 
 
 def templates(rows: DataFrame) -> DataFrame:
     """One row per path shape: host, its segments, template, smoothed purity, verdict.
 
-    ``rows`` has host, s0.. and good (1, 0 or NULL where there is no label). The work is
-    done on counts per shape, which partial aggregation makes before any row moves.
+    ``rows`` has host, shape and good (1, 0 or NULL where there is no label). The work is
+    done on counts per shape, which partial aggregation makes before any row moves. The tree
+    is as deep as the longest path asks: a path is done, with the rest of it merged, where
+    its branch has so few labels that all below it would be.
     """
-    names = [f"s{d}" for d in range(DEPTH)]
-    shapes = (
-        rows.groupBy("host", *names)
+    shapes = land(
+        rows.groupBy("host", "shape")
         .agg(F.count("good").alias("labelled"), F.sum(F.coalesce("good", F.lit(0))).alias("good"))
-        .withColumn("node", F.lit(""))
+        .withColumn("node", F.lit("")),
+        "url_shapes",
     )
-    for depth in range(DEPTH):
-        shapes = land(_merged(shapes, depth), "url_tree")
+    done, depth = [], 0
+    while True:
+        branch = shapes.groupBy("host", "node").agg(F.sum("labelled").alias("_n"))
+        # Two siblings need labels enough each to be told apart; fewer cannot be at any depth.
+        counted = land(
+            shapes.join(branch, ["host", "node"]).selectExpr(
+                "host", "shape", "labelled", "good", "node", f"size(shape) < {depth} OR _n < {2 * LEAST_LABELS} AS _over"
+            ),
+            "url_branches",
+        )
+        if counted.where(f"NOT _over AND size(shape) > {depth}").isEmpty():
+            done.append(counted)
+            break
+        done.append(counted.where("_over"))
+        shapes = land(_merged(counted.where("NOT _over").drop("_over"), depth), "url_tree")
+        depth += 1
+    ends = [
+        level.withColumn("node", F.expr(f"concat(node, repeat('/*', greatest(size(shape) - {at}, 0)))")).drop("_over")
+        for at, level in enumerate(done)
+    ]
+    shapes = land(reduce(DataFrame.unionByName, ends), "url_nodes")
     whole = shapes.groupBy().agg(F.sum("labelled").alias("wn"), F.sum("good").alias("wg"))
     hosts = shapes.groupBy("host").agg(F.sum("labelled").alias("hn"), F.sum("good").alias("hg"))
     nodes = shapes.groupBy("host", "node").agg(F.sum("labelled").alias("n"), F.sum("good").alias("g"))
@@ -123,11 +142,9 @@ def templates(rows: DataFrame) -> DataFrame:
         .selectExpr("host", "node", f"(g + {PRIOR_PAGES} * _of_host) / (n + {PRIOR_PAGES}) AS purity")
     )
     return (
-        shapes.select("host", "node", *names)
+        shapes.select("host", "node", "shape")
         .join(scored, ["host", "node"])
-        .selectExpr(
-            "host", *names, "node AS template", "purity", f"purity < {LEAST_PURITY} AS rejected"
-        )
+        .selectExpr("host", "shape", "node AS template", "purity", f"purity < {LEAST_PURITY} AS rejected")
     )
 
 
@@ -141,20 +158,17 @@ def filter_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     columns, whatever their names, are ignored. A page with several labels
     counts as good if any is. Empty tables give no rows.
     """
-    names = [f"s{d}" for d in range(DEPTH)]
     rows = land(
-        parsed(pages).selectExpr(
-            "page_id", "host", "path", "rule", *[f"{_segment(d)} AS s{d}" for d in range(DEPTH)]
-        ),
+        parsed(pages).selectExpr("page_id", "host", "path", "rule", f"{_shape()} AS shape"),
         "url_pages",
     )
     good = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("good"))
-    labelled = rows.join(good, rows["page_id"] == good["doc_id"], "left").select("host", *names, "good")
+    labelled = rows.join(good, rows["page_id"] == good["doc_id"], "left").select("host", "shape", "good")
     found = land(templates(labelled), "url_templates")
     said = F.lit(None).cast("string")
     for host, path, what in RULES:
         said = F.when(F.col("rule") == host + path, F.lit(what)).otherwise(said)
-    return rows.join(found, ["host", *names]).select(
+    return rows.join(found, ["host", "shape"]).select(
         "page_id",
         "host",
         "path",

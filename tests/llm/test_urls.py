@@ -65,3 +65,20 @@ def test_bad_branch_is_a_template_of_its_own(pages, labels):
 
 def test_empty_tables(pages, labels):
     assert urls.filter_urls(pages([]), labels([(1, 1)])).count() == 0
+
+
+def test_branches_below_the_third_segment_are_told_apart(pages, labels):
+    rows = [(i, f"http://a.com/a/b/c/{('news', 'spam', 'blog')[i % 3]}/x/y/{i}") for i in range(300)]
+    rows += [(1000 + i, f"http://b.com/p/q/r/s/t/{'uv'[i % 2]}") for i in range(100)]
+    rows += [(2000 + i, f"http://c.com/a/b/c/d/e/page{'/more' * i}") for i in range(3)]
+    rows += [(3000 + i, "http://b.com/p/q") for i in range(3)]
+    quality = [(i, 0 if i % 3 == 1 else 1) for i in range(300)] + [(1000 + i, 1 - i % 2) for i in range(100)]
+    found = {r.page_id: r for r in urls.filter_urls(pages(rows), labels(quality)).collect()}
+    assert {found[i].verdict for i in range(300) if i % 3 != 1} == {"allow"}
+    assert {found[i].verdict for i in range(1, 300, 3)} == {"block"}
+    assert found[1].template == "/*/*/*/spam/*/*/*"
+    assert [found[1000 + i].verdict for i in range(4)] == ["allow", "block"] * 2
+    assert found[1001].template == "/*/*/*/*/*/v"
+    # Few labels are merged at every depth, and each segment is in the template.
+    assert [found[2000 + i].template for i in range(3)] == ["/*" * (6 + i) for i in range(3)]
+    assert found[3000].template == "/*/*"
