@@ -115,8 +115,83 @@ SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_cha
 FROM texts JOIN printed USING (conv_id)"""
 
 
+def _centroids(rounds: int = 5) -> str:
+    def assign(n: int) -> str:
+        return f"""dist{n} AS (
+    SELECT vec_id, cluster, CAST(sum((x - c) * (x - c)) AS BIGINT) AS distance
+    FROM comps JOIN cent{n} USING (d) GROUP BY vec_id, cluster),
+near{n} AS MATERIALIZED (
+    SELECT vec_id, cluster, distance FROM dist{n}
+    QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1),"""
+
+    steps = "".join(
+        f"""
+{assign(n)}
+sums{n} AS (
+    SELECT cluster, d, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM near{n} JOIN comps USING (vec_id) GROUP BY cluster, d),
+cent{n + 1} AS MATERIALIZED (
+    SELECT cluster, d, (s - ((s % n) + n) % n) // n AS c FROM sums{n}
+    UNION ALL SELECT cluster, d, c FROM cent{n} WHERE cluster NOT IN (SELECT cluster FROM near{n})),"""
+        for n in range(rounds)
+    )
+    return f"""WITH kept AS MATERIALIZED (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+comps AS MATERIALIZED (SELECT vec_id, d, v[d] AS x FROM kept, range(1, 65) AS r(d)),
+firsts AS (
+    SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS cluster FROM kept
+    QUALIFY cluster < 40),
+cent0 AS MATERIALIZED (SELECT CAST(cluster AS INT) AS cluster, d, x AS c FROM firsts JOIN comps USING (vec_id)),{steps}
+{assign(rounds)}
+digests AS (SELECT cluster, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM cent{rounds} GROUP BY cluster)
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+    CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM near{rounds} JOIN digests USING (cluster)"""
+
+
+def _divergence() -> str:
+    p = "1 + 1000000000 * (CAST({0} AS HUGEINT) + 1) // ({1} + v)"
+    f = "(({0}) - ({1})) * (({0}) - ({1})) // ({1})"
+    of_pair = f.format(p.format("coalesce(a.c, 0)", "g.n"), p.format("coalesce(b.c, 0)", "h.n"))
+    return rf"""WITH docs AS (
+    SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+    FROM documents),
+words AS (SELECT id, lang, source, unnest(ws) AS term FROM docs),
+whole AS (
+    SELECT lang, term, count(*) AS l FROM words GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+kept AS MATERIALIZED (
+    SELECT lang, source, term, count(*) AS c, any_value(l) AS l FROM words JOIN whole USING (lang, term) GROUP BY lang, source, term),
+langs AS (SELECT lang, count(*) AS v, sum(l) AS ln FROM whole GROUP BY lang),
+groups AS MATERIALIZED (
+    SELECT lang, source, coalesce(v, 0) AS v, coalesce(ln, 0) AS ln, coalesce(n, 0) AS n
+    FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN langs USING (lang)
+        LEFT JOIN (SELECT lang, source, sum(c) AS n FROM kept GROUP BY lang, source) USING (lang, source)),
+pairs AS (
+    SELECT g.lang, g.source, h.source AS item,
+        CAST(coalesce(sum(CASE WHEN w.term IS NOT NULL THEN (SELECT {of_pair} FROM (SELECT g.v AS v)) END), 0) AS BIGINT) AS value
+    FROM groups AS g JOIN groups AS h ON g.lang = h.lang AND g.source <> h.source
+        LEFT JOIN whole AS w ON w.lang = g.lang
+        LEFT JOIN kept AS a ON a.lang = g.lang AND a.source = g.source AND a.term = w.term
+        LEFT JOIN kept AS b ON b.lang = h.lang AND b.source = h.source AND b.term = w.term
+    GROUP BY g.lang, g.source, h.source),
+terms AS (
+    SELECT lang, source, term AS item, CAST({f.format("p", "q")} AS BIGINT) AS value
+    FROM (SELECT lang, source, term, {p.format("c", "n")} AS p, {p.format("l", "ln")} AS q FROM kept JOIN groups USING (lang, source))
+    WHERE p > q),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+    FROM (SELECT lang, source, 'pair' AS part, item, value FROM pairs
+        UNION ALL SELECT lang, source, 'term', item, value FROM terms))
+SELECT lang, source, part, item, value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
 SQL: dict[str, str] = {
     "op2_quality_rules": _quality(),
     "op5_decontamination": _decontamination(),
     "op6_chat_formatting": _chat(),
+    "op11_centroid_clustering": _centroids(),
+    "op13_source_divergence": _divergence(),
 }

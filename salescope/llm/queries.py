@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.llm import chat, decontaminate, jaccard, lines, mixing, quality, suffixes, tokens, toxicity, urls
+from salescope.llm import (
+    centroids,
+    chat,
+    decontaminate,
+    divergence,
+    jaccard,
+    lines,
+    minhash,
+    mixing,
+    quality,
+    suffixes,
+    tokens,
+    toxicity,
+    urls,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +85,19 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = minhash.near_documents(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
@@ -82,4 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_token_shards": op9_token_shards,
     "op10_source_mixing": op10_source_mixing,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_minhash_dedup": op12_minhash_dedup,
+    "op13_source_divergence": op13_source_divergence,
 }
