@@ -74,6 +74,16 @@ def derive_profit(df: DataFrame) -> DataFrame:
     return df.withColumn("Profit", F.coalesce(F.col("Profit").cast(kind), estimate.cast(kind)))
 
 
+def _filled(df: DataFrame, name: str, value: Column) -> Column:
+    """The column with ``value`` where it is missing; whole numbers as DOUBLE, money with four decimals."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.DecimalType):
+        kind = kind if name == "Discount" else clean_money(kind)
+    else:
+        kind = T.DoubleType()
+    return F.coalesce(F.col(name).cast(kind), value.cast(kind))
+
+
 def impute_median(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Missing numbers become the median of their column.
 
@@ -86,21 +96,19 @@ def impute_median(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         return df
     row = quantile_row(df, columns, [0.5])
     medians = row.select(F.struct(*[F.col(c)[0].alias(c) for c in columns]).alias("m")).scalar()
-
-    def filled(name: str) -> Column:
-        kind = df.schema[name].dataType
-        if isinstance(kind, T.DecimalType):
-            kind = kind if name == "Discount" else clean_money(kind)
-        else:
-            kind = T.DoubleType()
-        return F.coalesce(F.col(name).cast(kind), F.col("_medians").getField(name).cast(kind))
-
     # Attached as a column first, so that the plan holds the subquery once.
     return (
-        df.withColumn("_medians", medians).withColumns({c: filled(c) for c in columns}).drop("_medians")
+        df.withColumn("_medians", medians)
+        .withColumns({c: _filled(df, c, F.col("_medians").getField(c)) for c in columns})
+        .drop("_medians")
     )
 
 
+def impute_values(df: DataFrame, values: dict[str, object]) -> DataFrame:
+    """Missing numbers become given values, such as medians of earlier rows."""
+    return df.withColumns({c: _filled(df, c, F.lit(v)) for c, v in values.items()})
+
+
 def fill_unknown(df: DataFrame) -> DataFrame:
     """Missing text becomes ``Unknown``; so does a date that is still text."""
     return df.fillna(UNKNOWN, subset=_columns_of(df, T.StringType))

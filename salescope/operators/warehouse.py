@@ -216,11 +216,13 @@ def read_star(spark: SparkSession, warehouse: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{warehouse}/{t}") for t in STAR_COLUMNS}
 
 
-def _absent(new: DataFrame, present: DataFrame | None, key: str) -> DataFrame:
+def absent(new: DataFrame, present: DataFrame | None, key: str) -> DataFrame:
+    """The rows whose key a table does not have yet."""
     return new if present is None else new.join(present.select(key), key, "left_anti")
 
 
-def _last_id(present: DataFrame | None, column: str) -> Column | int:
+def last_id(present: DataFrame | None, column: str) -> Column | int:
+    """The highest id that a table has given so far."""
     if present is None:
         return 0
     return present.select(F.coalesce(F.max(column), F.lit(0)).alias("last")).scalar()
@@ -233,22 +235,22 @@ def _append(df: DataFrame, warehouse: str, table: str) -> None:
 def load_customers(sales: DataFrame, warehouse: str) -> None:
     """Inserts the customers whose id the table does not have yet."""
     present = read_table(sales.sparkSession, warehouse, "customers")
-    _append(_absent(customer_rows(sales), present, "customer_id"), warehouse, "customers")
+    _append(absent(customer_rows(sales), present, "customer_id"), warehouse, "customers")
 
 
 def load_products(sales: DataFrame, warehouse: str) -> None:
     """Inserts the products whose name the table does not have yet, with new ids."""
     present = read_table(sales.sparkSession, warehouse, "products")
     # Landed, because numbering reads the rows twice and must see the same ones.
-    new = land(_absent(product_rows(sales), present, "product_name"), "new_products")
-    numbered = dense_ids(new, "product_id", ["product_name"], _last_id(present, "product_id"))
+    new = land(absent(product_rows(sales), present, "product_name"), "new_products")
+    numbered = dense_ids(new, "product_id", ["product_name"], last_id(present, "product_id"))
     _append(numbered, warehouse, "products")
 
 
 def load_orders(sales: DataFrame, warehouse: str) -> None:
     """Inserts the orders whose id the table does not have yet."""
     present = read_table(sales.sparkSession, warehouse, "orders")
-    _append(_absent(order_rows(sales), present, "order_id"), warehouse, "orders")
+    _append(absent(order_rows(sales), present, "order_id"), warehouse, "orders")
 
 
 def load_sales(sales: DataFrame, warehouse: str, idempotent: bool = False) -> None:
@@ -260,7 +262,7 @@ def load_sales(sales: DataFrame, warehouse: str, idempotent: bool = False) -> No
     new = sales_rows(sales)
     if idempotent and present is not None:
         new = new.join(present.select("order_id").distinct(), "order_id", "left_anti")
-    _append(numbered(new, "sale_id", _last_id(present, "sale_id")), warehouse, "sales")
+    _append(numbered(new, "sale_id", last_id(present, "sale_id")), warehouse, "sales")
 
 
 # --- constraints -----------------------------------------------------------

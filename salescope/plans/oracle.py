@@ -489,6 +489,76 @@ FROM star_sales JOIN star_orders USING (order_id) JOIN star_customers USING (cus
     JOIN star_products USING (product_name)"""
 
 
+_STREAMED = """SELECT Order_ID AS order_id, CAST(Order_Date AS VARCHAR) AS order_date, Customer_ID AS customer_id,
+    Customer_Name AS customer_name, Product_Category AS product_category, Product_Name AS product_name, Region AS region,
+    CAST(trunc(Quantity) AS BIGINT) AS quantity, CAST(CAST(Unit_Price AS DECIMAL(10,2)) AS DOUBLE) AS unit_price,
+    CAST(Discount AS DOUBLE) AS discount, CAST(CAST(Revenue AS DECIMAL(12,2)) AS DOUBLE) AS revenue,
+    CAST(CAST(Profit AS DECIMAL(12,2)) AS DOUBLE) AS profit, Sales_Channel AS sales_channel
+FROM clean"""
+
+_EVENT_WINDOWS = """SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, strftime(w + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M') AS window_end,
+    event_type, count(*) AS events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value
+FROM (SELECT DISTINCT event_id, ts, event_type, value, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS w FROM events)
+WHERE w + INTERVAL 6 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 3 HOUR FROM events)
+GROUP BY w, event_type"""
+
+_RATES = """rates AS (
+    SELECT region AS Region, order_date AS rate_date, CAST(0.5 + sum(c_custkey) % 10000 * 0.0001 AS DECIMAL(9,4)) AS rate
+    FROM star_orders JOIN customer ON customer_id = 'CUST-' || c_custkey WHERE c_custkey % 10 = 0 GROUP BY ALL)"""
+
+_PROMOTIONS = """promotions AS (
+    SELECT l_partkey AS part, l_orderkey AS promotion, CAST(l_shipdate AS DATE) AS valid_from,
+        CASE WHEN l_orderkey % 97 <> 0 THEN CAST(l_shipdate AS DATE) + CAST(
+            CASE l_orderkey % 10 WHEN 0 THEN 700 WHEN 1 THEN 0 ELSE l_quantity END AS INTEGER) END AS valid_to
+    FROM lineitem WHERE l_linenumber = 1)"""
+
+
+def _rates_asof(matched: str) -> str:
+    """Sales and the rate that ``matched``, a join, finds for them."""
+    select = (
+        "SELECT Order_ID, c.Region, CAST(Order_Date AS VARCHAR) AS Order_Date, CAST(r.rate_date AS VARCHAR) AS rate_date, "
+        f"CAST(r.rate AS DOUBLE) AS rate, CAST(Revenue * r.rate AS DOUBLE) AS Converted FROM clean AS c {matched}"
+    )
+    return with_([*_CLEAN_PARTS, _PRODUCT, _STAR, _RATES], select)
+
+
+def _cube(grouping: str, dims: str) -> str:
+    return with_(
+        [_LINES, "dated AS (SELECT *, strftime(Order_Date, '%Y-%m') AS YearMonth FROM lines)"],
+        f"""SELECT GROUPING({dims}) AS level, {dims}, CAST(sum(Revenue) AS DOUBLE) AS total_revenue,
+            CAST(sum(Profit) AS DOUBLE) AS total_profit, count(DISTINCT Order_ID) AS total_orders,
+            count(DISTINCT Customer_ID) AS total_customers,
+            round(CAST(sum(Revenue) AS DOUBLE) / count(DISTINCT Order_ID), 6) AS average_order_value
+        FROM dated GROUP BY {grouping}({dims})""",
+    )
+
+
+def _frames(keys: str) -> str:
+    """Frames by comparing months with months, without windows."""
+    own, same = (f", {keys}", f"AND b.{keys} = a.{keys}") if keys else ("", "")
+
+    def back(expression: str, first: int, last: int = 0) -> str:
+        return f"(SELECT {expression} FROM months AS b WHERE b.m BETWEEN a.m - {first} AND a.m - {last} {same})"
+
+    select = f"""SELECT YearMonth{own}, CAST(v AS DOUBLE) AS Revenue, CAST({back('sum(v)', 2)} AS DOUBLE) AS trailing_3,
+        {back('count(*)', 2)} AS present_3, CAST({back('sum(v)', 11)} AS DOUBLE) AS trailing_12, {back('count(*)', 11)} AS present_12,
+        CAST((SELECT sum(v) FROM months AS b WHERE b.m // 12 = a.m // 12 AND b.m <= a.m {same}) AS DOUBLE) AS year_to_date,
+        CAST({back('sum(v)', 1, 1)} AS DOUBLE) AS month_ago, CAST({back('sum(v)', 12, 12)} AS DOUBLE) AS year_ago,
+        round(100 * (v - {back('CAST(sum(v) AS DOUBLE)', 12, 12)}) / nullif({back('CAST(sum(v) AS DOUBLE)', 12, 12)}, 0), 6) AS year_change_pct
+    FROM months AS a"""
+    months = f"months AS (SELECT YearMonth{own}, sum(Revenue) AS v, any_value(Year) * 12 + any_value(Month) - 1 AS m FROM clean GROUP BY ALL)"
+    return with_([*_CLEAN_PARTS, months], select)
+
+
+_RANKS = """SELECT YearMonth, Product_Name, CAST(v AS DOUBLE) AS Revenue, rank() OVER best AS rank, dense_rank() OVER best AS dense_rank,
+    round(percent_rank() OVER best, 8) AS percent_rank, ntile(4) OVER named AS tile, round(100 * CAST(v AS DOUBLE) / sum(v) OVER month, 6) AS share_pct,
+    round(100 * CAST(sum(v) OVER (named ROWS UNBOUNDED PRECEDING) AS DOUBLE) / sum(v) OVER month, 6) AS running_share_pct,
+    CAST(max(v) OVER month - v AS DOUBLE) AS behind_best
+FROM (SELECT YearMonth, Product_Name, sum(Revenue) AS v FROM clean GROUP BY ALL)
+WINDOW month AS (PARTITION BY YearMonth), best AS (PARTITION BY YearMonth ORDER BY v DESC),
+    named AS (PARTITION BY YearMonth ORDER BY v DESC, Product_Name)"""
+
+
 def oracle() -> dict[str, str]:
     segment_keys = "YearMonth, Region, Product_Category"
     star = [_PRODUCT, _STAR]
@@ -790,6 +860,36 @@ def oracle() -> dict[str, str]:
             f"({_linear_metrics()}) AS m",
         ),
         "dash_forecast_series_linear": _forecast_series(),
+        # streaming
+        "stream_star": _clean(_STREAMED),
+        "stream_event_windows": _EVENT_WINDOWS,
+        # joins on time
+        "asof_exchange_rate": _rates_asof("ASOF LEFT JOIN rates AS r ON c.Region = r.Region AND c.Order_Date >= r.rate_date"),
+        "asof_next_rate": _rates_asof(
+            "LEFT JOIN rates AS r ON c.Region = r.Region AND r.rate_date = (SELECT min(rate_date) FROM rates AS x "
+            "WHERE x.Region = c.Region AND x.rate_date > c.Order_Date AND x.rate_date <= c.Order_Date + 20)"
+        ),
+        "asof_last_view": """WITH views AS (SELECT * FROM events WHERE event_type = 'view')
+            SELECT e.event_id, e.user_id, CASE WHEN near THEN v.event_id END AS view_id, CASE WHEN near THEN v.value END AS view_value
+            FROM (SELECT * FROM events WHERE event_type = 'purchase') AS e
+                ASOF LEFT JOIN views AS v ON e.user_id = v.user_id AND e.ts >= v.ts,
+                LATERAL (SELECT e.ts <= v.ts + INTERVAL 1 HOUR AS near)""",
+        "interval_join_promotions": "WITH " + _PROMOTIONS + """
+            SELECT part, l_orderkey AS order_key, CAST(l_linenumber AS BIGINT) AS line, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day,
+                promotion, CAST(valid_from AS VARCHAR) AS valid_from, CAST(valid_to AS VARCHAR) AS valid_to
+            FROM lineitem JOIN promotions ON l_partkey = part AND CAST(l_shipdate AS DATE) >= valid_from
+                AND (valid_to IS NULL OR CAST(l_shipdate AS DATE) < valid_to)
+            WHERE l_linenumber > 1""",
+        "overlap_join_promotions": "WITH " + _PROMOTIONS + """
+            SELECT a.part, a.promotion, b.promotion AS other, CAST(a.valid_from AS VARCHAR) AS valid_from, CAST(b.valid_from AS VARCHAR) AS other_from
+            FROM promotions AS a JOIN promotions AS b ON a.part = b.part AND a.promotion < b.promotion
+                AND a.valid_from < b.valid_to AND b.valid_from < a.valid_to AND a.valid_from < a.valid_to AND b.valid_from < b.valid_to""",
+        # cubes and calendars
+        "kpi_cube": _cube("CUBE", "Region, Product_Category, Sales_Channel, YearMonth"),
+        "kpi_rollup": _cube("ROLLUP", "Region, YearMonth"),
+        "monthly_frames": _frames("Product_Name"),
+        "monthly_frames_total": _frames(""),
+        "monthly_ranks": _clean(_RANKS),
         "quantity_decay": with_(
             [*_CLEAN_PARTS, _SEGMENTS, _LAST_SEED],
             "SELECT i AS step, strftime(last + to_months(CAST(i AS INTEGER)), '%Y-%m') AS YearMonth, "

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salescope.functions import formats
-from salescope.operators import clean, dashboard, filters, forecast, kpi, profile, warehouse
+from salescope.operators import calendar, clean, cube, dashboard, filters, forecast, kpi, profile, temporal, warehouse
 from salescope.operators.forecast import SalesForecaster
-from salescope.plans.fixtures import sales_clean, sales_lines, sales_raw, star
+from salescope.plans import histories, streams
+from salescope.plans.fixtures import read, sales_clean, sales_lines, sales_raw, star
 from salescope.plans.pipeline import preprocess_pipeline
 from salescope.schema import CLEAN_COLUMNS, SALES, SEQ
 from salescope.sources.csv import load_sales_csv, save_sales_csv
@@ -404,6 +405,60 @@ def _defaults(df: DataFrame) -> DataFrame:
     )
 
 
+# --- joins on time ---------------------------------------------------------
+
+
+def rates_asof(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """Sales with the exchange rate of their region at their date, and the revenue at that rate."""
+    sales = sales_clean(spark, sf_dir).select("Order_ID", "Region", "Order_Date", "Revenue")
+    rates = histories.exchange_rates(spark, sf_dir)
+    rows = temporal.asof_join(sales, rates, "Region", "Order_Date", "rate_date", ["rate"], **options)
+    return result(rows.withColumn("Converted", F.col("Revenue") * F.col("rate")).drop("Revenue"))
+
+
+def last_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases with the same user's last view, if it was at most an hour before."""
+    events = read(spark, sf_dir, "events")
+    bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    viewed = events.where("event_type = 'view'").selectExpr("user_id", "ts AS viewed", "event_id AS view_id", "value AS view_value")
+    rows = temporal.asof_join(bought, viewed, "user_id", "ts", "viewed", ["view_id", "view_value"], tolerance="1 hour")
+    return rows.select("event_id", "user_id", "view_id", "view_value")
+
+
+def promoted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with each promotion of their part in force on their day."""
+    rows = temporal.interval_join(
+        histories.shipped(spark, sf_dir), histories.promotions(spark, sf_dir), "part", "day", "valid_from", "valid_to", "20 days"
+    )
+    return result(rows.drop("supplier"))
+
+
+def overlapping_promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of promotions of one part that were in force at the same time."""
+    a = histories.promotions(spark, sf_dir)
+    b = a.selectExpr("part", "promotion AS other", "valid_from AS other_from", "valid_to AS other_to")
+    rows = temporal.overlap_join(a, b, "part", ("valid_from", "valid_to"), ("other_from", "other_to"), "20 days")
+    return result(rows.where("promotion < other").select("part", "promotion", "other", "valid_from", "other_from"))
+
+
+# --- cubes and calendars ---------------------------------------------------
+
+DIMENSIONS = ["Region", "Product_Category", "Sales_Channel", "YearMonth"]
+
+
+def _dated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.date_parts(sales_lines(spark, sf_dir))
+
+
+def streamed_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return result(warehouse.sales_summary_view(streams.streamed_star(spark, sf_dir)))
+
+
+def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = streams.streamed_windows(spark, sf_dir)
+    return result(rows.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm") for c in ("window_start", "window_end")}))
+
+
 # --- registry --------------------------------------------------------------
 
 
@@ -562,6 +617,25 @@ def registry() -> dict[str, Query]:
         "surrogate_ids": surrogate_ids,
         "insert_defaults": _on_raw(_defaults),
         "load_all": loaded_counts,
+        # streaming
+        "stream_star": streamed_view,
+        "stream_event_windows": streamed_windows,
+        # joins on time
+        "asof_exchange_rate": rates_asof,
+        "asof_next_rate": lambda s, d: rates_asof(s, d, direction="forward", strict=True, tolerance="20 days"),
+        "asof_last_view": last_view,
+        "interval_join_promotions": promoted_lines,
+        "overlap_join_promotions": overlapping_promotions,
+        # cubes and calendars
+        "kpi_cube": lambda s, d: result(cube.kpi_cube(_dated_lines(s, d), DIMENSIONS), average_order_value=6),
+        "kpi_rollup": lambda s, d: result(
+            cube.kpi_cube(_dated_lines(s, d), DIMENSIONS[::3], cube.rollup_sets(DIMENSIONS[::3])), average_order_value=6
+        ),
+        "monthly_frames": _on_clean(lambda df: calendar.monthly_frames(df, ["Product_Name"]), year_change_pct=6),
+        "monthly_frames_total": _on_clean(calendar.monthly_frames, year_change_pct=6),
+        "monthly_ranks": _on_clean(
+            lambda df: calendar.monthly_ranks(df, "Product_Name"), percent_rank=8, share_pct=6, running_share_pct=6
+        ),
         # forecasting
         "segment_monthly": _on_clean(forecast.segment_monthly),
         "lag_features": _on_clean(_lags),

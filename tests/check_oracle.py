@@ -11,7 +11,7 @@ from pathlib import Path
 
 import duckdb
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
 
 def database(sf_dir: str) -> duckdb.DuckDBPyConnection:
