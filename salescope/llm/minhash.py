@@ -170,10 +170,9 @@ class _Forest:
                 return above
             self.parent = above
 
-    def tie(self, a: int, b: int) -> bool:
+    def tie(self, a: int, b: int) -> None:
         a, b = self.root(a), self.root(b)
         self.parent[max(a, b)] = min(a, b)
-        return a != b
 
 
 def _apart(one: int, others: np.ndarray, sizes, sketches, forest: _Forest) -> np.ndarray:
@@ -185,8 +184,21 @@ def _apart(one: int, others: np.ndarray, sizes, sketches, forest: _Forest) -> np
     return others[differ <= most_differing()]
 
 
+def _stars(forest: _Forest, names: list[bytes]) -> pa.RecordBatch:
+    """Edges from the names of connected nodes to the least of them."""
+    edges = set()
+    roots = forest.roots()
+    order = np.argsort(roots, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(roots[order])) + 1):
+        if len(own) > 1:
+            least = min(names[k] for k in own)
+            edges.update((names[k], least) for k in own if names[k] != least)
+    a, b = zip(*sorted(edges), strict=True) if edges else ((), ())
+    return pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A forest over all pairs of a band key that may be linked and are in different components.
+    """Edges that connect all pairs of a band key that may be linked and are in different components.
 
     Rows come sorted by key and block.
     """
@@ -205,15 +217,12 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         component = np.array([number[r[7]] for r in nodes.values()])
         forest = _Forest(signs)
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        a, b = [], []
         for k in left.tolist():
             others = right if low != high else right[right > k]
             others = others[component[others] != component[k]]
             for other in _apart(k, others, sizes, sketches, forest).tolist():
-                if forest.tie(k, other):
-                    a.append(signs[k])
-                    b.append(signs[other])
-        yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                forest.tie(k, other)
+        yield _stars(forest, signs)
 
 
 MEETING = ("key", "low", "high", "block", "sig", "n", "sketch", "label")
@@ -221,9 +230,9 @@ CONFIRMING = ("key", "low", "high", "block", "label")
 
 
 def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges between linked sets that connect all that links connect; rows come sorted by key and block.
+    """Edges between the labels of linked sets; rows come sorted by key and block.
 
-    The sketches choose which sets are compared.
+    Sets of one label are known to be connected. The sketches choose which others are compared.
     """
 
     def rows():
@@ -241,23 +250,19 @@ def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for (_, low, high), group in groupby(rows(), key=lambda r: r[0][:3]):
         nodes = {signature(own): (fact, own, bits) for fact, own, bits in group}
-        signs, facts = list(nodes), [fact for fact, _, _ in nodes.values()]
+        facts = [fact for fact, _, _ in nodes.values()]
         sets, sketches = [own for _, own, _ in nodes.values()], np.stack([bits for _, _, bits in nodes.values()])
         sizes, block = np.array([len(s) for s in sets]), np.array([f[3] for f in facts])
         forest = _Forest([f[4] for f in facts])
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        a, b = [], []
         for k in left.tolist():
             others = right if low != high else right[right > k]
             for other in _apart(k, others, sizes, sketches, forest).tolist():
-                if forest.root(k) == forest.root(other):
-                    continue
-                common = len(sets[k]) + len(sets[other]) - len(distinct(np.concatenate((sets[k], sets[other]))))
-                if 100 * common >= SIMILAR * (len(sets[k]) + len(sets[other]) - common):
-                    forest.tie(k, other)
-                    a.append(signs[k])
-                    b.append(signs[other])
-        yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                if forest.root(k) != forest.root(other):
+                    common = len(sets[k]) + len(sets[other]) - len(distinct(np.concatenate((sets[k], sets[other]))))
+                    if 100 * common >= SIMILAR * (len(sets[k]) + len(sets[other]) - common):
+                        forest.tie(k, other)
+        yield _stars(forest, [f[4] for f in facts])
 
 
 def _confirmed(groups: DataFrame, texts: DataFrame) -> DataFrame:
@@ -332,15 +337,18 @@ def near_documents(docs: DataFrame) -> DataFrame:
     reached = land(components(first), "minhash_components")
 
     # Band keys whose nodes are in several components by now.
-    labels = facts.join(reached.selectExpr("node AS sig", "root"), "sig", "left").selectExpr(
-        "sig", "least", "text_hash", "n", "sketch", "coalesce(root, sig) AS label"
+    labels = land(
+        facts.join(reached.selectExpr("node AS sig", "root"), "sig", "left").selectExpr(
+            "sig", "least", "text_hash", "n", "sketch", "coalesce(root, sig) AS label"
+        ),
+        "minhash_labels",
     )
-    placed = members.select("band", "sig").join(labels, "sig")
+    placed = members.select("band", "sig").join(labels.select("sig", "label"), "sig")
     mixed = placed.groupBy("band").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("m")).where(
         "_low <> _high"
     ).selectExpr("band AS key", f"CAST(ceil(m / {MEET}) AS INT) AS blocks")
     meeting = (
-        placed.withColumnRenamed("band", "key").join(mixed, "key")
+        members.selectExpr("band AS key", "sig").join(mixed, "key").join(labels, "sig")
         .selectExpr("key", "sig", "n", "sketch", "label", *_PAIRED)
         .selectExpr("key", *_PAIR, "block", "sig", "n", "sketch", "label")
     )
@@ -354,11 +362,9 @@ def near_documents(docs: DataFrame) -> DataFrame:
     paired = split.selectExpr("least", "text_hash", "sig", "label", "cluster AS key", "blocks", *_PAIRED).selectExpr(
         "least", "text_hash", "label", "key", *_PAIR, "block"
     )
-    second = _confirmed(paired, texts)
-
-    ends = components(first.unionByName(second)).selectExpr("node AS _sig", "root")
-    known = facts.select("sig", "least").join(ends, F.expr("sig = _sig"), "left").selectExpr(
-        "sig AS _node", "least", "coalesce(root, sig) AS root"
+    ends = components(_confirmed(paired, texts)).selectExpr("node AS _label", "root")
+    known = labels.select("sig", "least", "label").join(ends, F.expr("label = _label"), "left").selectExpr(
+        "sig AS _node", "least", "coalesce(root, label) AS root"
     )
     smallest = known.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "_root")
     joined = known.join(smallest, F.expr("root = _root"))
