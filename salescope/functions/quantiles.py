@@ -3,9 +3,12 @@
 ``percentile`` and ``median`` keep every distinct value of a column in the buffer
 of one final task. Here a first pass only counts rows per logarithmic bucket, a
 few thousand rows per column, which tells the buckets the wanted ranks fall in.
-Those buckets are split again, twice, between their own least and greatest value, so
+Those buckets are split between their own least and greatest value, so
 that a column of very close values is spread too. A last pass reads the values of the
 parts that are left and counts them per value.
+
+Each pass is one scan. What it finds, two rows per column and rank at most, is a scalar
+subquery, which Spark runs once for all places that name it.
 """
 
 from __future__ import annotations
@@ -15,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: Buckets per doubling of the value; one bucket spans 0.14 % of its values.
 BUCKETS_PER_DOUBLING = 512
-#: Equal parts of a bucket, at each of the two splits.
-PARTS = 1 << 14
+#: Equal parts of a bucket. If all of 10^12 rows were in one bucket, a part would have 4 million.
+PARTS = 1 << 18
 
 # Never falls when the value rises. The shift makes the bucket of every positive
 # double positive, as exponents start at -1074. Infinities lie beyond all others.
@@ -43,13 +46,19 @@ def _reached(ranks: DataFrame) -> DataFrame:
     ).where("before <= ceil(position) AND floor(position) < _upto").drop("_upto")
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """Few rows as a table that is made from one scalar subquery."""
+    found = rows.agg(F.collect_list(F.struct("*")).alias("rows")).scalar()
+    return rows.sparkSession.range(1).select(F.inline(found))
+
+
 def _split(values: DataFrame, wanted: DataFrame) -> DataFrame:
     """Values of the wanted buckets with the part of it that each falls in."""
     edges = wanted.select("name", F.col("bucket").alias("parent"), "low", "high").distinct()
     part = (
         f"CASE WHEN low < high THEN least({PARTS - 1}, floor((value - low) / (high - low) * {PARTS})) ELSE 0 END"
     )
-    return values.withColumnRenamed("bucket", "parent").join(F.broadcast(edges), ["name", "parent"]).selectExpr(
+    return values.drop("parent").withColumnRenamed("bucket", "parent").join(F.broadcast(edges), ["name", "parent"]).selectExpr(
         "name", "value", "parent", f"parent * {PARTS} + {part} AS bucket"
     )
 
@@ -66,20 +75,20 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> Da
         .selectExpr("name", "value", "0L AS parent", _BUCKET)
     )
     # At most two rows per column and probability: the broadcasts stay that small.
-    wanted = _reached(
-        _sizes(values)
-        .selectExpr("*", "sum(n) OVER (PARTITION BY name) AS total", "0L AS before")
-        .selectExpr("*", f"explode(array({', '.join(f'{p}D' for p in probs)})) AS prob")
-        .selectExpr("*", "(total - 1) * prob AS position")
+    wanted = _once(
+        _reached(
+            _sizes(values)
+            .selectExpr("*", "sum(n) OVER (PARTITION BY name) AS total", "0L AS before")
+            .selectExpr("*", f"explode(array({', '.join(f'{p}D' for p in probs)})) AS prob")
+            .selectExpr("*", "(total - 1) * prob AS position")
+        )
     )
-    parts = values.drop("parent")
-    for _ in range(2):
-        parts = _split(parts, wanted)
-        ranks = wanted.selectExpr("name", "bucket AS parent", "prob", "position", "before")
-        wanted = _reached(_sizes(parts).join(F.broadcast(ranks), ["name", "parent"]))
-        parts = parts.drop("parent")
+    parts = _split(values, wanted)
+    ranks = wanted.selectExpr("name", "bucket AS parent", "prob", "position", "before")
+    wanted = _once(_reached(_sizes(parts).join(F.broadcast(ranks), ["name", "parent"])))
     counted = (
-        parts.join(F.broadcast(wanted.select("name", "bucket").distinct()), ["name", "bucket"], "left_semi")
+        parts.drop("parent")
+        .join(F.broadcast(wanted.select("name", "bucket").distinct()), ["name", "bucket"], "left_semi")
         .groupBy("name", "bucket", "value")
         .agg(F.count("*").alias("n"))
         .selectExpr("*", "sum(n) OVER (PARTITION BY name, bucket ORDER BY value) AS seen")

@@ -114,11 +114,15 @@ def fit_linear(rows: DataFrame) -> PipelineModel:
     return Pipeline(stages=[stage]).fit(rows)
 
 
-def fit_forest(rows: DataFrame) -> PipelineModel:
-    """A forest that tries all features at each split, on rows of (features, label)."""
+def fit_forest(rows: DataFrame, trees: int = TREES, depth: int = DEPTH, bootstrap: bool = True) -> PipelineModel:
+    """A forest that tries all features at each split, on rows of (features, label).
+
+    Without ``bootstrap`` each tree sees all rows once, so that one tree has no random part.
+    """
     stage = RandomForestRegressor(
-        numTrees=TREES,
-        maxDepth=DEPTH,
+        numTrees=trees,
+        maxDepth=depth,
+        bootstrap=bootstrap,
         seed=SEED,
         featureSubsetStrategy="all",
         maxBins=BINS,

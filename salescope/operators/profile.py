@@ -16,6 +16,7 @@ from salescope.schema import SEQ
 # Settings of the profile that the results depend on.
 HISTOGRAM_BINS = 50
 DENSITY_POINTS = 200
+DENSITY_CELLS = 16
 CORRELATED = ["Quantity", "Unit_Price", "Discount", "Revenue", "Profit"]
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -182,32 +183,15 @@ def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFra
     )
 
 
-def density(
-    df: DataFrame, column: str, points: int = DENSITY_POINTS, bins: int = HISTOGRAM_BINS
-) -> DataFrame:
-    """Gaussian density of a column, scaled to the counts of its histogram.
-
-    The bandwidth follows Scott's rule, the points run from the smallest to the
-    largest value. Equal values are counted first, so the work is one kernel per
-    distinct value and point. A row adds to the points of one block at a time, and each
-    task adds up its share of all points before the shuffle.
-    """
-    values = df.select(F.col(column).cast("double").alias("value")).where("value IS NOT NULL")
-    stats = values.selectExpr(
-        f"""struct(min(value) AS low, (max(value) - min(value)) / {points - 1} AS step,
-            (max(value) - min(value)) / {bins} AS bin_width,
-            stddev_samp(value) * pow(count(value), -0.2D) AS bandwidth)"""
-    ).scalar()
+def _curve(weighted: DataFrame, points: int) -> DataFrame:
+    """The sum of kernels at all points, from rows of value, w and s, the settings of the curve."""
     block = min(_BLOCK, points)
     kernels = ", ".join(
         f"sum(w * exp(-0.5D * pow((s.low + (first + {offset}) * s.step - value) / s.bandwidth, 2)))"
         for offset in range(block)
     )
     sums = (
-        values.groupBy("value")
-        .agg(F.count("*").alias("w"))
-        .withColumn("s", stats)
-        .where("s.bandwidth > 0")
+        weighted.where("s.bandwidth > 0")
         .selectExpr("*", f"explode(sequence(0, {points - 1}, {block})) AS first")
         .groupBy("first", "s")
         .agg(F.expr(f"array({kernels})").alias("kernels"))
@@ -225,6 +209,54 @@ def density(
     )
 
 
+def _curve_settings(values: DataFrame, points: int, bins: int) -> Column:
+    return values.selectExpr(
+        f"""struct(min(value) AS low, (max(value) - min(value)) / {points - 1} AS step,
+            (max(value) - min(value)) / {bins} AS bin_width,
+            stddev_samp(value) * pow(count(value), -0.2D) AS bandwidth)"""
+    ).scalar()
+
+
+def density(
+    df: DataFrame, column: str, points: int = DENSITY_POINTS, bins: int = HISTOGRAM_BINS
+) -> DataFrame:
+    """Gaussian density of a column, scaled to the counts of its histogram.
+
+    The bandwidth follows Scott's rule, the points run from the smallest to the
+    largest value. Equal values are counted first, so the work is one kernel per
+    distinct value and point. A row adds to the points of one block at a time, and each
+    task adds up its share of all points before the shuffle.
+    """
+    values = df.select(F.col(column).cast("double").alias("value")).where("value IS NOT NULL")
+    counted = values.groupBy("value").agg(F.count("*").alias("w"))
+    return _curve(counted.withColumn("s", _curve_settings(values, points, bins)), points)
+
+
+def density_binned(
+    df: DataFrame,
+    column: str,
+    points: int = DENSITY_POINTS,
+    bins: int = HISTOGRAM_BINS,
+    per_bandwidth: int = DENSITY_CELLS,
+) -> DataFrame:
+    """The same curve from values on a grid of ``per_bandwidth`` cells per bandwidth.
+
+    Every value is shared between the two ends of its cell, by its distance from them. A kernel is then
+    off by 1 / (8 * per_bandwidth ** 2) of its height at most, so by 0.05 % for 16 cells, and so is
+    the curve, measured by its height if all values were equal. The work is a kernel per used end and point:
+    it follows the range of the values in bandwidths, not how many of them there are.
+    """
+    values = df.select(F.col(column).cast("double").alias("value")).where("value IS NOT NULL")
+    placed = values.withColumn("s", _curve_settings(values, points, bins)).where("s.bandwidth > 0")
+    cells = (
+        placed.selectExpr("s", f"(value - s.low) * {per_bandwidth} / s.bandwidth AS at")
+        .groupBy("s", F.floor("at").alias("cell"))
+        .agg(F.count("*").alias("n"), F.sum(F.expr("at - floor(at)")).alias("right"))
+    )
+    ends = cells.selectExpr("s", "stack(2, cell, n - right, cell + 1, right) AS (cell, w)").groupBy("s", "cell").agg(F.sum("w").alias("w"))
+    return _curve(ends.selectExpr("s", f"s.low + cell * s.bandwidth / {per_bandwidth} AS value", "w"), points)
+
+
 def profit_margin(df: DataFrame) -> DataFrame:
     """Adds the profit in percent of the revenue, with two decimals."""
     margin = F.round(ratio(F.col("Profit"), F.col("Revenue")) * 100, 2)

@@ -17,6 +17,8 @@ from salescope.schema import RATIO, SEQ, STAR_COLUMNS
 from salescope.sources.shared import land
 
 SUMMARY_VIEW = "vw_sales_summary"
+#: Most partitions that rows are numbered in; their shifts take about a megabyte.
+NUMBERED_PARTS = 1 << 16
 
 SUMMARY_SQL = """
     SELECT region, product_category, trunc(order_date, 'MM') AS month,
@@ -119,11 +121,13 @@ def numbered(df: DataFrame, name: str, after: Column | int = 0) -> DataFrame:
     """Adds ids that run without gaps from ``after + 1``, in the order of partitions.
 
     The rows are landed with their place in their partition, so that a retried task cannot
-    change it, and shifted by the rows of the partitions before. Rows are not shuffled, and
-    the window has one row per partition.
+    change it, and shifted by the rows of the partitions before. Rows are not shuffled. Window
+    and broadcast have one row per partition; beyond :data:`NUMBERED_PARTS`, partitions are put
+    together, so they are never larger than that.
     """
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    rows = land(df.withColumns({"_part": F.spark_partition_id(), "_place": place}), "numbered")
+    parts = df.coalesce(NUMBERED_PARTS)  # leaves fewer partitions as they are
+    rows = land(parts.withColumns({"_part": F.spark_partition_id(), "_place": place}), "numbered")
     sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     shifts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_shift"))
     start = F.lit(after) if isinstance(after, int) else after
@@ -352,50 +356,45 @@ def _row_rules(table: str, df: DataFrame) -> DataFrame:
     return _counted(df, {(table, rule): test for rule, test in tests.items()})
 
 
-def _sum_of(counts: DataFrame, table: str, rule: str, column: Column) -> DataFrame:
-    return counts.agg(F.coalesce(F.sum(column), F.lit(0)).alias("violations")).select(
-        F.lit(table).alias("table"), F.lit(rule).alias("rule"), "violations"
-    )
-
-
-def _duplicates(table: str, key: str, counts: DataFrame) -> DataFrame:
-    """Rows beyond the first of each key, from rows per key or finer."""
-    per_key = counts.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("n").alias("n"))
-    return _sum_of(per_key, table, f"unique {key}", F.col("n") - 1)
+def _key_rules(star: dict[str, DataFrame]) -> DataFrame:
+    """Rows beyond the first of each unique key, and rows that refer to a key that is not there.
 
-
-def _orphans(table: str, key: str, counts: DataFrame, target: str, keys: DataFrame) -> DataFrame:
-    """Rows whose key is missing in the table it refers to.
-
-    Rows are counted per key before the join, so a frequent key is one row there.
+    Every table gives its keys in one scan, each with the place that it is unique in. Those of all tables
+    are counted together, combined inside tasks, so a frequent key is one row per task and
+    no join is needed.
     """
-    per_key = counts.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("n").alias("n"))
-    missing = per_key.join(keys.select(key).distinct(), key, "left_anti")
-    return _sum_of(missing, table, f"references {target} {key}", F.col("n"))
+    unique = [(t, k) for t, keys in UNIQUE.items() for k in keys if k in star[t].columns]
+    held = unique + [(t, k) for t, k, _ in REFERENCES]
+    place = {(t, k): f"{t}.{k}" for t, k in unique} | {(t, k): f"{target}.{k}" for t, k, target in REFERENCES}
+    found = None
+    for table, df in star.items():
+        keys = [
+            F.struct(F.lit(place[t, k]).alias("place"), F.col(k).cast("string").alias("k")) for t, k in held if t == table
+        ]
+        rows = df.select(F.inline(F.array(*keys))).withColumn("holder", F.lit(table))
+        found = rows if found is None else found.unionByName(rows)
+    counts = found.where("k IS NOT NULL").groupBy("place", "k").agg(
+        *[F.count_if(F.col("holder") == t).alias(t) for t in star]
+    )
+    here = {own: F.col("place") == name for own, name in place.items()}
+    broken = {(t, f"unique {k}"): F.when(here[t, k] & (F.col(t) > 1), F.col(t) - 1) for t, k in unique}
+    broken |= {
+        (t, f"references {target} {k}"): F.when(here[t, k] & (F.col(target) == 0), F.col(t)) for t, k, target in REFERENCES
+    }
+    entries = [
+        F.struct(F.lit(t).alias("table"), F.lit(rule).alias("rule"), F.coalesce(F.sum(n), F.lit(0)).alias("violations"))
+        for (t, rule), n in broken.items()
+    ]
+    return counts.agg(F.array(*entries).alias("rules")).select(F.inline("rules"))
 
 
 def validate_constraints(star: dict[str, DataFrame]) -> DataFrame:
     """How many rows break each rule, as (table, rule, violations).
 
-    A table is read once for the rules about single rows, and once for its keys: rows are
-    counted per combination of them, and all rules about keys share these counts. An id that
-    a load generates is checked where the table has it; that of the sales, which
-    identifies each row, in a read of its own.
+    A table is read once for the rules about single rows, and once for its keys. An id that a load
+    generates is checked where the table has it.
     """
-    keys = {t: [k for k in columns if k in star[t].columns] for t, columns in UNIQUE.items()}
-    shared = {
-        t: [*(k for k in keys[t] if k != "sale_id"), *(k for table, k, _ in REFERENCES if table == t)]
-        for t in star
-    }
-    counts = {t: star[t].groupBy(*shared[t]).agg(F.count("*").alias("n")) for t in star}
-    results = [_row_rules(table, star[table]) for table in NOT_NULL]
-    for table, own in keys.items():
-        for key in own:
-            single = star[table].groupBy(key).agg(F.count("*").alias("n")) if key == "sale_id" else counts[table]
-            results.append(_duplicates(table, key, single))
-    results += [
-        _orphans(table, key, counts[table], target, counts[target]) for table, key, target in REFERENCES
-    ]
+    results = [*(_row_rules(table, star[table]) for table in NOT_NULL), _key_rules(star)]
     return reduce(DataFrame.unionByName, results)
 
 

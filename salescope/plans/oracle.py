@@ -559,6 +559,176 @@ WINDOW month AS (PARTITION BY YearMonth), best AS (PARTITION BY YearMonth ORDER
     named AS (PARTITION BY YearMonth ORDER BY v DESC, Product_Name)"""
 
 
+_SOME = f"YearMonth BETWEEN '1996-03' AND '1999-06' AND Product_Category IN ({_in(CATEGORIES)})"
+
+
+def _counted(where: str, by: str) -> list[str]:
+    """CTEs ending in ``distinct_estimates``, from the rows themselves."""
+    own = f"{by}, " if by else ""
+    return [
+        f"""hashed AS (SELECT {own}"column", md5(v) AS h FROM (
+            SELECT {own}unnest(['Customer_ID', 'Product_Name', 'Order_ID']) AS "column", unnest([Customer_ID, Product_Name, Order_ID]) AS v
+            FROM clean WHERE {where}))""",
+        f"""registers AS (SELECT {own}"column", substr(h, 1, 3) AS register,
+            max(CASE WHEN run = 0 THEN 53 ELSE 53 - length(bin(run)) END) AS zeros
+            FROM (SELECT *, CAST('0x' || substr(h, 4, 13) AS BIGINT) AS run FROM hashed) GROUP BY ALL)""",
+        f"""distinct_estimates AS (SELECT {own}"column",
+                CASE WHEN raw <= 10240 AND n < 4096 THEN 4096 * ln(4096.0::DOUBLE / (4096 - n)) ELSE raw END AS estimate
+            FROM (SELECT {own}"column", count(*) AS n,
+                    0.7213 / (1 + 1.079 / 4096) * 4096 * 4096 / (sum(pow(2.0::DOUBLE, -zeros)) + 4096 - count(*)) AS raw
+                FROM registers GROUP BY ALL))""",
+    ]
+
+
+def _bucketed(where: str, by: str, probs: str) -> list[str]:
+    """CTEs ending in ``quantile_estimates``, from the rows themselves."""
+    own = f"{by}, " if by else ""
+    return [
+        f"""amounts AS (SELECT {own}unnest(['Revenue', 'Profit']) AS "column", CAST(unnest([Revenue, Profit]) * 10000 AS BIGINT) AS a
+            FROM clean WHERE {where})""",
+        f"""bucketed AS (SELECT {own}"column", CASE WHEN a < 0 THEN -1 ELSE 1 END AS sign, greatest(length(bin(abs(a))) - 8, 0) AS k,
+                abs(a) >> greatest(length(bin(abs(a))) - 8, 0) AS top, count(*) AS n FROM amounts GROUP BY ALL)""",
+        f"""placed AS (SELECT *, sum(n) OVER (w ORDER BY sign * (128 * k + top)) AS upto, sum(n) OVER w AS total
+            FROM bucketed WINDOW w AS (PARTITION BY {own}"column"))""",
+        f"""quantile_estimates AS (SELECT {own}"column", prob,
+                sign * (top * pow(2.0::DOUBLE, k) + (pow(2.0::DOUBLE, k) - 1) / 2) / 10000 AS estimate
+            FROM placed, (SELECT unnest({probs}) AS prob)
+            WHERE upto - n < greatest(ceil(prob * total), 1) AND greatest(ceil(prob * total), 1) <= upto)""",
+    ]
+
+
+def _sketched() -> str:
+    parts = [*_CLEAN_PARTS, *_counted(_SOME, "Region"), *_bucketed(_SOME, "Region", "[0.1::DOUBLE, 0.5, 0.9, 0.99]")]
+    return with_(
+        parts,
+        'SELECT Region, "column", round(estimate, 6) AS estimate, CAST(NULL AS DOUBLE) AS prob FROM distinct_estimates '
+        'UNION ALL SELECT Region, "column", round(estimate, 6), prob FROM quantile_estimates',
+    )
+
+
+def _sketch_errors() -> str:
+    parts = [*_CLEAN_PARTS, *_counted("true", ""), *_bucketed("true", "", "[0.1::DOUBLE, 0.5, 0.9]")]
+    exact = " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", CAST(count(DISTINCT {c}) AS DOUBLE) AS exact FROM clean"
+        for c in ("Customer_ID", "Product_Name", "Order_ID")
+    )
+    cuts = " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", {p}::DOUBLE AS prob, quantile_cont({c}::DOUBLE, {p}) AS exact FROM clean"
+        for c in ("Revenue", "Profit")
+        for p in (0.1, 0.5, 0.9)
+    )
+    return with_(
+        parts,
+        f"""SELECT "column", round(estimate, 6) AS estimate, round(exact, 6) AS exact, CAST(NULL AS DOUBLE) AS prob, true AS within
+        FROM distinct_estimates JOIN ({exact}) USING ("column")
+        UNION ALL SELECT "column", round(estimate, 6), round(exact, 6), prob, true
+        FROM quantile_estimates JOIN ({cuts}) USING ("column", prob)""",
+    )
+
+
+_MONTHS = """months AS (
+    SELECT Region, Product_Category, YearMonth, any_value(Year) * 12 + any_value(Month) - 1 AS m, CAST(sum(Revenue) AS DOUBLE) AS v
+    FROM clean GROUP BY ALL)"""
+
+_ANOMALIES = """SELECT Region, Product_Category, YearMonth, v AS Revenue, round(t2, 6) + 0.0 AS trend, round(s2, 6) + 0.0 AS season, round(v - t2 - s2, 6) + 0.0 AS rest,
+    round(off / nullif(1.4826 * mad, 0), 6) + 0.0 AS score, coalesce(abs(off / nullif(1.4826 * mad, 0)) > 3.5, false) AS stands_out
+FROM (SELECT *, median(abs(off)) OVER (PARTITION BY Region, Product_Category) AS mad FROM (
+    SELECT *, v - t2 - s2 - median(v - t2 - s2) OVER (PARTITION BY Region, Product_Category) AS off FROM (
+        SELECT *, median(v - t2) OVER (PARTITION BY Region, Product_Category, m % 12) AS s2 FROM (
+            SELECT *, median(v - s1) OVER near AS t2 FROM (
+                SELECT *, median(v - t1) OVER (PARTITION BY Region, Product_Category, m % 12) AS s1 FROM (
+                    SELECT *, median(v) OVER near AS t1 FROM months
+                    WINDOW near AS (PARTITION BY Region, Product_Category ORDER BY m RANGE BETWEEN 6 PRECEDING AND 6 FOLLOWING)))
+            WINDOW near AS (PARTITION BY Region, Product_Category ORDER BY m RANGE BETWEEN 6 PRECEDING AND 6 FOLLOWING)))))"""
+
+
+def _smoothing(without: int) -> list[str]:
+    """CTEs ending in ``fitted``: the smoothing of all months but the last ones, as a recursion per month."""
+    return [
+        _MONTHS,
+        """dense AS MATERIALIZED (
+            SELECT Region, Product_Category, m - low AS i, coalesce(v, 0.0::DOUBLE) AS x, high - low + 1 AS n
+            FROM (SELECT Region, Product_Category, low, high, unnest(range(low, high + 1)) AS m
+                FROM (SELECT DISTINCT Region, Product_Category FROM months), (SELECT min(m) AS low, max(m) AS high FROM months))
+                LEFT JOIN months USING (Region, Product_Category, m))""",
+        """firsts AS (
+            SELECT Region, Product_Category, list(x ORDER BY i) AS f, sum(x ORDER BY i) / 12 AS level FROM dense WHERE i < 12 GROUP BY ALL)""",
+        f"""fold AS (
+            SELECT Region, Product_Category, a, b, c, nth, 0::BIGINT AS i, level, 0.0::DOUBLE AS trend,
+                list_transform(f, lambda x: x - level) AS season, 0.0::DOUBLE AS error
+            FROM firsts, (SELECT a, b, c, row_number() OVER (ORDER BY a, b, c) AS nth
+                FROM (SELECT unnest([0.1::DOUBLE, 0.3, 0.6]) AS a), (SELECT unnest([0.0::DOUBLE, 0.1]) AS b),
+                    (SELECT unnest([0.1::DOUBLE, 0.4]) AS c))
+            UNION ALL
+            SELECT Region, Product_Category, a, b, c, nth, i + 1, l, b * (l - level) + (1 - b) * trend,
+                list_append(season[2:], c * (x - l) + (1 - c) * season[1]),
+                error + CASE WHEN i < 12 THEN 0 ELSE pow(x - level - trend - season[1], 2) END
+            FROM (SELECT fold.*, x, a * (x - season[1]) + (1 - a) * (level + trend) AS l
+                FROM fold JOIN dense USING (Region, Product_Category, i) WHERE i < n - {without}))""",
+        f"""fitted AS (
+            SELECT * FROM fold WHERE i = (SELECT max(n) - {without} FROM dense)
+            QUALIFY row_number() OVER (PARTITION BY Region, Product_Category ORDER BY error, nth) = 1)""",
+    ]
+
+
+def _recursive(parts: list[str], select: str) -> str:
+    return with_(parts, select).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _seasonal_forecast() -> str:
+    return _recursive(
+        [*_CLEAN_PARTS, *_smoothing(0)],
+        """SELECT Region, Product_Category, CAST(h AS BIGINT) AS step,
+            strftime(make_date(CAST((last + h) // 12 AS INT), CAST((last + h) % 12 + 1 AS INT), 1), '%Y-%m') AS YearMonth,
+            round(level + h * trend + season[(h - 1) % 12 + 1], 2) AS forecast, a, b, c
+        FROM fitted, range(1, 13) AS r(h), (SELECT max(m) AS last FROM months)""",
+    )
+
+
+def _seasonal_holdout() -> str:
+    return _recursive(
+        [*_CLEAN_PARTS, *_smoothing(6)],
+        """SELECT model, count(*) AS n, round(sqrt(avg(off * off)), 2) AS rmse, round(avg(abs(off)), 2) AS mae FROM (
+            SELECT unnest(['smoothing', 'year_before']) AS model,
+                unnest([level + h * trend + season[(h - 1) % 12 + 1] - now.x, old.x - now.x]) AS off
+            FROM (SELECT f.*, h FROM fitted AS f, range(1, 7) AS r(h)) AS fitted
+                JOIN dense AS now ON now.Region = fitted.Region AND now.Product_Category = fitted.Product_Category AND now.i = now.n - 7 + h
+                JOIN dense AS old ON old.Region = fitted.Region AND old.Product_Category = fitted.Product_Category AND old.i = now.i - 12)
+        GROUP BY model""",
+    )
+
+
+def _density_binned(column: str) -> str:
+    return f"""SELECT * FROM (WITH curve AS (SELECT min({column})::DOUBLE AS lo, max({column})::DOUBLE AS hi,
+        stddev_samp({column}::DOUBLE) * pow(count({column}), -0.2) AS h FROM clean),
+    cells AS (SELECT floor(pos) AS k, count(*) AS n, sum(pos - floor(pos)) AS r
+        FROM (SELECT ({column}::DOUBLE - lo) * 16 / h AS pos FROM clean, curve) GROUP BY 1),
+    ends AS (SELECT k, sum(w) AS w FROM (SELECT k, n - r AS w FROM cells UNION ALL SELECT k + 1, r FROM cells) GROUP BY k)
+    SELECT CAST(i AS BIGINT) AS point, round(lo + i * (hi - lo) / 199, 4) AS x,
+        round(sum(w * exp(-0.5 * ((lo + i * (hi - lo) / 199 - lo - k * h / 16) / h) ** 2)) * ((hi - lo) / 50) / (h * sqrt(2 * pi())), 4) AS y
+    FROM ends, curve, range(200) AS r(i) GROUP BY i, lo, hi, h)"""
+
+
+_PLANTED = """mine AS (SELECT Order_ID, Product_Name, Region, Quantity, Revenue, l_suppkey, l_orderkey % 211 AS slot FROM lines),
+changed AS (
+    SELECT Order_ID, Product_Name, CASE WHEN slot <> 3 THEN Region END AS Region, Quantity,
+        CAST(Revenue + CASE WHEN slot = 2 THEN 0.01 ELSE 0 END AS DECIMAL(12,2)) AS Revenue, l_suppkey, slot
+    FROM mine WHERE slot <> 1),
+doubled AS (SELECT * EXCLUDE (slot) FROM changed UNION ALL SELECT * EXCLUDE (slot) FROM changed WHERE slot = 4),
+off AS (
+    SELECT * EXCLUDE (side), sum(side) AS copies
+    FROM (SELECT * EXCLUDE (slot), 1 AS side FROM mine UNION ALL SELECT *, -1 FROM doubled) GROUP BY ALL HAVING sum(side) <> 0)"""
+
+_STUMP = """steps AS (
+    SELECT YearMonth, Region, Product_Category, CAST(Revenue AS DOUBLE) AS y,
+        [Month, region_code, category_code, least(200, trunc(Previous_Revenue / 50000)), least(200, trunc(Previous_Sales / 40))]::DOUBLE[] AS x
+    FROM coded),
+sums AS (
+    SELECT f, x[f] AS v, sum(count(*)) OVER w AS n, sum(sum(y)) OVER w AS s, sum(count(*)) OVER (PARTITION BY f) AS total, sum(sum(y)) OVER (PARTITION BY f) AS whole
+    FROM steps, range(1, 6) AS r(f) GROUP BY f, x[f] WINDOW w AS (PARTITION BY f ORDER BY x[f])),
+best AS (SELECT *, s / n AS low, (whole - s) / (total - n) AS high FROM sums WHERE n < total ORDER BY s * s / n + (whole - s) * (whole - s) / (total - n) DESC, f LIMIT 1)"""
+
+
 def oracle() -> dict[str, str]:
     segment_keys = "YearMonth, Region, Product_Category"
     star = [_PRODUCT, _STAR]
@@ -890,6 +1060,32 @@ def oracle() -> dict[str, str]:
         "monthly_frames": _frames("Product_Name"),
         "monthly_frames_total": _frames(""),
         "monthly_ranks": _clean(_RANKS),
+        # differences and densities
+        "difference_loaded": with_(
+            [_LINES],
+            "SELECT Order_ID AS order_id, CAST(Order_Date AS VARCHAR) AS order_date, Customer_Name AS customer_name, Product_Name AS product_name, "
+            "Region AS region, CAST(Quantity AS BIGINT) AS quantity, CAST(Unit_Price AS DOUBLE) AS unit_price, CAST(Discount AS DOUBLE) AS discount, "
+            "CAST(Revenue AS DOUBLE) AS revenue, CAST(Profit AS DOUBLE) AS profit, 0::BIGINT AS copies, 'none' AS kind FROM lines WHERE l_orderkey IS NULL",
+        ),
+        "difference_planted": with_(
+            [_LINES, _PLANTED],
+            """SELECT Order_ID, Product_Name, Region, CAST(Quantity AS BIGINT) AS Quantity, CAST(Revenue AS DOUBLE) AS Revenue, l_suppkey,
+                CAST(copies AS BIGINT) AS copies,
+                CASE WHEN max(copies) OVER k > 0 AND min(copies) OVER k < 0 THEN 'changed' WHEN max(copies) OVER k > 0 THEN 'removed' ELSE 'added' END AS kind
+            FROM off WINDOW k AS (PARTITION BY Order_ID)""",
+        ),
+        "kde_revenue_binned": _clean(_density_binned("Revenue")),
+        "kde_profit_binned": _clean(_density_binned("Profit")),
+        "forest_stump": with_(
+            [*_CLEAN_PARTS, _SEGMENTS, _STUMP],
+            "SELECT YearMonth, Region, Product_Category, round(CASE WHEN x[f] <= v THEN low ELSE high END, 2) AS prediction FROM steps, best",
+        ),
+        # sketches and seasons
+        "sketched_figures": _sketched(),
+        "sketch_errors": _sketch_errors(),
+        "anomalies": with_([*_CLEAN_PARTS, _MONTHS], _ANOMALIES),
+        "seasonal_forecast": _seasonal_forecast(),
+        "seasonal_holdout": _seasonal_holdout(),
         "quantity_decay": with_(
             [*_CLEAN_PARTS, _SEGMENTS, _LAST_SEED],
             "SELECT i AS step, strftime(last + to_months(CAST(i AS INTEGER)), '%Y-%m') AS YearMonth, "

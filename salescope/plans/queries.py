@@ -14,7 +14,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salescope.functions import formats
-from salescope.operators import calendar, clean, cube, dashboard, filters, forecast, kpi, profile, temporal, warehouse
+from salescope.functions.quantiles import exact_quantiles
+from salescope.operators import (
+    calendar,
+    clean,
+    cube,
+    dashboard,
+    differences,
+    filters,
+    forecast,
+    kpi,
+    profile,
+    seasonal,
+    sketches,
+    temporal,
+    warehouse,
+)
 from salescope.operators.forecast import SalesForecaster
 from salescope.plans import histories, streams
 from salescope.plans.fixtures import read, sales_clean, sales_lines, sales_raw, star
@@ -275,6 +290,16 @@ def forest_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def forest_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tree with one split, on all rows and on lags in coarse steps, which leaves no choice to chance."""
+    coarse = {"Previous_Revenue": "least(200, floor(Previous_Revenue / 50000))", "Previous_Sales": "least(200, floor(Previous_Sales / 40))"}
+    monthly = _landed_lags(spark, sf_dir).withColumns({c: F.expr(e) for c, e in coarse.items()})
+    encoder = forecast.label_encoder(forecast.CODES).fit(monthly)
+    model = forecast.fit_forest(forecast.training_rows(monthly, encoder), trees=1, depth=1, bootstrap=False)
+    rows = model.transform(forecast._vectors(encoder.transform(monthly)))
+    return result(rows.select("YearMonth", "Region", "Product_Category", "prediction"), prediction=2)
+
+
 def _linear_metrics(model: SalesForecaster, spark: SparkSession) -> DataFrame:
     frame = model.metrics_frame(spark).select("linear_rmse", "linear_mae", "linear_r2")
     return result(frame, linear_rmse=2, linear_mae=2, linear_r2=6)
@@ -444,12 +469,79 @@ def overlapping_promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- cubes and calendars ---------------------------------------------------
 
 DIMENSIONS = ["Region", "Product_Category", "Sales_Channel", "YearMonth"]
+SEGMENT = ["Region", "Product_Category"]
 
 
 def _dated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.date_parts(sales_lines(spark, sf_dir))
 
 
+def loaded_against_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs between the lines as they come and as the loaded star gives them back: nothing."""
+    lines = sales_lines(spark, sf_dir)
+    tables = warehouse.load_all(lines, fresh_path(spark, "warehouse"))
+    sales = warehouse.sales_rows(lines)
+    facts = [c for c in sales.columns if c not in ("order_id", "product_name")]
+    names = {"order_id": "Order_ID", "order_date": "Order_Date", "customer_name": "Customer_Name", "product_name": "Product_Name", "region": "Region"}
+    flat = lines.select(
+        *[F.col(source).alias(c) for c, source in names.items()],
+        *[F.col(warehouse.SOURCES[c]).cast(warehouse.SALES_TYPES[c]).alias(c) for c in facts],
+    )
+    own = warehouse.sales_summary_view(tables).select(flat.columns)
+    return result(differences.differences(flat, own, ["order_id"]))
+
+
+def planted_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines against themselves with some of them changed, left out or twice there."""
+    lines = sales_lines(spark, sf_dir).select("Order_ID", "Product_Name", "Region", "Quantity", "Revenue", "_seq.l_suppkey")
+    number = F.expr("CAST(substring(Order_ID, 5) AS BIGINT)")
+    other = lines.where(number % 211 != 1).withColumns(
+        {
+            "Revenue": F.when(number % 211 == 2, F.col("Revenue") + F.lit(0.01).cast("decimal(3,2)")).otherwise(F.col("Revenue")).cast("decimal(12,2)"),
+            "Region": F.when(number % 211 != 3, F.col("Region")),
+        }
+    )
+    doubled = other.unionByName(other.where(number % 211 == 4))
+    return result(differences.differences(lines, doubled, ["Order_ID"]))
+
+
+_SKETCHED = ["YearMonth", "Region", "Product_Category"]
+_COUNTED, _AMOUNTS = ["Customer_ID", "Product_Name", "Order_ID"], ["Revenue", "Profit"]
+
+
+def _stored_sketches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sketches of distinct values and of amounts per month and segment, stored once."""
+    df = sales_clean(spark, sf_dir)
+    counts = publish(spark, "distinct_sketches", sf_dir, lambda: sketches.distinct_sketch(df, _SKETCHED, _COUNTED))
+    amounts = publish(spark, "quantile_sketches", sf_dir, lambda: sketches.quantile_sketch(df, _SKETCHED, _AMOUNTS))
+    return counts, amounts
+
+
+def sketched_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates per region for some months and categories, from the stored sketches alone."""
+    counts, amounts = (
+        s.where(F.col("YearMonth").between("1996-03", "1999-06") & F.col("Product_Category").isin(CATEGORIES))
+        for s in _stored_sketches(spark, sf_dir)
+    )
+    distinct = sketches.estimate_distinct(counts, ["Region"]).withColumn("prob", F.lit(None).cast("double"))
+    quantiles = sketches.estimate_quantiles(amounts, [0.1, 0.5, 0.9, 0.99], ["Region"])
+    return result(distinct.unionByName(quantiles), estimate=6)
+
+
+def sketch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates for the whole table beside the exact figures, and whether they are near enough."""
+    counts, amounts = _stored_sketches(spark, sf_dir)
+    df, probs = sales_clean(spark, sf_dir), [0.1, 0.5, 0.9]
+    exact = df.agg(*[F.count_distinct(c).cast("double").alias(c) for c in _COUNTED]).unpivot([], _COUNTED, "column", "exact")
+    distinct = sketches.estimate_distinct(counts).join(F.broadcast(exact), "column")
+    distinct = distinct.withColumns({"prob": F.lit(None).cast("double"), "_allowed": F.lit(0.065)})
+    cuts = exact_quantiles(df, _AMOUNTS, probs).withColumnRenamed("value", "exact")
+    quantiles = sketches.estimate_quantiles(amounts, probs).join(F.broadcast(cuts), ["column", "prob"])
+    both = distinct.unionByName(quantiles.withColumn("_allowed", F.lit(0.01)))  # exact ones lie between two values
+    within = F.abs(F.col("estimate") - F.col("exact")) <= F.col("_allowed") * F.abs("exact")
+    return result(both.withColumn("within", within).drop("_allowed"), estimate=6, exact=6)
+
+
 def streamed_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result(warehouse.sales_summary_view(streams.streamed_star(spark, sf_dir)))
 
@@ -636,6 +728,18 @@ def registry() -> dict[str, Query]:
         "monthly_ranks": _on_clean(
             lambda df: calendar.monthly_ranks(df, "Product_Name"), percent_rank=8, share_pct=6, running_share_pct=6
         ),
+        # differences and densities
+        "difference_loaded": loaded_against_flat,
+        "difference_planted": planted_differences,
+        "kde_revenue_binned": _on_clean(lambda df: profile.density_binned(df, "Revenue"), x=4, y=4),
+        "kde_profit_binned": _on_clean(lambda df: profile.density_binned(df, "Profit"), x=4, y=4),
+        "forest_stump": forest_stump,
+        # sketches and seasons
+        "sketched_figures": sketched_figures,
+        "sketch_errors": sketch_errors,
+        "anomalies": _on_clean(lambda df: seasonal.anomalies(df, SEGMENT), trend=6, season=6, rest=6, score=6),
+        "seasonal_forecast": _on_clean(lambda df: seasonal.seasonal_forecast(df, SEGMENT), forecast=2),
+        "seasonal_holdout": _on_clean(lambda df: seasonal.holdout_rating(df, SEGMENT), rmse=2, mae=2),
         # forecasting
         "segment_monthly": _on_clean(forecast.segment_monthly),
         "lag_features": _on_clean(_lags),

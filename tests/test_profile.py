@@ -151,3 +151,27 @@ def test_close_values_are_spread_over_windows(spark):
     edges = spark.sql("SELECT 'x' AS name, 0L AS bucket, 1000D AS low, 1000.5D AS high")
     largest = quantiles._split(close, edges).groupBy("bucket").count().agg({"count": "max"}).first()[0]
     assert largest < 20
+
+
+def test_binned_density_is_within_its_bound(spark, sf_dir):
+    from salescope.plans.fixtures import sales_clean
+
+    df = sales_clean(spark, sf_dir)
+    for column in ("Revenue", "Profit"):
+        exact = {r.point: r.y for r in profile.density(df, column).collect()}
+        count = df.where(f"{column} IS NOT NULL").count()
+        stats = df.selectExpr(f"(max({column}) - min({column})) / 50 AS w", f"stddev_samp(CAST({column} AS DOUBLE)) AS s").first()
+        height = count * float(stats.w) / (stats.s * count**-0.2 * (2 * 3.141592653589793) ** 0.5)
+        for cells in (4, 16):
+            rows = profile.density_binned(df, column, per_bandwidth=cells).collect()
+            assert len(rows) == 200
+            assert max(abs(r.y - exact[r.point]) for r in rows) <= height / (8 * cells**2)
+
+
+def test_binned_density_of_few_values(spark):
+    df = spark.createDataFrame([(1.0,), (None,), (1.0,)], "v double")
+    assert profile.density_binned(df, "v").count() == 0
+    two = spark.createDataFrame([(1.0,), (3.0,)], "v double")
+    rows = {r.point: r.y for r in profile.density_binned(two, "v", per_bandwidth=64).collect()}
+    assert rows == pytest.approx({r.point: r.y for r in profile.density(two, "v").collect()}, rel=1e-3)
+    assert profile.density_binned(df.limit(0), "v").count() == 0

@@ -190,3 +190,9 @@ def test_sql_text_leaves_views_of_the_session_alone(spark, lines, tmp_path):
     finally:
         for name in ("sales", warehouse.SUMMARY_VIEW):
             spark.catalog.dropTempView(name)
+
+
+def test_ids_run_on_over_merged_partitions(spark, monkeypatch):
+    monkeypatch.setattr(warehouse, "NUMBERED_PARTS", 3)
+    rows = warehouse.numbered(spark.range(100).repartition(9), "id2", 5).collect()
+    assert sorted(r.id2 for r in rows) == list(range(6, 106)) and sorted(r.id for r in rows) == list(range(100))
