@@ -40,10 +40,12 @@ HEADER = np.dtype(
 #: A shard is closed by the document that reaches so many ids, or is the last of so many.
 SHARD_IDS, SHARD_DOCS = 4_000_000, 1 << 16
 END_ID = 0
+#: The key of rows without a doc_id, the least of 64 bits, so that they come first.
+NO_KEY = -(1 << 63)
 #: Documents in a bucket of the index, on average.
 BUCKET_KEYS = 4
-#: Distinct text parts that a worker remembers, and those it encodes in one go.
-REMEMBERED, TOGETHER = 1_000_000, 1 << 14
+#: Bytes of text parts and their ids that a worker remembers, and parts that it encodes in one go.
+REMEMBERED_BYTES, TOGETHER = 16 << 20, 1 << 12
 
 _CASED = np.random.Generator(np.random.PCG64(77_003)).integers(1, 1 << 63, 256, dtype=np.uint64)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -64,7 +66,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(config)
+        # Read and left before the tokenizer is made, as it takes several times the file's size.
         model = json.loads(config)
         split = model.get("pre_tokenizer") or {}
         self.by_parts = (
@@ -75,62 +77,66 @@ class Encoder:
             and not split.get("add_prefix_space")
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in model["added_tokens"])
         )
-        self.starts_word = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        for token, number in self.tokenizer.get_vocab().items():
-            self.starts_word[number] = token.startswith("Ġ")
+        del model
+        self.tokenizer = Tokenizer.from_str(config)
+        vocabulary = self.tokenizer.get_vocab()
+        self.starts_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.starts_word[[number for token, number in vocabulary.items() if token.startswith("Ġ")]] = True
         self.width = 2 if len(self.starts_word) <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.keys = np.empty(0, np.uint64)
-        self.offsets = np.zeros(1, np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        """Leaves the tables of parts: fingerprints in order, where each one's ids begin, how many it has."""
+        self.keys, self.begin, self.size = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32)
         self.ids = np.empty(0, self.kind)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind) for e in found]
 
-    def _parts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-        """Ids of some parts. Those of one leading space go together as one text."""
+    def _parts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of some parts, one after the other in an order of its own: the order, the sizes, the ids.
+
+        Those of one leading space go together as one text.
+        """
         size = ends - starts
-        spaces = np.concatenate(([0], np.cumsum(data == 0x20)))
+        spaces = np.concatenate(([0], np.cumsum(data == 0x20, dtype=np.int32)))
         plain = (data[starts] == 0x20) & (spaces[ends] - spaces[starts] == 1)
-        out: list = [None] * len(starts)
+        order, sizes, ids = [], [], []
         # The library keeps far more than ids per token, so few parts go in at a time.
         every = np.flatnonzero(plain)
         for low in range(0, len(every), TOGETHER):
-            chosen = every[low : low + TOGETHER]
-            length = size[chosen]
-            at = np.repeat(starts[chosen] - np.cumsum(length) + length, length) + np.arange(length.sum())
-            ids = self._whole([data[at].tobytes().decode()])[0]
-            edges = np.flatnonzero(self.starts_word[ids])
-            for k, own in zip(chosen.tolist(), np.split(ids, edges[1:]), strict=True):
-                out[k] = own
+            order.append(every[low : low + TOGETHER])
+            length = size[order[-1]]
+            at = np.repeat(starts[order[-1]] - np.cumsum(length) + length, length) + np.arange(length.sum())
+            ids.append(self._whole([data[at].tobytes().decode()])[0])
+            sizes.append(np.diff(np.append(np.flatnonzero(self.starts_word[ids[-1]]), len(ids[-1]))))
         every = np.flatnonzero(~plain)
         for low in range(0, len(every), TOGETHER):
-            other = every[low : low + TOGETHER].tolist()
-            for k, own in zip(other, self._whole([data[starts[k] : ends[k]].tobytes().decode() for k in other]), strict=True):
-                out[k] = own
-        return out
+            order.append(every[low : low + TOGETHER])
+            found = self._whole([data[starts[k] : ends[k]].tobytes().decode() for k in order[-1].tolist()])
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids += found
+        return np.concatenate(order), np.concatenate(sizes), np.concatenate(ids)
 
     def _remember(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        if len(self.keys) + len(keys) > REMEMBERED:
-            self.keys, self.offsets, self.ids = np.empty(0, np.uint64), np.zeros(1, np.int64), np.empty(0, self.kind)
+        if self.keys.nbytes + self.begin.nbytes + self.size.nbytes + self.ids.nbytes > REMEMBERED_BYTES:
+            self.forget()
         place = np.searchsorted(self.keys, keys)
         new = np.ones(len(keys), bool)
         inside = place < len(self.keys)
         new[inside] = self.keys[place[inside]] != keys[inside]
         if not new.any():
             return
-        parts = self._parts(data, starts[new], ends[new])
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        own = np.concatenate((self.offsets[:-1], len(self.ids) + np.cumsum(size) - size))
-        long = np.concatenate((np.diff(self.offsets), size))
-        keys = np.concatenate((self.keys, keys[new]))
-        ids = np.concatenate((self.ids, *parts))
-        order = np.argsort(keys, kind="stable")
-        own, long = own[order], long[order]
-        self.offsets = np.concatenate(([0], np.cumsum(long)))
-        self.ids = ids[np.repeat(own - self.offsets[:-1], long) + np.arange(self.offsets[-1])]
-        self.keys = keys[order]
+        order, size, ids = self._parts(data, starts[new], ends[new])
+        begin = (len(self.ids) + np.cumsum(size) - size).astype(np.int32)
+        back = np.argsort(order)
+        place = place[new]
+        self.keys = np.insert(self.keys, place, keys[new])
+        self.begin = np.insert(self.begin, place, begin[back])
+        self.size = np.insert(self.size, place, size[back].astype(np.int32))
+        self.ids = np.concatenate((self.ids, ids))
 
     def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the parts of some texts start, and their fingerprints."""
@@ -154,17 +160,14 @@ class Encoder:
             return np.concatenate([np.empty(0, self.kind), *whole]), np.array([len(x) for x in whole], np.int64)
         if len(data) == 0:
             return np.empty(0, self.kind), np.zeros(len(offsets) - 1, np.int64)
-        found = [self._cut(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in pieces(offsets)]
-        base = [offsets[a] for a, _ in pieces(offsets)]
-        starts = np.concatenate([own + start for (own, _), start in zip(found, base, strict=True)])
-        ends = np.concatenate((starts[1:], [len(data)]))
-        prints = np.concatenate([own for _, own in found])
+        starts, prints = self._cut(data, offsets)
+        ends = np.append(starts[1:], len(data))
         keys, at, place = np.unique(prints, return_index=True, return_inverse=True)
         self._remember(data, keys, starts[at], ends[at])
         known = np.searchsorted(self.keys, keys)[place]
-        size = self.offsets[known + 1] - self.offsets[known]
-        upto = np.concatenate(([0], np.cumsum(size)))
-        ids = self.ids[np.repeat(self.offsets[known] - upto[:-1], size) + np.arange(upto[-1])]
+        size = self.size[known]
+        upto = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        ids = self.ids[np.repeat(self.begin[known] - upto[:-1], size) + np.arange(upto[-1])]
         return ids, np.diff(upto[np.searchsorted(starts, offsets)])
 
 
@@ -288,20 +291,23 @@ def _shards(shared, end_id: int, shard_ids: int):
             ids.clear()
             return pa.record_batch([pa.array([content], pa.binary())], names=["content"])
 
-        for batch in batches:
-            data, offsets = text_buffers(batch.column("text"))
-            numbers = batch.column("doc_id").to_pylist()
-            for low, high in pieces(offsets, 4 << 20):
-                found, size = encoder.encode(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-                upto = np.concatenate(([0], np.cumsum(size)))
-                for k in range(high - low):
-                    keys.append(numbers[low + k])
-                    ids.append(np.concatenate((found[upto[k] : upto[k + 1]], end)))
-                    held += len(ids[-1])
-                    if held >= shard_ids or len(keys) >= SHARD_DOCS:
-                        yield close()
-        if keys:
-            yield close()
+        try:
+            for batch in batches:
+                data, offsets = text_buffers(batch.column("text"))
+                numbers = batch.column("doc_id").to_pylist()
+                for low, high in pieces(offsets):
+                    found, size = encoder.encode(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                    upto = np.concatenate(([0], np.cumsum(size)))
+                    for k in range(high - low):
+                        keys.append(numbers[low + k])
+                        ids.append(np.concatenate((found[upto[k] : upto[k + 1]], end)))
+                        held += len(ids[-1])
+                        if held >= shard_ids or len(keys) >= SHARD_DOCS:
+                            yield close()
+            if keys:
+                yield close()
+        finally:  # the worker lives on and reads other stages' rows
+            encoder.forget()
 
     return write
 
@@ -313,13 +319,14 @@ def write_shards(
 
     NULL text is empty and has the end id alone. Rows that share a doc_id are ordered by
     a hash of their text and numbered in the index. A document longer than a shard
-    is a shard of its own; ids never leave out a part of a text. NULL doc_id is an
-    error, as it is no key. An empty table writes no shard. Other columns are ignored.
+    is a shard of its own; ids never leave out a part of a text. Rows with a NULL doc_id come
+    first, under the key ``NO_KEY``, which no document may have as its id; they are read as NULL
+    again. An empty table writes no shard. Other columns are ignored.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
     rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.raise_error(F.lit("doc_id is NULL")).cast("long")).alias("doc_id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_KEY)).alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
     ).withColumn("_tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").drop("_tie")
@@ -346,7 +353,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     pa.array(np.full(count, shard.partition, np.int64)),
                     pa.array(np.full(count, shard.shard, np.int64)),
-                    pa.array(shard.keys),
+                    pa.array(shard.keys, mask=shard.keys == NO_KEY),
                     pa.array(bounds[:-1]),
                     pa.array(np.diff(bounds)),
                     pa.array(np.array(sums, np.int64)),

@@ -1,5 +1,8 @@
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -82,6 +85,33 @@ def test_repeated_keys_missing_keys_and_empty_table(spark, documents, tmp_path):
     tokens.write_shards(documents(rows), str(tmp_path / "a"), tokens.public_tokenizer())
     got = tokens.read_shards(spark, str(tmp_path / "a")).orderBy("start").collect()
     assert [r.doc_id for r in got] == [1, 5, 5, 5] and [r.start for r in got] == [0, 2, 4, 6]
-    with pytest.raises(Exception, match="doc_id is NULL"):
-        tokens.write_shards(documents([(None, "a")]), str(tmp_path / "b"), tokens.public_tokenizer())
     assert tokens.token_ids(documents([]), tokens.public_tokenizer()).count() == 0
+
+
+def test_rows_without_an_id_come_first(spark, documents, tokenizer):
+    rows = [(5, "b"), (None, "x y"), (-9, None), (None, "x y"), (None, None)]
+    got = tokens.token_ids(documents(rows), tokens.public_tokenizer()).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, None, -9, 5]
+    assert sorted(r.n_tokens for r in got[:3]) == [1, *[len(tokenizer.encode("x y", add_special_tokens=False).ids) + 1] * 2]
+
+
+def test_a_worker_stays_small():
+    """Memory that a new process needs beyond its texts, for many distinct words."""
+    code = """
+import random, resource
+import numpy as np
+from salescope.llm import tokens
+
+with open(tokens.public_tokenizer(), encoding="utf-8") as file:
+    encoder = tokens.Encoder(file.read())
+chosen = random.Random(1)
+for _ in range(12):
+    texts = [" ".join("".join(chosen.choice("abcdeinorstu") for _ in range(7)) for _ in range(2000)).encode() for _ in range(60)]
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    encoder.encode(np.frombuffer(b"".join(texts), np.uint8), offsets)
+held = encoder.keys.nbytes + encoder.begin.nbytes + encoder.size.nbytes + encoder.ids.nbytes
+print(held, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    held, peak_kb = map(int, done.stdout.split())
+    assert held < 2 * tokens.REMEMBERED_BYTES and peak_kb < 300_000
