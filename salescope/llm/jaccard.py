@@ -495,11 +495,17 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     )
     clusters = components(land(ties, "jaccard_candidates"))
 
+    # A set's text is found by id and text, as rows may share an id or have none.
+    named = "CASE WHEN doc_id IS NOT NULL THEN struct(doc_id, text_hash) END"
     nodes = own.where("n > 0").groupBy("sig").agg(
-        F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.max("n").alias("n")
-    )
+        F.count("*").alias("copies"),
+        F.expr(f"coalesce(min({named}), min(struct(doc_id, text_hash)))").alias("r"),
+        F.max("n").alias("n"),
+    ).selectExpr("sig", "copies", "r.doc_id AS least", "r.text_hash AS text", "n")
     placed = land(
-        clusters.join(nodes, clusters["node"] == nodes["sig"]).select("sig", "copies", "least", "n", F.col("root").alias("cluster")),
+        clusters.join(nodes, clusters["node"] == nodes["sig"]).select(
+            "sig", "copies", "least", F.col("text").alias("least_text"), "n", F.col("root").alias("cluster")
+        ),
         "jaccard_clusters",
     )
     # Blocks of a cluster are dealt by signature; each pair of blocks is a task's group.
@@ -508,14 +514,14 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     )
     members = (
         placed.join(split, F.expr("cluster = _cluster"))
-        .selectExpr("sig", "copies", "least", "cluster", "blocks", "pmod(hash(sig), blocks) AS block")
+        .selectExpr("sig", "copies", "least", "least_text", "cluster", "blocks", "pmod(hash(sig), blocks) AS block")
         .selectExpr("*", "explode(sequence(0, blocks - 1)) AS _other")
         .selectExpr(
-            "least", "copies", "cluster", "block", "least(block, _other) AS low", "greatest(block, _other) AS high"
+            "least", "least_text", "copies", "cluster", "block", "least(block, _other) AS low", "greatest(block, _other) AS high"
         )
     )
     # The members grow with the corpus: no broadcast, however small they are.
-    sets = texts.select("doc_id", "text").join(members.hint("merge"), F.expr("doc_id <=> least"))
+    sets = texts.join(members.hint("merge"), F.expr("doc_id <=> least AND text_hash = least_text"))
     grouped = (
         sets.select("cluster", "low", "high", "block", "copies", "text")
         .repartition("cluster", "low", "high")

@@ -100,3 +100,14 @@ def test_components_of_paths_and_stars(spark):
         members[0] |= {a, b} if a != b else set()
     df = spark.createDataFrame([*edges, (5, 5)], "a long, b long")
     assert {r.node: r.root for r in components.components(df).collect()} == {n: group[n] for n in members[0]}
+
+
+def test_rows_without_an_id_or_with_the_same_one(documents, prose):
+    one, two = prose(100, 1), prose(100, 2)
+    texts = [one, edited(one, 0.01, 1), one, two, edited(two, 0.01, 2)]
+    expected = sorted(n for _, _, n in brute(texts))
+    assert expected == [1, 1, 2, 2, 2]
+    for ids in ([None] * 5, [4] * 5, [7, None, 7, None, 7]):
+        rows = jaccard.similar_documents(documents(list(zip(ids, texts, strict=True)))).collect()
+        assert sorted(r.n_links for r in rows) == expected, ids
+    assert {r.component_id for r in rows} == {7}
