@@ -2,14 +2,16 @@
 
 Sources share a budget of words by weight; no source gets more than twice its size.
 A source first gives all its documents as often as whole epochs fit. The rest is filled
-with a sample: each document has the key ``u ** (1 / quality)`` with u from its id, keys
-are taken from the highest down (exponential keys scaled by quality, sorted), and prefix
+with a sample: each document has the key ``-ln(u) / quality`` with u from its id, keys
+are taken from the lowest up (exponential keys scaled by quality, sorted), and prefix
 sums of words tell where the budget ends.
 
-A source may hold any share of the rows, so no window runs over a source. Keys are
-counted in 1,024 equal buckets, prefix sums over those find the bucket that the
+A source may hold any share of the rows, so no window runs over a source. Keys are mapped to
+the unit interval by x / (1 + x), which spreads them whatever the quality, and
+counted in 1,024 equal buckets. Prefix sums over those find the bucket that the
 budget ends in, and that bucket alone is split again. What is left for a window
-is the rows of one bucket in about a million. The result of the search is one
+is the rows of one bucket in about a million; where all rows have the least quality, the
+later half of them still has 60,000 buckets. The result of the search is one
 cut per source, a small table; each document compares its own key with it.
 """
 
@@ -33,7 +35,7 @@ BUCKETS = 1024
 def sized(docs: DataFrame) -> DataFrame:
     """Each row as struct ``_row`` with its doc_id, source, words and place in the draw.
 
-    ``place`` is one less the sampling key, so lower places are taken first. Quality is
+    ``place`` is the sampling key; lower ones are taken first. Quality is
     the share of a text's characters that are no symbols, digits or capitals, at least
     0.05; an empty text has the least. The random part hashes the id alone, so
     reruns and other partitionings draw alike.
@@ -48,7 +50,7 @@ def sized(docs: DataFrame) -> DataFrame:
         f" / greatest(char_length({text}), 1)) AS quality",
         f"(shiftrightunsigned(xxhash64(doc_id, {SEED}L), 11) + 0.5D) / 9007199254740992D AS _u",
     )
-    return rows.selectExpr("* EXCEPT (_u)", "1 - pow(_u, 1 / quality) AS place")
+    return rows.selectExpr("* EXCEPT (_u)", "-ln(_u) / quality AS place")
 
 
 def targets(rows: DataFrame) -> DataFrame:
@@ -118,9 +120,9 @@ def cuts(rows: DataFrame, goals: DataFrame) -> DataFrame:
     ).selectExpr("*", "target - epochs * source_size AS rest")
     need = goals.where("rest > 0").select("source", "rest")
     slim = rows.where("size > 0").select("source", "doc_id", "size", "place")
-    inside, need = _cut_bucket(slim, need, f"CAST(floor(place * {BUCKETS}) AS INT)")
+    inside, need = _cut_bucket(slim, need, f"CAST(floor(place / (1 + place) * {BUCKETS}) AS INT)")
     inside, need = _cut_bucket(
-        inside, need, f"CAST(floor(place * {BUCKETS * BUCKETS}) AS BIGINT)"
+        inside, need, f"CAST(floor(place / (1 + place) * {BUCKETS * BUCKETS}) AS BIGINT)"
     )
     ends = (
         inside.groupBy("source", "place", "doc_id")

@@ -78,3 +78,23 @@ def test_empty_table_and_texts_without_words(documents):
     assert mixing.mix(documents([])).count() == 0
     assert [r.taken for r in mixing.mix(documents([None, ""])).collect()] == [0, 0]
     assert mixing.mixed(documents([])).count() == 0
+
+
+def test_draw_equals_sorting_all_keys(documents, prose):
+    poor = [(i, prose(3 + i % 50, i).upper() + " 1234567890" * 9, "en", ("a", "b", "c")[i % 3]) for i in range(900)]
+    rows = [*poor, *((2000 + i, prose(20, i), "en", ("a", "c")[i % 2]) for i in range(300))]
+    docs = documents(rows)
+    places = {r.doc_id: (r.place, r.quality) for r in mixing.sized(docs).collect()}
+    assert sum(q <= 0.2 for _, q in places.values()) > 800 and len({p for p, _ in places.values()}) == len(rows)
+    got = mixing.mix(docs).selectExpr("_row.doc_id AS d", "_row.source AS s", "size", "source_size", "target", "copies").collect()
+    drawn = 0
+    for source in "abc":
+        own = sorted((places[r.d][0], r.d, r) for r in got if r.s == source)
+        rest, total = own[0][2].target % own[0][2].source_size, 0
+        for place, doc, r in own:
+            more = r.copies - int(r.target // r.source_size)
+            nearer = total + r.size <= rest or total + r.size - rest < rest - total
+            assert more == int(total < rest and nearer), (source, place, doc)
+            total += r.size
+            drawn += more
+    assert 100 < drawn < 1100
