@@ -89,7 +89,9 @@ def format_chats(
     ``turns`` has conv_id, turn, role and text; other columns are ignored. NULL text or
     role counts as empty; NULL conv_id is a conversation of its own, and NULL turns come
     first. Turns with equal numbers are ordered by role, then text; repeated rows stay
-    repeated. A turn longer than a window is a window of its own. The system turn is the
+    repeated. ``tokens`` is a stride: a window has the turns that begin in it, so its last turn
+    may reach beyond by all but one of its own tokens, and the system turn and history come
+    on top; turns are never cut. The system turn is the
     first turn if its role is ``system``. ``history`` may not exceed ``tokens``, as it
     comes from the span before. An empty table gives no rows.
     """

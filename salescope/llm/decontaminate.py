@@ -5,8 +5,8 @@ window the one with the least hash is its fingerprint. Equal windows have equal
 fingerprints, so every shared span of ten words or more is found; and as neighbouring
 windows mostly share theirs, few are looked up. Where a fingerprint of a document
 is one of the benchmark, the hit is extended: its windows are compared as a whole and
-all their words marked. Items of fewer than ten words are one window each and are
-looked up by their own length.
+all their words marked. Items of fewer than ten words are one window each, which is its own fingerprint,
+and are looked up by their own length.
 
 The benchmark's windows are counted first. Up to ``broadcast_windows`` they go to every
 task as sorted arrays, and a document is settled where it is read. A larger benchmark
@@ -28,8 +28,9 @@ from salescope.llm.workers import map_batches
 
 WINDOW = 10
 GRAM = 4
-#: Benchmarks of more windows are joined by fingerprint; this many take up to 30 MB.
-BROADCAST_WINDOWS = 1_000_000
+#: Benchmarks of more windows are joined by fingerprint. This many take about 16 MB as arrays,
+#: and 300 MB of the driver's Python while these are made.
+BROADCAST_WINDOWS = 250_000
 
 ITEM_WINDOWS = "item_id string, length int, window long, fingerprint long"
 DOC_WINDOWS = "doc_id long, text_hash long, n_words long, start int, length int, fingerprint long, windows array<long>"
@@ -57,7 +58,7 @@ def _signed(value: np.ndarray) -> np.ndarray:
 
 
 def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All windows of the benchmark with their fingerprints (0 for short items)."""
+    """All windows of the benchmark with their fingerprints."""
     for batch in batches:
         data, offsets = text_buffers(batch.column("text"))
         words, first = hashed_words(data, offsets, BY_LETTERS)
@@ -68,7 +69,7 @@ def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             size = min(len(own), WINDOW)
             windows = _signed(gram_hash(own, size))
-            least = _signed(_least(gram_hash(own, GRAM))) if size == WINDOW else np.zeros(1, np.int64)
+            least = _signed(_least(gram_hash(own, GRAM))) if size == WINDOW else windows
             out["item_id"] += [item] * len(windows)
             out["length"] += [size] * len(windows)
             out["window"] += windows.tolist()
@@ -205,7 +206,7 @@ def doc_windows(lengths: list[int]):
                         least = _least(gram_hash(own, GRAM)) if length == WINDOW else grams
                         edges = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1], [True])))
                         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                            key = int(least[a : a + 1].view(np.int64)[0]) if length == WINDOW else 0
+                            key = int(least[a : a + 1].view(np.int64)[0])
                             run = _signed(grams[a:b]).tolist()
                             rows.append((ids[low + k], prints[low + k], len(own), a, length, key, run))
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 7

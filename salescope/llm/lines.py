@@ -1,6 +1,7 @@
-"""Removal of repeated runs of lines, cut where their content says so.
+"""Removal of repeated runs of lines, by chunks of two neighbouring lines with words.
 
-A chunk goes from one line with words to the next, so chunks overlap by a line and each
+Chunks that a rolling hash bounds miss most short runs, as two boundaries have to fall inside. So every
+line with words is a boundary here: a chunk goes from one to the next, chunks overlap by a line, and each
 run of lines is a chain of them. A run occurs earlier only if all its chunks do: each
 repeated run of two or more lines with words, however short and wherever it starts, is found
 whole. Chunks depend on their own lines alone: a line put in or left out shifts no other.
