@@ -4,8 +4,8 @@ The folder is the one the cluster names in ``spark.checkpoint.dir``. Written
 Parquet survives the loss of executors, unlike a cached or locally checkpointed
 frame, and later queries prune its columns and partitions.
 
-Landed tables belong to the application. They are deleted when it ends in good order, or
-earlier by :func:`release`, alone or all of those landed inside a ``with landing(spark)``.
+Landed tables and other folders made here belong to the application. They are deleted when it ends in
+good order, or earlier by :func:`release`, alone or all of those made inside a ``with landing(spark)``.
 """
 
 from __future__ import annotations
@@ -42,13 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that nothing has written yet."""
+    """A path under the shared folder that nothing has written yet; it is the application's to delete."""
     app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/salescope/{app}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/salescope/{app}/{name}-{uuid.uuid4().hex[:12]}"
+    _landed.setdefault(app, []).append(path)
+    return path
 
 
 def release(spark: SparkSession, *paths: str) -> None:
-    """Deletes landed tables: those at ``paths``, or all of the application.
+    """Deletes landed tables and other folders: those at ``paths``, or all of the application.
 
     Frames that still read them fail from then on.
     """
@@ -95,7 +97,6 @@ def land(df: DataFrame, name: str, partition_by: str | None = None, path: str |
     spark = df.sparkSession
     if path is None:
         path = fresh_path(spark, name)
-        _landed.setdefault(spark.sparkContext.applicationId, []).append(path)
     if partition_by is None:
         df.write.parquet(path)
     else:
