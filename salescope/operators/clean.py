@@ -84,8 +84,8 @@ def _filled(df: DataFrame, name: str, value: Column) -> Column:
     return F.coalesce(F.col(name).cast(kind), value.cast(kind))
 
 
-def impute_median(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Missing numbers become the median of their column.
+def impute_median(df: DataFrame, columns: list[str] | None = None, of: DataFrame | None = None) -> DataFrame:
+    """Missing numbers become the median of their column, in ``df`` or in the table ``of``.
 
     The medians are one row, computed by the scalable exact quantiles and read
     back as a scalar subquery. Whole-number columns become DOUBLE, as a median may
@@ -94,7 +94,7 @@ def impute_median(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = _columns_of(df, T.NumericType) if columns is None else columns
     if not columns:
         return df
-    row = quantile_row(df, columns, [0.5])
+    row = quantile_row(df if of is None else of, columns, [0.5])
     medians = row.select(F.struct(*[F.col(c)[0].alias(c) for c in columns]).alias("m")).scalar()
     # Attached as a column first, so that the plan holds the subquery once.
     return (
@@ -114,18 +114,24 @@ def fill_unknown(df: DataFrame) -> DataFrame:
     return df.fillna(UNKNOWN, subset=_columns_of(df, T.StringType))
 
 
-def handle_missing_values(df: DataFrame) -> DataFrame:
-    """All the fill rules, in the order that the estimates depend on."""
+def _estimated(df: DataFrame) -> DataFrame:
+    """The fill rules that need no other row."""
     floats = _columns_of(df, T.DoubleType, T.FloatType)
     df = df.withColumns({c: nan_to_null(F.col(c)) for c in floats}) if floats else df
+    return df.transform(fill_discount).transform(derive_profit)
+
+
+def handle_missing_values(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """All the fill rules, in the order that the estimates depend on; medians are those ``of`` a table, or of ``df``."""
     # Discounts are complete after the first rule and need no median.
     numbers = [c for c in _columns_of(df, T.NumericType) if c != "Discount"]
-    return (
-        df.transform(fill_discount)
-        .transform(derive_profit)
-        .transform(lambda d: impute_median(d, numbers))
-        .transform(fill_unknown)
-    )
+    whole = None if of is None else _estimated(of)
+    return df.transform(_estimated).transform(lambda d: impute_median(d, numbers, whole)).transform(fill_unknown)
+
+
+def copy_number(keys: list[str], order: list[str]) -> Column:
+    """The place of a row among those of its key, from 1 in input order."""
+    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
 
 
 def dedupe_keep_first(
@@ -138,8 +144,7 @@ def dedupe_keep_first(
     """
     keys = keys or ["Order_ID"]
     order = [order] if isinstance(order, str) else order
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    return df.withColumn("_rank", copy_number(keys, order)).where("_rank = 1").drop("_rank")
 
 
 def coerce_dates(
@@ -177,8 +182,14 @@ def convert_dates(
     return date_parts(coerce_dates(df, column, fmt), column)
 
 
-def clean(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Fill, deduplicate, date: the cleaned table with its ``_seq`` still there."""
+def clean(df: DataFrame, keys: list[str] | None = None, firsts: DataFrame | None = None) -> DataFrame:
+    """Fill, deduplicate, date: the cleaned table with its ``_seq`` still there.
+
+    ``firsts`` are the first rows per key of ``df``, where a stored :func:`copy_number` tells them: then
+    no row is shuffled for that. Medians are those of all rows either way.
+    """
+    if firsts is not None:
+        return convert_dates(handle_missing_values(firsts, of=df))
     return (
         df.transform(handle_missing_values)
         .transform(lambda d: dedupe_keep_first(d, keys))
