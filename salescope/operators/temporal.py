@@ -77,7 +77,11 @@ def asof_join(
     near = rows.withColumn("_near", F.last("_value", ignorenulls=True).over(held)).where("_row IS NOT NULL")
 
     best = F.struct(F.when(F.lit(back), F.col("_time")).otherwise(-F.col("_time")).alias("t"), "_value")
-    last = rows.groupBy("_key", "_block").agg(F.max(F.when(F.col("_value").isNotNull(), best)).alias("_last"))
+    # Only right rows have a value, and a block of left rows is just named: no left row is sorted for this.
+    at = ["_key", "_block"]
+    ended = rows.where("_row IS NULL").groupBy(*at).agg(F.max(best).alias("_last"))
+    asking = rows.where("_row IS NOT NULL").select(*at).distinct().withColumn("_last", F.lit(None).cast(ended.schema["_last"].dataType))
+    last = ended.unionByName(asking).groupBy(*at).agg(F.max("_last").alias("_last"))
     earlier = Window.partitionBy("_key").orderBy(order("_block")).rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select("_key", "_block", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
 

@@ -75,3 +75,11 @@ def test_rows_are_sorted_in_their_narrow_form(spark, tables):
         assert "CUST-" not in text[text.index("Exchange") :]
         ids = [r.Order_ID for r in fixtures.sales_raw(spark, tables, in_order=True).collect()]
         assert ids[-1] == "ORD-10-1" and len(ids) == 5  # of part 2
+
+
+def test_left_rows_of_an_asof_join_are_not_sorted_to_find_last_values(spark):
+    left = spark.createDataFrame([("a", date(2024, 1, 1)), ("a", date(2024, 3, 1)), ("b", date(2024, 3, 1)), (None, date(2024, 3, 1))], "k string, d date")
+    right = spark.createDataFrame([("a", date(2024, 1, 1), 1), ("a", date(2024, 2, 1), 2), ("c", date(2024, 2, 1), 3)], "k string, at date, v int")
+    found = temporal.asof_join(left, right, "k", "d", "at", ["v"])
+    assert "max(CASE WHEN" not in plan(found)
+    assert rows(found.select("k", "v")) == rows(spark.createDataFrame([("a", 1), ("a", 2), ("b", None), (None, None)], "k string, v int"))
