@@ -21,7 +21,7 @@ def preprocess_pipeline(
     caller's, or to the shared folder until the application ends.
     """
     typed = fresh_path(spark, "sales_raw")
-    raw = land(load_sales_csv(spark, path), "sales_raw", path=typed)
+    raw = land(load_sales_csv(spark, path), "sales_raw", path=typed, compression="zstd")
     try:
         cleaned = land(clean(raw, keys), "sales_clean", partition_by="YearMonth", path=target)
     finally:

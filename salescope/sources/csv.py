@@ -84,14 +84,15 @@ def load_sales_csv(spark: SparkSession, path: str, multi_line: bool = False) ->
     return rows.withColumn(SEQ, position).where(valid).select(*[typed(f) for f in SALES_FILE], SEQ)
 
 
-def save_sales_csv(df: DataFrame, path: str) -> None:
+def save_sales_csv(df: DataFrame, path: str, compression: str | None = None) -> None:
     """The sales columns as CSV files with a header, NULL as an empty field.
 
-    Text is written as it is, outer spaces and line breaks too.
+    Text is written as it is, outer spaces and line breaks too. Files with ``compression``, such
+    as ``gzip``, are read as they are; each of them by one task.
     """
     (
         df.select(SALES.names)
         .write.mode("overwrite")
         .options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **_DIALECT)
-        .csv(path)
+        .csv(path, compression=compression)
     )

@@ -83,3 +83,12 @@ def test_left_rows_of_an_asof_join_are_not_sorted_to_find_last_values(spark):
     found = temporal.asof_join(left, right, "k", "d", "at", ["v"])
     assert "max(CASE WHEN" not in plan(found)
     assert rows(found.select("k", "v")) == rows(spark.createDataFrame([("a", 1), ("a", 2), ("b", None), (None, None)], "k string, v int"))
+
+
+def test_compressed_csv_is_read_as_it_is(spark, sales, tmp_path):
+    df = sales({"Customer_Name": ' "Ann", '}, {"Order_ID": "B", "Profit": None, "Revenue": "1.50"})
+    save_sales_csv(df, f"{tmp_path}/plain")
+    save_sales_csv(df, f"{tmp_path}/packed", compression="gzip")
+    assert list((tmp_path / "packed").glob("*.csv.gz")) and not list((tmp_path / "packed").glob("*.csv"))
+    plain, packed = (load_sales_csv(spark, f"{tmp_path}/{name}").drop(SEQ) for name in ("plain", "packed"))
+    assert rows(packed) == rows(plain) and {r.Revenue for r in packed.collect()} == {Decimal("20"), Decimal("1.5")}
