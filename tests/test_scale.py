@@ -85,6 +85,15 @@ def test_left_rows_of_an_asof_join_are_not_sorted_to_find_last_values(spark):
     assert rows(found.select("k", "v")) == rows(spark.createDataFrame([("a", 1), ("a", 2), ("b", None), (None, None)], "k string, v int"))
 
 
+def test_orders_find_customers_before_sales_do(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(warehouse.sales_summary_view(fixtures.star(spark, sf_dir)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.index("SortMergeJoin [order_id") < text.index("SortMergeJoin [customer_id")
+
+
 def test_compressed_csv_is_read_as_it_is(spark, sales, tmp_path):
     df = sales({"Customer_Name": ' "Ann", '}, {"Order_ID": "B", "Profit": None, "Revenue": "1.50"})
     save_sales_csv(df, f"{tmp_path}/plain")
