@@ -1,7 +1,9 @@
+import time
 from collections import defaultdict
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from salescope.operators import calendar, cube
 
@@ -59,6 +61,36 @@ def test_raw_rows_are_not_repeated_per_grouping_set(sales):
     assert "Expand" not in text and "NestedLoop" not in text
 
 
+def test_a_customer_in_many_cells(spark):
+    """Repeats among 16 projections of each of 9,000 cells are found without comparing all with all."""
+    dims, n = ["Region", "Product_Category", "Sales_Channel", "Product_Name"], 9000
+    rows = spark.range(n, numPartitions=1).selectExpr(
+        "'A' || id AS Order_ID", "'1' AS Customer_ID", "id % 7 AS Region", "id % 11 AS Product_Category",
+        "id % 13 AS Sales_Channel", "'P' || id AS Product_Name", "1.00BD AS Revenue", "0.50BD AS Profit",
+    )
+    begun = time.monotonic()
+    found = cube.kpi_cube(rows, dims).groupBy("level").agg(F.count("*"), F.sum("total_orders"), F.sum("total_customers"))
+    cells = {r.level: tuple(r)[1:] for r in found.collect()}
+    assert time.monotonic() - begun < 60
+    sizes = {0b1111: 1, 0b0111: 7, 0b1011: 11, 0b1101: 13, 0b0011: 77, 0b0101: 91, 0b1001: 143, 0b0001: 1001}
+    assert cells == {level: (k, n, k) for level, k in sizes.items()} | {level: (n, n, n) for level in range(0, 16, 2)}
+
+
+@pytest.mark.parametrize("bad", [1, 2])
+def test_cells_of_equal_numbers_get_others(sales, monkeypatch, bad):
+    made = cube._hashes
+
+    def some_equal(dims, value, seed):
+        equal = F.struct(*[F.lit(7).cast("long").alias(f"_{k}") for k, _ in enumerate(dims)])
+        return F.when(seed < bad, equal).otherwise(made(dims, value, seed))
+
+    monkeypatch.setattr(cube, "_hashes", some_equal)
+    assert found(sales(*ROWS), DIMS) == brute(ROWS, DIMS, cube.cube_sets(DIMS))
+    monkeypatch.setattr(cube, "SEEDS", bad)
+    with pytest.raises(Exception, match="cells have equal numbers"):
+        cube.kpi_cube(sales(*ROWS), DIMS).collect()
+
+
 @pytest.fixture
 def months(sales):
     def build(*rows):
