@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from salescope.llm import decontaminate, jaccard, mixing, quality, tokens
-from salescope.sources.shared import land
+from salescope.sources.shared import fresh_path, land, landing, release
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -50,10 +50,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows, with every stage applied to what the one before kept."""
+    """The last stage's rows, with every stage applied to what the one before kept.
+
+    What a stage has landed, and what it has read, goes when its rows are written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for position, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if position < len(STAGES) - 1:
-            docs = land(docs, name.replace(" ", "_").lower())
-    return docs
+    read: list[str] = []
+    for name, stage in STAGES[:-1]:
+        title = name.replace(" ", "_").lower()
+        path = fresh_path(spark, title)
+        with landing(spark):
+            docs = land(stage(spark, docs, sf_dir), title, path=path)
+        if read:
+            release(spark, *read)
+        read = [path]
+    return STAGES[-1][1](spark, docs, sf_dir)

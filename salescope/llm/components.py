@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salescope.sources.shared import land
+from salescope.sources.shared import fresh_path, land, release
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -31,18 +31,23 @@ def components(edges: DataFrame) -> DataFrame:
     every node hands its least neighbour to the larger and then to the smaller ones, until
     all edges lead to roots; that takes some rounds per doubling of the longest path. A node
     with very many edges meets its least neighbour in a join, which may be split, and
-    never gathers its neighbours. Each round is written to the shared folder.
+    never gathers its neighbours. Each round is written to the shared folder, which keeps the last one only.
     """
-    state = land(
-        edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), "component_edges"
-    )
+    spark = edges.sparkSession
+    written: list[str] = []
+
+    def round_of(rows: DataFrame) -> DataFrame:
+        written.append(fresh_path(spark, "component_edges"))
+        return land(rows, "component_edges", path=written[-1])
+
+    state = round_of(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct())
     while not _is_done(state):
         # Larger neighbours go to the least of a node and all its neighbours.
         ways = _both_ways(state)
         least = ways.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m")
         large = _star(ways, least).where("b > a").selectExpr("b AS a", "m AS b").distinct()
         # Smaller neighbours, and the node itself, go to the least of them.
-        down = land(large, "component_edges")
+        down = round_of(large)
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = (
             _star(down, least)
@@ -51,5 +56,7 @@ def components(edges: DataFrame) -> DataFrame:
             .unionByName(least.selectExpr("a", "m AS b"))
             .distinct()
         )
-        state = land(small, "component_edges")
+        state = round_of(small)
+        release(spark, *written[:-1])
+        del written[:-1]
     return state.selectExpr("a AS node", "b AS root").unionByName(state.selectExpr("b AS node", "b AS root").distinct())

@@ -3,9 +3,11 @@
 A document is the set of its five-word shingles, as fingerprints in one global order:
 rare ones first, by counts that are taken over all documents, common ones last. Two sets
 with a Jaccard similarity of 0.75 share one of the first quarter of their shingles, so
-only these are shuffled, packed by document. Where they meet, an exact upper bound from
-parity bitmaps, which travel along, drops nearly all pairs that only share a passage; the
-rest ties documents to clusters. Each cluster's sets then go to one task, or to one
+only these are shuffled, as 16 bytes each, whatever the number of buckets. Documents that
+share some are a group, and equal groups one. There an exact upper bound from parity
+bitmaps drops nearly all pairs that only share a passage; the rest ties documents to
+clusters. A bitmap travels once for each group of its document, and most shingles
+have none. Each cluster's sets then go to one task, or to one
 for each pair of its blocks. There they are stored in a prefix tree with the common
 end first, so near copies share long paths. Every set walks down the
 tree, the overlap so far is found once for a shared path, and a subtree is left as soon
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from salescope.llm.components import components
 from salescope.llm.words import BY_SPACE, gram_hash, hashed_words, mix, pieces, text_buffers
 from salescope.llm.workers import map_batches
-from salescope.sources.shared import land
+from salescope.sources.shared import fresh_path, land, landing
 
 # Shingle size and similarity. The tests below are 100 * common >= 75 * union.
 SHINGLE = 5
@@ -44,13 +46,16 @@ BUCKET_SHINGLES = 2_000_000
 SPREAD = 4
 #: A common shingle's documents are split in blocks of about so many, and these paired.
 SPLIT = 4096
+#: Bytes of bitmaps, and members of groups, that a task compares at a time.
+TIE_BYTES, TIE_MEMBERS = 1 << 26, 200_000
 #: Sets and shingles in one block of a cluster.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
 #: Cells of the table that tells which set has which shingle, at a time.
 CELLS = 1 << 25
 
-PROFILE = "kind int, doc_id long, text_hash long, n long, sig binary, n_docs long"
+PROFILE = "kind int, doc_id long, text_hash long, n long, sig binary, bits binary, n_docs long"
 POSTINGS = "bucket int, payload binary"
+GROUPS = "grp binary, ref binary"
 EDGES = "a binary, b binary"
 LINKS = "sig binary, links long, root binary"
 
@@ -82,7 +87,7 @@ def signature(own: np.ndarray) -> bytes:
 
 
 def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size and signature of each document, and the shingles common in this task."""
+    """Size, signature and (of copies in a batch one) bitmap of each document, and the shingles common in this task."""
     held: list[np.ndarray] = []
     seen: set[bytes] = set()
 
@@ -91,24 +96,27 @@ def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = counts >= COMMON_IN_TASK
         held.clear()
         seen.clear()
-        return _profile_rows(1, values[often].view(np.int64), None, None, None, counts[often])
+        return _profile_rows(1, values[often].view(np.int64), None, None, None, None, counts[often])
 
     for batch in batches:
-        sizes, signs = [], []
+        sizes, signs, bits = [], [], []
+        mapped: set[bytes] = set()
         for _, own in shingle_sets(batch):
             sizes.append(len(own))
             signs.append(signature(own) if len(own) else None)
+            bits.append(parity_bits(own).tobytes() if len(own) and signs[-1] not in mapped else None)
+            mapped.add(signs[-1])
             if len(own) and signs[-1] not in seen:
                 seen.add(signs[-1])
                 held.append(own)
-        yield _profile_rows(0, batch.column("doc_id"), batch.column("text_hash"), sizes, signs, None)
+        yield _profile_rows(0, batch.column("doc_id"), batch.column("text_hash"), sizes, signs, bits, None)
         if sum(map(len, held)) > 2_000_000:
             yield common()
     if held:
         yield common()
 
 
-def _profile_rows(kind: int, doc_id, text_hash, sizes, signs, counts) -> pa.RecordBatch:
+def _profile_rows(kind: int, doc_id, text_hash, sizes, signs, bits, counts) -> pa.RecordBatch:
     rows = len(doc_id)
     none = lambda t: pa.nulls(rows, t)
     return pa.record_batch(
@@ -118,9 +126,10 @@ def _profile_rows(kind: int, doc_id, text_hash, sizes, signs, counts) -> pa.Reco
             none(pa.int64()) if text_hash is None else text_hash,
             none(pa.int64()) if sizes is None else pa.array(sizes, pa.int64()),
             none(pa.binary()) if signs is None else pa.array(signs, pa.binary()),
+            none(pa.binary()) if bits is None else pa.array(bits, pa.binary()),
             none(pa.int64()) if counts is None else pa.array(counts, pa.int64()),
         ],
-        names=["kind", "doc_id", "text_hash", "n", "sig", "n_docs"],
+        names=["kind", "doc_id", "text_hash", "n", "sig", "bits", "n_docs"],
     )
 
 
@@ -155,7 +164,7 @@ def _postings(shared, buckets: int):
         ordered, counts = shared.value
         for batch in batches:
             seen: set[bytes] = set()
-            signs, sizes, bits, keys, of = [], [], [], [], []
+            keys, refs = [], []
             held = 0
             for _, own in shingle_sets(batch):
                 sign = signature(own) if len(own) else b""
@@ -167,16 +176,13 @@ def _postings(shared, buckets: int):
                 if (parts > 1).any():
                     tokens = _split(tokens, parts, int.from_bytes(sign[:8], "little"))
                 keys.append(tokens)
-                of.append(np.full(len(tokens), len(signs), np.uint32))
-                signs.append(sign)
-                sizes.append(len(own))
-                bits.append(parity_bits(own))
+                refs.append(np.full(len(tokens), np.frombuffer(sign, np.uint64, 1)[0]))
                 held += len(tokens)
                 if held > 2_000_000:
-                    yield _packed(signs, sizes, bits, keys, of, buckets)
-                    signs, sizes, bits, keys, of, held = [], [], [], [], [], 0
-            if signs:
-                yield _packed(signs, sizes, bits, keys, of, buckets)
+                    yield _packed(np.concatenate(keys), np.concatenate(refs), buckets)
+                    keys, refs, held = [], [], 0
+            if keys:
+                yield _packed(np.concatenate(keys), np.concatenate(refs), buckets)
 
     return emit
 
@@ -192,83 +198,95 @@ def _split(tokens: np.ndarray, parts: np.ndarray, sign: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _packed(signs, sizes, bits, keys, of, buckets: int) -> pa.RecordBatch:
-    """For each bucket: the documents that reach it once, and their keys."""
-    keys, of = np.concatenate(keys), np.concatenate(of)
+def _packed(keys: np.ndarray, refs: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """For each bucket its keys, then the documents that have them."""
     bucket = ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
     numbers, payloads = [], []
-    for k in range(buckets):
+    for k in np.flatnonzero(np.diff(edges)).tolist():
         own = order[edges[k] : edges[k + 1]]
-        if len(own) == 0:
-            continue
-        docs, count = np.unique(of[own], return_counts=True)
-        maps = [bits[d] for d in docs]
-        payloads.append(
-            b"".join(
-                [
-                    np.array([len(docs), len(own)], np.int64).tobytes(),
-                    b"".join(signs[d] for d in docs),
-                    np.array([sizes[d] for d in docs], np.int64).tobytes(),
-                    count.astype(np.int64).tobytes(),
-                    keys[own].tobytes(),
-                    *[m.tobytes() for m in maps],
-                ]
-            )
-        )
+        payloads.append(keys[own].tobytes() + refs[own].tobytes())
         numbers.append(k)
     return pa.record_batch([pa.array(numbers, pa.int32()), pa.array(payloads, pa.binary())], names=["bucket", "payload"])
 
 
-class _Bucket:
-    """The documents and keys of one bucket, as they are read."""
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents that share a key, once for equal groups of a bucket; rows come sorted by bucket.
+
+    A document is named by the first 8 bytes of its signature. Should two have the same, both are in the group.
+    """
+
+    def rows():
+        for batch in batches:
+            yield from zip(batch.column("bucket").to_pylist(), batch.column("payload"), strict=True)
+
+    for _, group in groupby(rows(), key=lambda r: r[0]):
+        halves = [np.frombuffer(payload.as_py(), np.uint64).reshape(2, -1) for _, payload in group]
+        keys, refs = np.concatenate(halves, axis=1)
+        order = np.lexsort((refs, keys))
+        keys, refs = keys[order], refs[order]
+        # Copies of one set from several tasks become one; then keys of a single document go.
+        fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (refs[1:] != refs[:-1])))
+        keys, refs = keys[fresh], refs[fresh]
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+        several = np.flatnonzero(np.diff(starts) > 1)
+        done: set[bytes] = set()
+        named, members, held = [], [], 0
+        for a, b in zip(starts[several].tolist(), starts[several + 1].tolist(), strict=True):
+            name = signature(refs[a:b])
+            if name in done:
+                continue
+            done.add(name)
+            named += [name] * (b - a)
+            members.append(refs[a:b])
+            held += b - a
+            if held > 500_000:
+                yield _group_rows(named, members)
+                named, members, held = [], [], 0
+        if named:
+            yield _group_rows(named, members)
+
+
+def _group_rows(named: list[bytes], members: list[np.ndarray]) -> pa.RecordBatch:
+    refs = pa.Array.from_buffers(pa.binary(8), len(named), [None, pa.py_buffer(np.concatenate(members).tobytes())])
+    return pa.record_batch([pa.array(named, pa.binary()), refs.cast(pa.binary())], names=["grp", "ref"])
+
+
+class _Block:
+    """Groups that are compared together, and the sets in them."""
 
     def __init__(self):
-        self.signs, self.sizes, self.bits, self.keys, self.of = [], [], [], [], []
-
-    def add(self, payload: bytes) -> None:
-        docs, postings = np.frombuffer(payload, np.int64, 2).tolist()
-        at, base = 16 + 16 * docs, len(self.signs)
-        self.signs += [payload[16 + 16 * k : 32 + 16 * k] for k in range(docs)]
-        sizes = np.frombuffer(payload, np.int64, docs, at)
-        count = np.frombuffer(payload, np.int64, docs, at + 8 * docs)
-        self.keys.append(np.frombuffer(payload, np.uint64, postings, at + 16 * docs))
-        self.of.append(np.repeat(np.arange(base, base + docs), count))
-        at += 16 * docs + 8 * postings
-        for n in sizes.tolist():
-            width = (1 << max(6, (n - 1).bit_length())) // 8
-            self.bits.append(np.frombuffer(payload, np.uint8, width, at))
-            at += width
-        self.sizes += sizes.tolist()
-
-    def edges(self) -> tuple[list[bytes], list[bytes]]:
+        self.number: dict[bytes, int] = {}
+        self.sizes, self.bits, self.groups = [], [], []
+        self.members = self.bytes = 0
+
+    def add(self, group: list[tuple[bytes, int, bytes]]) -> None:
+        own = []
+        for sign, size, bits in group:
+            if sign not in self.number:
+                self.number[sign] = len(self.number)
+                self.sizes.append(size)
+                self.bits.append(np.frombuffer(bits, np.uint8))
+                self.bytes += len(bits)
+            own.append(self.number[sign])
+        self.members += len(own)
+        self.groups.append(np.array(own))
+
+    def full(self) -> bool:
+        return self.bytes > TIE_BYTES or self.members > TIE_MEMBERS
+
+    def edges(self) -> pa.RecordBatch:
         """A forest that ties all pairs which the bounds leave possible."""
-        # Copies of one set from several tasks become one.
-        number: dict[bytes, int] = {}
-        same = np.array([number.setdefault(s, k) for k, s in enumerate(self.signs)], np.int64)
-        keys, of = np.concatenate(self.keys), same[np.concatenate(self.of)]
-        self.keys, self.of = [], []
-        order = np.argsort(keys, kind="stable")
-        keys, of = keys[order], of[order]
-        equal = keys[1:] == keys[:-1]
-        shared = np.concatenate((equal, [False])) | np.concatenate(([False], equal))
-        keys, of = keys[shared], of[shared]
-        sizes = np.array(self.sizes, np.int64)
-        order = np.lexsort((of, sizes[of], keys))
-        keys, of = keys[order], of[order]
-        fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1]))) if len(keys) else np.empty(0, bool)
-        keys, of = keys[fresh], of[fresh]
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
-        forest = _Forest(len(self.signs))
-        done: set[bytes] = set()
-        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            if b - a > 1 and (group := of[a:b].tobytes()) not in done:
-                done.add(group)
-                self._tie(of[a:b], sizes, forest)
-        tied = [k for k in range(len(self.signs)) if forest.parent[k] != k]
+        signs, sizes = list(self.number), np.array(self.sizes, np.int64)
+        forest = _Forest(len(signs))
+        for members in self.groups:
+            self._tie(members, sizes, forest)
+        tied = [k for k in range(len(signs)) if forest.parent[k] != k]
         tied += sorted({forest.root(k) for k in tied})
-        return [self.signs[k] for k in tied], _least_signs([self.signs[k] for k in tied], [forest.root(k) for k in tied])
+        a = [signs[k] for k in tied]
+        b = _least_signs(a, [forest.root(k) for k in tied])
+        return pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     def _tie(self, members: np.ndarray, sizes: np.ndarray, forest: _Forest) -> None:
         widths = np.array([len(self.bits[m]) for m in members])
@@ -325,18 +343,20 @@ class _Forest:
 
 
 def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges between documents that may be similar; rows come sorted by bucket."""
+    """Edges between documents that may be similar; rows come sorted by group."""
 
     def rows():
         for batch in batches:
-            yield from zip(batch.column("bucket").to_pylist(), batch.column("payload"), strict=True)
+            yield from zip(*(batch.column(c).to_pylist() for c in ("grp", "sig", "n", "bits")), strict=True)
 
+    block = _Block()
     for _, group in groupby(rows(), key=lambda r: r[0]):
-        bucket = _Bucket()
-        for _, payload in group:
-            bucket.add(payload.as_py())
-        a, b = bucket.edges()
-        yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        block.add([row[1:] for row in group])
+        if block.full():
+            yield block.edges()
+            block = _Block()
+    if block.groups:
+        yield block.edges()
 
 
 def tree_links(stored: list[np.ndarray], probes: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -490,8 +510,15 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     total = own.agg(F.sum("n")).first()[0] or 0
     buckets = max(6, -(-total // (OF * BUCKET_SHINGLES)))
     postings = map_batches(texts.select("text"), _postings(shared, buckets), POSTINGS)
+    shared_keys = map_batches(
+        postings.repartition(SPREAD * buckets, "bucket").sortWithinPartitions("bucket"), groups, GROUPS
+    )
+    members = land(shared_keys, "jaccard_groups", compression="zstd").distinct()
+    maps = found.where("bits IS NOT NULL").select("sig", "n", "bits").dropDuplicates(["sig"])
+    # Neither side is broadcast, however small it is: both grow with the corpus.
+    met = members.join(maps.hint("merge"), F.expr("ref = substring(sig, 1, 8)"))
     ties = map_batches(
-        postings.repartition(SPREAD * buckets, "bucket").sortWithinPartitions("bucket"), candidates, EDGES
+        met.select("grp", "sig", "n", "bits").repartition("grp").sortWithinPartitions("grp"), candidates, EDGES
     )
     clusters = components(land(ties, "jaccard_candidates"))
 
@@ -554,16 +581,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Documents without words stay. Of repeated rows one stays.
     """
-    found = land(similar_documents(docs), "jaccard_components")
+    path = fresh_path(docs.sparkSession, "jaccard_components")
+    with landing(docs.sparkSession):
+        found = land(similar_documents(docs), "jaccard_components", path=path)
     kept = (
         found.where("n_shingles > 0")
         .groupBy("root")
-        .agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
-        .selectExpr("k.doc_id AS _doc", "k.text_hash AS _text", "true AS _single")
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("_of"))
+        .selectExpr("_of", "true AS _single")
+    )
+    empty = found.where("n_shingles = 0").select(F.struct("doc_id", "text_hash").alias("_of"), F.lit(False).alias("_single"))
+    # Structs are equal if both ids are missing, and numbering by a key of the join itself moves no row again.
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    rows = docs.select(F.struct("*").alias("_row"), key.alias("_key"))
+    chosen = rows.join(kept.unionByName(empty.distinct()), F.expr("_key = _of")).selectExpr(
+        "_row", "_single", "row_number() OVER (PARTITION BY _of ORDER BY _single) AS _n"
     )
-    empty = found.where("n_shingles = 0").selectExpr("doc_id AS _doc", "text_hash AS _text", "false AS _single")
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"))
-    chosen = rows.join(
-        kept.unionByName(empty.distinct()), F.expr("_id <=> _doc AND _hash = _text")
-    ).selectExpr("_row", "_single", "row_number() OVER (PARTITION BY _doc, _text ORDER BY _text) AS _n")
     return chosen.where("_n = 1 OR NOT _single").select("_row.*")

@@ -26,6 +26,9 @@ _landed: dict[str, list[str]] = {}
 _local_dirs: dict[str, str] = {}
 _published: dict[tuple[str, str, str], tuple[DataFrame, str]] = {}
 
+#: Spark's setting that deletes the shuffle files of a query when the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors reach, without a trailing slash."""
@@ -77,6 +80,20 @@ def landing(spark: SparkSession) -> Iterator[None]:
             release(spark, *inside)
 
 
+@contextmanager
+def without_leftovers(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside delete their shuffle files when they end, not when the driver collects its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 @atexit.register
 def _release_at_exit() -> None:
     """Deletes what the application has left, if its session can still be reached."""
@@ -105,11 +122,10 @@ def land(
     spark = df.sparkSession
     if path is None:
         path = fresh_path(spark, name)
-    if partition_by is None:
-        df.write.parquet(path, compression=compression)
-    else:
-        rows = df.hint("rebalance", partition_by) if rebalance else df
-        rows.write.partitionBy(partition_by).parquet(path, compression=compression)
+    rows = df.hint("rebalance", partition_by) if partition_by and rebalance else df
+    writer = rows.write.partitionBy(partition_by) if partition_by else rows.write
+    with without_leftovers(spark):
+        writer.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from salescope.llm import components, jaccard
+from salescope.sources import shared
 
 
 def brute(texts):
@@ -111,3 +112,53 @@ def test_rows_without_an_id_or_with_the_same_one(documents, prose):
         rows = jaccard.similar_documents(documents(list(zip(ids, texts, strict=True)))).collect()
         assert sorted(r.n_links for r in rows) == expected, ids
     assert {r.component_id for r in rows} == {7}
+
+
+def test_postings_do_not_grow_with_the_number_of_buckets(prose):
+    """A document's keys go to any number of buckets, and nothing else of it goes to each of them."""
+    import pyarrow as pa
+
+    texts = [prose(600, seed) for seed in range(20)]
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+
+    class Shared:
+        value = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def moved(buckets):
+        rows = list(jaccard._postings(Shared, buckets)(iter([batch])))
+        return sum(len(p.as_py()) for r in rows for p in r.column("payload"))
+
+    assert moved(6) == moved(600) == moved(10_000)
+
+
+def test_groups_name_each_set_of_documents_once():
+    import pyarrow as pa
+
+    keys = np.array([5, 5, 6, 6, 7, 8, 8, 8], np.uint64)
+    refs = np.array([1, 2, 2, 1, 1, 1, 2, 3], np.uint64)
+    half = [jaccard._packed(k, r, 1) for k, r in ((keys[:3], refs[:3]), (keys, refs))]
+    rows = [row for batch in jaccard.groups(iter(half)) for row in batch.to_pylist()]
+    found = defaultdict(list)
+    for row in rows:
+        found[row["grp"]].append(int.from_bytes(row["ref"], "little"))
+    assert sorted(found.values()) == [[1, 2], [1, 2, 3]]
+    assert pa.table({"grp": [r["grp"] for r in rows]}).num_rows == 5
+
+
+def test_texts_are_moved_once_to_keep_one_of_each_group(spark, documents, hard_texts):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = jaccard.keep_one(documents(hard_texts))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "Exchange" not in plan.split("Window")[1].split("SortMergeJoin")[0]
+
+
+def test_only_the_result_stays_in_the_shared_folder(spark, documents, prose):
+    texts = [prose(80, 1), prose(80, 1) + " end", prose(90, 2)]
+    with shared.landing(spark):
+        before = set(shared._landed.get(spark.sparkContext.applicationId, []))
+        assert jaccard.keep_one(documents(texts)).count() == 2
+        left = [p.rsplit("/", 1)[1] for p in shared._landed[spark.sparkContext.applicationId] if p not in before]
+    assert [name.rsplit("-", 1)[0] for name in left] == ["jaccard_components"]
