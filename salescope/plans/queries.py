@@ -36,7 +36,7 @@ from salescope.plans.fixtures import read, sales_clean, sales_lines, sales_raw,
 from salescope.plans.pipeline import preprocess_pipeline
 from salescope.schema import CLEAN_COLUMNS, SALES, SEQ
 from salescope.sources.csv import load_sales_csv, save_sales_csv
-from salescope.sources.shared import fresh_path, publish
+from salescope.sources.shared import fresh_path, publish, release
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -120,14 +120,22 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result(load_sales_csv(spark, path).drop(SEQ))
 
 
+def _preprocessed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The pipeline's results on CSV files, which go when the cleaned table is there."""
+    path = _csv_file(spark, sf_dir, in_order=True)
+    found = preprocess_pipeline(spark, path)
+    release(spark, path)
+    return found
+
+
 def preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From CSV files to the cleaned table; which copy is first follows the files."""
-    cleaned, _ = preprocess_pipeline(spark, _csv_file(spark, sf_dir, in_order=True))
+    cleaned, _ = _preprocessed(spark, sf_dir)
     return result(cleaned.drop(SEQ).select(CLEAN_COLUMNS))
 
 
 def preprocess_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, kpis = preprocess_pipeline(spark, _csv_file(spark, sf_dir, in_order=True))
+    _, kpis = _preprocessed(spark, sf_dir)
     return result(kpis["kpi_scalars"])
 
 

@@ -1,9 +1,10 @@
+import time
 from pathlib import Path
 
 import pytest
 
 from salescope.operators import clean
-from salescope.plans import queries
+from salescope.plans import pipeline, queries
 from salescope.plans.pipeline import preprocess_pipeline
 from salescope.schema import CLEAN_COLUMNS
 from salescope.sources import shared
@@ -93,3 +94,43 @@ def test_landed_tables_are_deleted(spark, sf_dir, tmp_path):
     assert cleaned.count() > 0 and Path(kept).exists()
     # What was published inside is made anew when it is asked for again.
     assert queries.sales_raw(spark, sf_dir).count() > 0
+
+
+def _shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for k in range(found.size()) if (name := found.apply(k).getName()).startswith("shuffle_")}
+
+
+def test_a_landed_table_leaves_no_shuffle_files(spark):
+    with shared.landing(spark):
+        before = _shuffle_files(spark)
+        df = shared.land(spark.range(1000).repartition(5, "id"), "dealt")
+        for _ in range(50):  # they go in the background
+            if not (left := _shuffle_files(spark) - before):
+                break
+            time.sleep(0.1)
+        assert not left and df.count() == 1000
+    assert spark.conf.get(shared._CLEANUP, None) is None  # the session's own setting is as it was
+
+
+def test_preprocessing_shuffles_by_key_and_by_month_in_turn(spark, sales, tmp_path, monkeypatch):
+    rows = [{"Order_ID": f"O{k % 4}", "Order_Date": f"2024-0{1 + k % 4}-05"} for k in range(12)]
+    save_sales_csv(sales(*rows).coalesce(1), str(tmp_path / "csv"))
+    plans = {}
+
+    def land(df, name, *args, **kwargs):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return shared.land(df, name, *args, **kwargs)
+
+    monkeypatch.setattr(pipeline, "land", land)
+    cleaned, _ = preprocess_pipeline(spark, str(tmp_path / "csv"), target=str(tmp_path / "clean"))
+    assert "Window" in plans["sales_single"] and "Rebalance" not in plans["sales_single"]
+    assert "Rebalance" in plans["sales_clean"] and "Window" not in plans["sales_clean"]
+    found = cleaned.select("Order_ID", "Year", "Month", "YearMonth", "Quarter").collect()
+    assert sorted(map(tuple, found)) == [(f"O{k}", 2024, k + 1, f"2024-0{k + 1}", 1 + k // 3) for k in range(4)]
+
+
+def test_csv_files_of_a_query_go_with_it(spark, sf_dir):
+    with shared.landing(spark):
+        assert queries.preprocess_kpis(spark, sf_dir).count() == 1
+        assert not [p for p in shared._landed[spark.sparkContext.applicationId] if "/sales_csv-" in p]
