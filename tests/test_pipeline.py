@@ -110,7 +110,7 @@ def test_a_landed_table_leaves_no_shuffle_files(spark):
                 break
             time.sleep(0.1)
         assert not left and df.count() == 1000
-    assert spark.conf.get(shared._CLEANUP, None) is None  # the session's own setting is as it was
+    assert all(spark.conf.get(name, None) is None for name in shared.NO_LEFTOVERS)  # the session's own setting is as it was
 
 
 def test_preprocessing_shuffles_by_key_and_by_month_in_turn(spark, sales, tmp_path, monkeypatch):

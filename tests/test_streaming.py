@@ -1,11 +1,16 @@
 """Streams against batches: late and repeated rows, restarts, repeated batches, rows after the watermark."""
 
+import time
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 
 from salescope.operators import clean, warehouse
+from salescope.plans import streams
+from salescope.plans.fixtures import sales_raw
 from salescope.schema import SEQ
+from salescope.sources import shared
 from salescope.streaming import ingest
 from salescope.streaming.tables import KeyedLog
 
@@ -161,3 +166,59 @@ def test_windows_come_once_when_they_are_closed(spark, tmp_path):
     assert windows() == [(0, "a", 2, 1.5), (0, "b", 1, 2.0), (1, "a", 2, 12.0)]
     run()
     assert len(windows()) == 3
+
+
+def test_deliveries_are_written_once_in_the_order_of_arrival(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    rows = [(f"e{k}", start + timedelta(minutes=10 * k)) for k in range(200)]
+    df = spark.createDataFrame(rows, "event_id string, ts timestamp")
+    before = list(shared._landed.get(spark.sparkContext.applicationId, []))
+    seen, latest, arrived = set(), start, []
+    for _ in streams.deliver(df, "event_id", "ts", str(tmp_path / "in")):
+        new = set(map(str, Path(tmp_path / "in").glob("*.parquet"))) - seen
+        seen |= new
+        times = [r.ts for f in new for r in spark.read.parquet(f).collect()]
+        assert all(t >= latest - timedelta(minutes=60) for t in times)  # an hour late at most
+        latest = max([latest, *times])
+        arrived += times
+    assert shared._landed.get(spark.sparkContext.applicationId, []) == before  # nothing is stored beside
+    counts = {t: arrived.count(t) for _, t in rows}
+    assert set(counts.values()) == {1, 2} and len(arrived) == sum(counts.values())
+
+
+def test_no_deliveries(spark, tmp_path):
+    df = spark.createDataFrame([], "event_id string, ts timestamp")
+    assert list(streams.deliver(df, "event_id", "ts", str(tmp_path / "in"))) == list(range(streams.STEPS))
+    assert spark.read.parquet(str(tmp_path / "in")).count() == 0
+
+
+def test_a_stream_leaves_no_shuffle_files_and_moves_only_columns_of_the_star(spark, arrive, lines, tmp_path):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(found.size()) if (name := found.apply(k).getName()).endswith(".data")}
+
+    into = ingest.SalesIngest(spark, str(tmp_path / "star"))
+    arrive(row(1, "2024-01-05", "10.00"), row(2, "2024-01-20", "11.00"))
+    arrive(row(1, "2024-01-05", "09.00"))
+    before = files()
+    into.run(lines())
+    for _ in range(50):  # they go in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    plan = into.star()["sales"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Customer_Name" not in plan.split("Relation")[0]
+    base = into.tables["lines"]
+    base.compact()
+    assert sorted(base.current(columns=ingest.STAR_LINE).columns) == sorted(ingest.STAR_LINE)
+
+
+def test_no_line_is_late_and_the_state_goes_when_all_has_arrived(spark, sf_dir):
+    # Shares of unequal numbers of files, as large tables have.
+    with shared.landing(spark), shared.settings(spark, {"spark.sql.files.maxRecordsPerFile": "200"}):
+        star = streams.streamed_star(spark, sf_dir)
+        left = [p for p in shared._landed[spark.sparkContext.applicationId] if "/sales_arriving-" in p]
+        path = next(p for p in shared._landed[spark.sparkContext.applicationId] if "/streamed_star-" in p)
+        assert not left and not Path(path, "checkpoint").exists()
+        assert star["sales"].count() == sales_raw(spark, sf_dir).select("Order_ID").distinct().count()
