@@ -202,7 +202,7 @@ def test_a_stream_leaves_no_shuffle_files_and_moves_only_columns_of_the_star(spa
     arrive(row(1, "2024-01-05", "09.00"))
     before = files()
     into.run(lines())
-    for _ in range(50):  # they go in the background
+    for _ in range(300):  # they go in the background
         if not (left := files() - before):
             break
         time.sleep(0.1)
